@@ -459,7 +459,7 @@ def item_cosine_pairs(t: Inputs) -> DataFrame:
 
 @query(
     f"""SELECT e.src, e.dst, round(0.7 * (CAST(len(list_intersect(a.genres, b.genres)) AS DOUBLE)
-  / (len(a.genres) + len(b.genres)) / 2) + 0.3 * (b.av / 5), 6) AS score
+  / (len(a.genres) + len(b.genres)) / 2) + 0.3 * (b.av / 5), 9) AS score
 FROM ({_EDGES}) e JOIN scored_movies a ON a.movieId=e.src JOIN scored_movies b ON b.movieId=e.dst""",
     "labelled",
     "scored_movies",
@@ -472,7 +472,7 @@ def genre_similarity(t: Inputs) -> DataFrame:
     )
     score = recall.genre_score(F.col("_a"), F.col("_b"), F.col("averageRating"))
     joined = t.edges.join(a, "src").join(b, "dst")
-    return joined.select("src", "dst", F.round(score, 6).alias("score"))
+    return joined.select("src", "dst", F.round(score, 9).alias("score"))
 
 
 _HASH = """list_reduce(list_transform(string_split(CAST(userId AS VARCHAR), ''),
@@ -870,10 +870,10 @@ def _pool_sql(size: int) -> str:
 
 
 @query(
-    f"""SELECT seed, movieId, score, CAST(position AS INT) AS position FROM (
+    f"""SELECT seed, movieId, round(score, 9) AS score, CAST(position AS INT) AS position FROM (
  SELECT seed, movieId, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, movieId) position
- FROM (SELECT c.seed, c.movieId, round(0.7 * (CAST(len(list_intersect(a.genres, b.genres)) AS DOUBLE)
-   / (len(a.genres) + len(b.genres)) / 2) + 0.3 * (b.av / 5), 6) AS score
+ FROM (SELECT c.seed, c.movieId, (0.7 * (CAST(len(list_intersect(a.genres, b.genres)) AS DOUBLE)
+   / (len(a.genres) + len(b.genres)) / 2) + 0.3 * (b.av / 5)) AS score
   FROM (SELECT DISTINCT s.movieId AS seed, p.movieId FROM movie_genres s
    JOIN ({_pool_sql(recall.SIMILAR_PER_GENRE)}) p USING (genre) WHERE s.movieId <> p.movieId) c
   JOIN scored_movies a ON a.movieId=c.seed JOIN scored_movies b ON b.movieId=c.movieId) x) y
@@ -882,7 +882,7 @@ WHERE position <= {SIMILAR}""",
     "scored_movies",
 )
 def similar_movies_genre(t: Inputs) -> DataFrame:
-    return recall.similar_movies_by_genre(t.scored, SIMILAR)
+    return _rounded(recall.similar_movies_by_genre(t.scored, SIMILAR), ["score"], 9)
 
 
 @query(

@@ -70,9 +70,7 @@ def similar_movies_by_genre(
 ) -> DataFrame:
     """Each movie's `size` best candidates by genre score."""
     score = genre_score(F.col("seedGenres"), F.col("genres"), F.col("averageRating"))
-    rows = recall_by_genre(scored, per_genre).select(
-        "seed", "movieId", F.round(score, 6).alias("score")
-    )
+    rows = recall_by_genre(scored, per_genre).select("seed", "movieId", score.alias("score"))
     return top_per(rows, "seed", [F.desc("score"), F.col("movieId")], size)
 
 
