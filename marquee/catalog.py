@@ -528,8 +528,7 @@ FROM ratings r LEFT JOIN movie_stats s USING (movieId)""",
     "movie_stats",
 )
 def movie_features_joined(t: Inputs) -> DataFrame:
-    joined = t.ratings.join(samples.movie_rating_features(t.ratings), "movieId", "left")
-    joined = _rounded(joined, ["movieAvgRating", "movieRatingStddev"])
+    joined = _rounded(samples.join_rating_features(t.ratings), ["movieAvgRating", "movieRatingStddev"])
     return joined.select("userId", "movieId", "rating", *samples.MOVIE_STATS)
 
 
@@ -898,7 +897,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.userId=c.userId AND r.movieId=
     "scored_movies",
 )
 def multi_recall(t: Inputs) -> DataFrame:
-    return recall.multi_recall(t.ratings, t.scored)
+    return recall.multi_recall(t.ratings, t.catalogue, t.scored)
 
 
 _COS = "round(list_cosine_similarity(CAST(a.emb AS DOUBLE[]), CAST(b.emb AS DOUBLE[])), 6)"
@@ -1266,7 +1265,7 @@ def item2vec_synonyms(t: Inputs) -> DataFrame:
 
 @query()
 def graph_embedding(t: Inputs) -> DataFrame:
-    walks = graph.random_walks(t.pairs)
+    walks = materialize(graph.random_walks(t.pairs), "walks")
     words = walks.select(F.transform("nodes", lambda n: n.cast("string")).alias("words"))
     return models.vectors_of(models.item2vec(words, "words"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.titles import genre_list, slot
 from marquee.operators.samples import USER_GENRES, liked
+from marquee.plans.skew import join_lookup
 
 # Bounds a user's extremes start from, and ratings kept per movie.
 HIGHEST_START = 0.0
@@ -62,7 +63,7 @@ def genre_index(catalogue: DataFrame) -> DataFrame:
     """(genre, movie) rows with the size of the genre."""
     rows = catalogue.select(F.explode("genres").alias("genre"), "movieId")
     sizes = rows.groupBy("genre").agg(F.count(F.lit(1)).alias("genreSize"))
-    return rows.join(sizes, "genre")
+    return join_lookup(rows, sizes, "genre")
 
 
 def word_count(texts: DataFrame) -> DataFrame:
@@ -84,8 +85,8 @@ def user_genres_ranked(ratings: DataFrame, movies: DataFrame) -> DataFrame:
         F.min(F.struct("timestamp", "movieId", "pos")).alias("_first"),
     )
     order = W.partitionBy("userId").orderBy(F.desc("_n"), "_first")
-    top = per_genre.withColumn("_rank", F.row_number().over(order) - 1).where(
-        F.col("_rank") < len(USER_GENRES)
+    top = per_genre.withColumn("_rank", F.row_number().over(order)).where(
+        F.col("_rank") <= len(USER_GENRES)
     )
     names = F.collect_list(F.struct("_rank", "genre"))
     ranked = top.groupBy("userId").agg(F.array_sort(names).alias("_g"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.plans.skew import join_lookup
+
 
 def last_write(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key, ranked once before and once after the shuffle."""
@@ -26,6 +28,6 @@ def watchlist_snapshot(ops: DataFrame, order: list[str]) -> DataFrame:
     entries = ops.where(F.col("op") != "clear")
     last = last_write(entries, ["userId", "movieId"], order).where(F.col("op") == "add")
     cleared = ops.where(F.col("op") == "clear").groupBy("userId").agg(F.max(at).alias("_cleared"))
-    kept = last.join(cleared, "userId", "left")
+    kept = join_lookup(last, cleared, "userId", "left", counted=ops)
     alive = F.col("_cleared").isNull() | (at > F.col("_cleared"))
     return kept.where(alive).select("userId", "movieId", "timestamp")

@@ -9,7 +9,12 @@ from pyspark.sql.window import WindowSpec
 from marquee.operators.samples import USER_ORDER, liked
 from marquee.plans.lineage import materialize
 from marquee.plans.ordered import number_rows
-from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences, number_sequences
+from marquee.plans.skew import (
+    LONG_SEQUENCE,
+    add_over_sequences,
+    join_lookup,
+    number_sequences,
+)
 
 # Walks and steps per walk.
 WALKS = 20_000
@@ -64,7 +69,7 @@ def transition_matrix(counts: DataFrame) -> DataFrame:
     Totals are aggregated and joined back, so a node with many edges is never one task.
     """
     out = counts.groupBy("src").agg(F.sum("cnt").alias("_out"))
-    return counts.join(out, "src").select(
+    return join_lookup(counts, out, "src").select(
         "src", "dst", "cnt", (F.col("cnt") / F.col("_out")).alias("prob")
     )
 
@@ -94,7 +99,7 @@ def walk_arcs(pairs: DataFrame) -> DataFrame:
     runs = numbered.groupBy(F.col("src").alias("dst")).agg(
         F.min("arc").alias("_first"), F.count(F.lit(1)).alias("_out")
     )
-    return numbered.join(runs, "dst", "left")
+    return join_lookup(numbered, runs, "dst", "left", counted=pairs)
 
 
 def random_walks(

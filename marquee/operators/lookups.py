@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators.samples import MOVIE_FEATURES, MOVIE_GENRES, RATED_MOVIES, USER_FEATURES
+from marquee.plans.skew import join_lookup
 
 # Fixed value: answer for a pair without a rating.
 NO_RATING = -1.0
@@ -41,9 +42,9 @@ def ranking_features(
 
     Missing history slots become 0, missing genres ''.
     """
-    joined = pairs.join(user_features.select("userId", *USER_FEATURES), "userId").join(
-        movie_features.select("movieId", *MOVIE_FEATURES), "movieId"
-    )
+    # a popular movie may be a candidate of very many users, a user has a short list
+    with_movie = join_lookup(pairs, movie_features.select("movieId", *MOVIE_FEATURES), "movieId")
+    joined = with_movie.join(user_features.select("userId", *USER_FEATURES), "userId")
     texts = {c for c in USER_FEATURES if c.startswith("userGenre")} | set(MOVIE_GENRES)
 
     def filled(name: str) -> Column:

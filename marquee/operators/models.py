@@ -18,9 +18,10 @@ from pyspark.ml.feature import (
     Word2VecModel,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.vectors import dot, sigmoid
@@ -45,8 +46,16 @@ EPOCHS = 5
 
 
 # ---- matrix factorisation ----
-def als(seed: int = 7) -> ALS:
+def _parallelism() -> int:
+    """Cores of the running session: fixed block counts would idle most of a cluster."""
+    return SparkSession.active().sparkContext.defaultParallelism
+
+
+def als(seed: int = 7, blocks: int | None = None) -> ALS:
+    n = blocks or max(10, _parallelism())
     return ALS(
+        numUserBlocks=n,
+        numItemBlocks=n,
         regParam=REGULARIZATION,
         maxIter=ALS_ITERATIONS,
         userCol="userId",
@@ -104,13 +113,19 @@ def two_tower_scores(model: ALSModel, pairs: DataFrame) -> DataFrame:
 
 
 # ---- embeddings ----
-def item2vec(sequences: DataFrame, column: str, seed: int = 7, partitions: int = 1) -> Word2VecModel:
-    """Skip-gram vectors of the items; raise `partitions` to train on more executors."""
+def item2vec(
+    sequences: DataFrame, column: str, seed: int = 7, partitions: int | None = None
+) -> Word2VecModel:
+    """Skip-gram vectors of the items.
+
+    Partitions train side by side and are averaged after each iteration; Spark asks for at
+    least as many partitions as iterations.
+    """
     return Word2Vec(
         vectorSize=EMBEDDING_SIZE,
         windowSize=WINDOW,
         maxIter=WORD2VEC_ITERATIONS,
-        numPartitions=partitions,
+        numPartitions=partitions or max(WORD2VEC_ITERATIONS, _parallelism()),
         inputCol=column,
         seed=seed,
     ).fit(sequences)
@@ -127,8 +142,6 @@ def nearest_by_hashing(
     embeddings: DataFrame, vector: list[float], k: int = NEIGHBOURS, seed: int = 7
 ) -> DataFrame:
     """The k approximately nearest movies of a vector by Euclidean distance."""
-    from pyspark.ml.linalg import Vectors
-
     dense = embeddings.select("movieId", array_to_vector("emb").alias("emb"))
     model = BucketedRandomProjectionLSH(
         inputCol="emb",

@@ -11,6 +11,7 @@ from marquee.functions import traffic
 from marquee.operators.ranking import top_movies, top_per
 from marquee.operators.samples import liked
 from marquee.operators.scoring import POOL_LIMIT, top_by_cosine
+from marquee.plans.skew import join_lookup
 
 # Movies recalled per genre for a similar-movie list and for a user, from the
 # two global lists, and the ranking pool; weights of the genre score.
@@ -41,62 +42,100 @@ def genre_pool(scored: DataFrame, per_genre: int) -> DataFrame:
     return top_per(rows, "genre", order, per_genre).select("genre", "movieId")
 
 
-def recall_by_genre(scored: DataFrame, per_genre: int = SIMILAR_PER_GENRE) -> DataFrame:
-    """(seed, movieId) with both genre lists: movies among the best of a genre of the seed.
+def recall_by_genre(
+    profiles: DataFrame, scored: DataFrame, per_genre: int = SIMILAR_PER_GENRE
+) -> DataFrame:
+    """(profile, movieId) with the movie's genres and rating: the best of each profile genre.
 
-    A pair found through several genres is kept for the first one only, which needs no
-    shuffle: each candidate carries the genres it was listed under.
+    A profile is a sorted genre list. A movie found through several genres is kept for the
+    first one only, which needs no shuffle: it carries the genres it was listed under.
     """
     pool = genre_pool(scored, per_genre)
     listed = pool.groupBy("movieId").agg(F.collect_set("genre").alias("_listed"))
     members = pool.join(listed, "movieId").join(
         scored.select("movieId", "genres", "averageRating"), "movieId"
     )
-    seeds = scored.select(
-        F.col("movieId").alias("seed"),
-        F.col("genres").alias("seedGenres"),
-        F.explode("genres").alias("genre"),
-    )
-    found = F.array_intersect("seedGenres", "_listed")
+    wanted = profiles.select("profile", F.explode("profile").alias("genre"))
+    first = F.get(F.array_intersect("profile", "_listed"), F.lit(0))
     return (
-        seeds.join(members, "genre")
-        .where((F.col("seed") != F.col("movieId")) & (F.get(found, F.lit(0)) == F.col("genre")))
-        .select("seed", "seedGenres", "movieId", "genres", "averageRating")
+        wanted.join(members, "genre")
+        .where(first == F.col("genre"))
+        .select("profile", "movieId", "genres", "averageRating")
     )
 
 
 def similar_movies_by_genre(
     scored: DataFrame, size: int, per_genre: int = SIMILAR_PER_GENRE
 ) -> DataFrame:
-    """Each movie's `size` best candidates by genre score."""
-    score = genre_score(F.col("seedGenres"), F.col("genres"), F.col("averageRating"))
-    rows = recall_by_genre(scored, per_genre).select("seed", "movieId", score.alias("score"))
-    return top_per(rows, "seed", [F.desc("score"), F.col("movieId")], size)
+    """Each movie's `size` best candidates by genre score.
+
+    The score depends on the seed's genres only, so candidates are ranked once per distinct
+    genre list and not once per movie. One more than `size` is kept, as a seed drops itself.
+    """
+    seeds = scored.select(
+        F.col("movieId").alias("seed"), F.array_sort("genres").alias("profile")
+    )
+    recalled = recall_by_genre(seeds.select("profile").distinct(), scored, per_genre)
+    score = genre_score(F.col("profile"), F.col("genres"), F.col("averageRating"))
+    rows = recalled.select("profile", "movieId", score.alias("score"))
+    best = top_per(rows, "profile", [F.desc("score"), F.col("movieId")], size + 1)
+    candidate = F.struct("position", "movieId", "score")
+    lists = best.groupBy("profile").agg(F.array_sort(F.collect_list(candidate)).alias("_list"))
+    others = F.filter("_list", lambda c: c["movieId"] != F.col("seed"))
+    return (
+        join_lookup(seeds, lists, "profile")
+        .select("seed", F.posexplode(F.slice(others, 1, size)).alias("_at", "_c"))
+        .select(
+            "seed",
+            F.col("_c.movieId").alias("movieId"),
+            F.col("_c.score").alias("score"),
+            (F.col("_at") + 1).alias("position"),
+        )
+    )
 
 
-def multi_recall(ratings: DataFrame, scored: DataFrame) -> DataFrame:
+def multi_recall(ratings: DataFrame, catalogue: DataFrame, scored: DataFrame) -> DataFrame:
     """(userId, movieId) from three lists, without what the user has rated.
 
     The lists are the best of each genre in the history, the best rated and the newest
-    movies. A genre's list is one row with a short array; the two global lists are 2 x 100
-    ids and travel as a literal.
+    movies. Lists and the part of a history that can occur in them meet as one short array
+    per user, so candidates become rows only at the very end, already distinct.
     """
+    pool = genre_pool(scored, HISTORY_PER_GENRE)
+    lists = pool.groupBy("genre").agg(F.collect_list("movieId").alias("_ids"))
+    best = top_movies(scored, "averageRating", GLOBAL_LIST)
+    newest = top_movies(scored, "releaseYear", GLOBAL_LIST)
+    both = best.select("movieId").union(newest.select("movieId")).distinct()
+    ids = sorted(r[0] for r in both.collect())  # at most 2 x GLOBAL_LIST
+    everywhere = F.array(*[F.lit(i) for i in ids]).cast("array<int>")
+
     seen = ratings.select("userId", "movieId")
-    movie_genres = scored.select("movieId", F.explode("genres").alias("genre"))
+    movie_genres = catalogue.select("movieId", F.explode("genres").alias("genre"))
     user_genres = seen.join(movie_genres, "movieId").select("userId", "genre").distinct()
-    lists = genre_pool(scored, HISTORY_PER_GENRE).groupBy("genre").agg(
-        F.collect_list("movieId").alias("_ids")
+    by_genre = (
+        user_genres.join(lists, "genre")
+        .groupBy("userId")
+        .agg(F.flatten(F.collect_list("_ids")).alias("_genre"))
+    )
+    recallable = pool.select("movieId").union(both).distinct()
+    # no longer than the lists above, however many movies a user has rated
+    history = (
+        seen.join(recallable, "movieId", "left_semi")
+        .groupBy("userId")
+        .agg(F.collect_set("movieId").alias("_seen"))
+    )
+    none = F.array().cast("array<int>")
+    candidates = F.array_union(F.coalesce("_genre", none), everywhere)
+    return (
+        seen.select("userId")
+        .distinct()
+        .join(by_genre, "userId", "left")
+        .join(history, "userId", "left")
+        .select(
+            "userId",
+            F.explode(F.array_except(candidates, F.coalesce("_seen", none))).alias("movieId"),
+        )
     )
-    by_genre = user_genres.join(lists, "genre").select("userId", F.explode("_ids").alias("movieId"))
-
-    best = top_movies(scored, "averageRating", GLOBAL_LIST)
-    newest = top_movies(scored, "releaseYear", GLOBAL_LIST)
-    ids = [r[0] for r in best.select("movieId").union(newest.select("movieId")).collect()]
-    everywhere = F.array(*[F.lit(i) for i in sorted(set(ids))])
-    users = seen.select("userId").distinct()
-    global_lists = users.select("userId", F.explode(everywhere).alias("movieId"))
-    recalled = by_genre.unionByName(global_lists).distinct()
-    return recalled.join(seen, ["userId", "movieId"], "left_anti")
 
 
 def similar_movies_by_embedding(

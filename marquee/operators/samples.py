@@ -9,7 +9,7 @@ from pyspark.sql.window import WindowSpec
 
 from marquee.functions.frequency import by_frequency
 from marquee.functions.titles import genre_list, release_year, slot
-from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences
+from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences, join_lookup
 
 # Rating from which an item counts as liked, rows of history looked at, and how
 # many recent items, top genres and item genres become columns.
@@ -79,14 +79,23 @@ def movie_profile(movies: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def with_movie_features(ratings: DataFrame, movies: DataFrame) -> DataFrame:
+def with_movie_features(
+    ratings: DataFrame, movies: DataFrame, long_sequence: int = LONG_SEQUENCE
+) -> DataFrame:
     """Labelled ratings with the features of their movie.
 
     Catalogue and rating features meet in one row per movie first, so the ratings are joined
-    once. Spark broadcasts the profile only when it measures it small; otherwise both sides
-    are shuffled and adaptive execution splits the partitions of popular movies.
+    once.
     """
-    return add_label(ratings).join(movie_profile(movies, ratings), "movieId", "left")
+    profile = movie_profile(movies, ratings)
+    return join_lookup(add_label(ratings), profile, "movieId", "left", long_sequence, ratings)
+
+
+def join_rating_features(ratings: DataFrame, long_sequence: int = LONG_SEQUENCE) -> DataFrame:
+    """Ratings with the rating features of their movie alone."""
+    return join_lookup(
+        ratings, movie_rating_features(ratings), "movieId", "left", long_sequence
+    )
 
 
 def _totals(window: WindowSpec) -> dict[str, Column]:
@@ -129,10 +138,20 @@ def _sample_stddev(n: Column, s1: Column, s2: Column) -> Column:
     return F.when(n > 1, F.sqrt(variance))
 
 
-def add_user_history(samples: DataFrame, long_sequence: int = LONG_SEQUENCE) -> DataFrame:
+def add_user_history(
+    samples: DataFrame,
+    long_sequence: int = LONG_SEQUENCE,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Features of the user's last 100 events before each event; no future data enters."""
     framed = add_over_sequences(
-        samples, "userId", USER_ORDER, HISTORY_ROWS, [_totals, _frame_totals], long_sequence
+        samples,
+        "userId",
+        USER_ORDER,
+        HISTORY_ROWS,
+        [_totals, _frame_totals],
+        long_sequence,
+        counted,
     )
     n, some = F.col("_n"), F.col("_n") > 0
     latest = F.reverse(F.slice("_liked", -MOVIE_SLOTS, MOVIE_SLOTS))
@@ -162,7 +181,8 @@ def user_history(
     ratings: DataFrame, movies: DataFrame, long_sequence: int = LONG_SEQUENCE
 ) -> DataFrame:
     """Every rating with movie and user features, cold-start rows included."""
-    return add_user_history(with_movie_features(ratings, movies), long_sequence).drop("_genres")
+    described = with_movie_features(ratings, movies, long_sequence)
+    return add_user_history(described, long_sequence, ratings).drop("_genres")
 
 
 def mixed_samples(

@@ -1,4 +1,4 @@
-"""Windows over sequences when one key may hold a large share of all rows."""
+"""Windows and lookup joins when one key may hold a large share of all rows."""
 
 from __future__ import annotations
 
@@ -34,15 +34,42 @@ def heavy_keys(df: DataFrame, key: str, limit: int = LONG_SEQUENCE) -> list:
     return _known[memo]
 
 
+def _listed(df: DataFrame, key: str, heavy: list) -> DataFrame:
+    rows = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], df.select(key).schema)
+    return F.broadcast(rows)  # at most HEAVY_KEYS rows
+
+
 def _split(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame, int]:
-    spark = df.sparkSession
-    listed = spark.createDataFrame([(k,) for k, _ in heavy], df.select(key).schema)
-    listed = F.broadcast(listed)  # at most HEAVY_KEYS rows
+    listed = _listed(df, key, heavy)
     light = df.join(listed, key, "left_anti")
     long = df.join(listed, key, "left_semi")
     return light, long, sum(n for _, n in heavy)
 
 
+def join_lookup(
+    facts: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "inner",
+    limit: int = LONG_SEQUENCE,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Join `facts` to a table with one row per key.
+
+    Adaptive execution splits a skewed join only between two plain shuffles, which rules out
+    a lookup that is itself an aggregate. So the lookup rows of the heavy keys, at most
+    HEAVY_KEYS of them, are broadcast to where the facts are; only the rest is shuffled.
+    `counted` names a cheaper table with the same key distribution as `facts`.
+    """
+    heavy = heavy_keys(facts if counted is None else counted, key, limit)
+    if not heavy:
+        return facts.join(lookup, key, how)
+    listed = _listed(lookup, key, heavy)
+    light, long, _ = _split(facts, key, heavy)
+    popular = F.broadcast(lookup.join(listed, key, "left_semi"))
+    return light.join(lookup, key, how).unionByName(long.join(popular, key, how))
+
+
 def _ranges(rows: int, limit: int) -> int:
     return max(2, -(-rows // max(1, limit)))
 
@@ -54,12 +81,14 @@ def add_over_sequences(
     lookback: int,
     stages: Sequence[Callable[[WindowSpec], dict[str, Column]]],
     limit: int = LONG_SEQUENCE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add window columns that depend on at most the `lookback` previous rows of a key.
 
     Short sequences use one window partition each. A long one is cut into blocks of `limit`
     rows, each with a copy of the `lookback` rows before it, so its blocks run in parallel.
     `stages` are applied in turn; each maps a window (key, in order) to new columns.
+    `counted` names a cheaper table with the same key distribution as `df`.
     """
 
     def apply(rows: DataFrame, window: WindowSpec) -> DataFrame:
@@ -67,7 +96,7 @@ def add_over_sequences(
             rows = rows.withColumns(stage(window))
         return rows
 
-    heavy = heavy_keys(df, key, limit)
+    heavy = heavy_keys(df if counted is None else counted, key, limit)
     if not heavy:
         return apply(df, W.partitionBy(key).orderBy(*order))
     light, long, rows = _split(df, key, heavy)
