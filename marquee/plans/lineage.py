@@ -16,12 +16,15 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder is used only in local mode, where driver and executors share a disk.
     """
     global _local_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
+    context = spark.sparkContext
+    named = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or context.getConf().get("spark.checkpoint.dir")
+        or context.getCheckpointDir()
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="marquee-")
