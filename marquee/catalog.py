@@ -375,7 +375,7 @@ def predictions_joined(t: Inputs) -> DataFrame:
     """Responses that score a movie by its id, parsed and matched by position."""
     pairs = _watch_pairs(t)
     item = F.struct("position", F.array(F.col("movieId") / 100000.0).alias("p"))
-    scores = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["p"])
+    scores = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["p"])
     responses = pairs.groupBy("userId").agg(
         F.to_json(F.struct(scores.alias("predictions"))).alias("response")
     )
@@ -1245,7 +1245,8 @@ def two_tower_scores(t: Inputs) -> DataFrame:
 
 
 def _item2vec(t: Inputs):
-    return models.item2vec(graph.item_sequences(t.ratings), "movieIds")
+    sequences = graph.item_sequences(t.ratings).select("movieIds")
+    return models.item2vec(materialize(sequences, "sequences"), "movieIds")
 
 
 @query()

@@ -118,18 +118,14 @@ def watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def watchlist_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a watch-list change: errors delete, sign-ups clear, the rest add."""
     kind = F.col("event_type")
-    wanted = kind.isin("view", "error") | ((kind == "signup") & (_k() < 10))
-    return (
-        table(spark, sf_dir, "events")
-        .where(wanted)
-        .select(
-            "event_id",
-            F.col("user_id").cast("int").alias("userId"),
-            _k().alias("movieId"),
-            micros("ts").alias("timestamp"),
-            F.when(kind == "view", "add").when(kind == "error", "del").otherwise("clear").alias("op"),
-        )
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        F.col("user_id").cast("int").alias("userId"),
+        _k().alias("movieId"),
+        micros("ts").alias("timestamp"),
+        F.when(kind == "error", "del").when(kind == "signup", "clear").otherwise("add").alias("op"),
     )
 
 

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# More than the longest array, so that a count and a position fit in one BIGINT.
+_SHIFT = 1 << 32
+
 
 def by_frequency(values: Column) -> Column:
     """Distinct elements by falling count; ties keep the order of first appearance.
 
-    `values` is used several times, so pass a plain column, not a long expression.
+    Count and first position are sorted as one number, which is much cheaper than sorting
+    structs. `values` is used several times, so pass a plain column, not a long expression.
     """
-    ranked = F.transform(
+    shift = F.lit(_SHIFT)
+    keys = F.transform(
         F.array_distinct(values),
-        lambda v: F.struct(
-            (-F.size(F.filter(values, lambda x: x == v))).alias("neg"),
-            F.array_position(values, v).alias("first"),
-            v.alias("value"),
-        ),
+        lambda v: F.array_position(values, v) - F.size(F.filter(values, lambda x: x == v)) * shift,
     )
-    return F.transform(F.array_sort(ranked), lambda r: r["value"])
+    at = lambda key: (F.pmod(key, shift) - 1).cast("int")
+    return F.transform(F.sort_array(keys), lambda key: F.get(values, at(key)))

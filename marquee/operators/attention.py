@@ -37,7 +37,7 @@ def history_attention_pool(samples: DataFrame, embeddings: DataFrame) -> DataFra
         )
     )
     parts = weighted.groupBy("userId", "movieId").agg(
-        F.array_sort(F.collect_list("_item")).alias("_items")
+        F.sort_array(F.collect_list("_item")).alias("_items")
     )
     first = F.get("_items", F.lit(0))["v"]
     others = F.slice("_items", 2, len(RATED_MOVIES))

@@ -28,6 +28,6 @@ def watchlist_snapshot(ops: DataFrame, order: list[str]) -> DataFrame:
     entries = ops.where(F.col("op") != "clear")
     last = last_write(entries, ["userId", "movieId"], order).where(F.col("op") == "add")
     cleared = ops.where(F.col("op") == "clear").groupBy("userId").agg(F.max(at).alias("_cleared"))
-    kept = join_lookup(last, cleared, "userId", "left", counted=ops)
+    kept = join_lookup(last, cleared, "userId", "left")
     alive = F.col("_cleared").isNull() | (at > F.col("_cleared"))
     return kept.where(alive).select("userId", "movieId", "timestamp")

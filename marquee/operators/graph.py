@@ -36,7 +36,7 @@ def item_sequences(ratings: DataFrame, long_sequence: int = LONG_SEQUENCE) -> Da
     """Liked movies of each user in time order, in segments of at most SEQUENCE_ROWS items."""
     placed = number_sequences(liked_events(ratings), "userId", USER_ORDER, "_pos", long_sequence)
     segment = F.floor(F.col("_pos") / SEQUENCE_ROWS).cast("int")
-    items = F.array_sort(F.collect_list(F.struct("_pos", "movieId")))
+    items = F.sort_array(F.collect_list(F.struct("_pos", "movieId")))
     grouped = placed.groupBy("userId", segment.alias("segment")).agg(items.alias("_items"))
     return grouped.select(
         "userId",
@@ -99,7 +99,7 @@ def walk_arcs(pairs: DataFrame) -> DataFrame:
     runs = numbered.groupBy(F.col("src").alias("dst")).agg(
         F.min("arc").alias("_first"), F.count(F.lit(1)).alias("_out")
     )
-    return join_lookup(numbered, runs, "dst", "left", counted=pairs)
+    return join_lookup(numbered, runs, "dst", "left")
 
 
 def random_walks(

@@ -73,14 +73,14 @@ def similar_movies_by_genre(
     genre list and not once per movie. One more than `size` is kept, as a seed drops itself.
     """
     seeds = scored.select(
-        F.col("movieId").alias("seed"), F.array_sort("genres").alias("profile")
+        F.col("movieId").alias("seed"), F.sort_array("genres").alias("profile")
     )
     recalled = recall_by_genre(seeds.select("profile").distinct(), scored, per_genre)
     score = genre_score(F.col("profile"), F.col("genres"), F.col("averageRating"))
     rows = recalled.select("profile", "movieId", score.alias("score"))
     best = top_per(rows, "profile", [F.desc("score"), F.col("movieId")], size + 1)
     candidate = F.struct("position", "movieId", "score")
-    lists = best.groupBy("profile").agg(F.array_sort(F.collect_list(candidate)).alias("_list"))
+    lists = best.groupBy("profile").agg(F.sort_array(F.collect_list(candidate)).alias("_list"))
     others = F.filter("_list", lambda c: c["movieId"] != F.col("seed"))
     return (
         join_lookup(seeds, lists, "profile")

@@ -79,23 +79,18 @@ def movie_profile(movies: DataFrame, ratings: DataFrame) -> DataFrame:
     )
 
 
-def with_movie_features(
-    ratings: DataFrame, movies: DataFrame, long_sequence: int = LONG_SEQUENCE
-) -> DataFrame:
+def with_movie_features(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     """Labelled ratings with the features of their movie.
 
     Catalogue and rating features meet in one row per movie first, so the ratings are joined
     once.
     """
-    profile = movie_profile(movies, ratings)
-    return join_lookup(add_label(ratings), profile, "movieId", "left", long_sequence, ratings)
+    return join_lookup(add_label(ratings), movie_profile(movies, ratings), "movieId", "left")
 
 
-def join_rating_features(ratings: DataFrame, long_sequence: int = LONG_SEQUENCE) -> DataFrame:
+def join_rating_features(ratings: DataFrame) -> DataFrame:
     """Ratings with the rating features of their movie alone."""
-    return join_lookup(
-        ratings, movie_rating_features(ratings), "movieId", "left", long_sequence
-    )
+    return join_lookup(ratings, movie_rating_features(ratings), "movieId", "left")
 
 
 def _totals(window: WindowSpec) -> dict[str, Column]:
@@ -181,7 +176,7 @@ def user_history(
     ratings: DataFrame, movies: DataFrame, long_sequence: int = LONG_SEQUENCE
 ) -> DataFrame:
     """Every rating with movie and user features, cold-start rows included."""
-    described = with_movie_features(ratings, movies, long_sequence)
+    described = with_movie_features(ratings, movies)
     return add_user_history(described, long_sequence, ratings).drop("_genres")
 
 

@@ -45,8 +45,7 @@ WHERE l_returnflag='R' AND l_linestatus='O' GROUP BY 1,2""",
     "watchlist_ops": (
         [],
         f"""SELECT event_id, CAST(user_id AS INT) userId, {K} movieId, epoch_us(ts) AS timestamp,
- CASE WHEN event_type='view' THEN 'add' WHEN event_type='error' THEN 'del' ELSE 'clear' END op
-FROM events WHERE event_type IN ('view','error') OR (event_type='signup' AND {K}<10)""",
+ CASE event_type WHEN 'error' THEN 'del' WHEN 'signup' THEN 'clear' ELSE 'add' END op FROM events""",
     ),
     "item_embeddings": (
         [],

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from marquee.plans.lineage import materialize
 from marquee.plans.ordered import number_rows
 
 # A sequence longer than this is split over several tasks.
@@ -34,40 +35,23 @@ def heavy_keys(df: DataFrame, key: str, limit: int = LONG_SEQUENCE) -> list:
     return _known[memo]
 
 
-def _listed(df: DataFrame, key: str, heavy: list) -> DataFrame:
-    rows = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], df.select(key).schema)
-    return F.broadcast(rows)  # at most HEAVY_KEYS rows
-
-
 def _split(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame, int]:
-    listed = _listed(df, key, heavy)
+    rows = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], df.select(key).schema)
+    listed = F.broadcast(rows)  # at most HEAVY_KEYS rows
     light = df.join(listed, key, "left_anti")
     long = df.join(listed, key, "left_semi")
     return light, long, sum(n for _, n in heavy)
 
 
-def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "inner",
-    limit: int = LONG_SEQUENCE,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Join `facts` to a table with one row per key.
+def join_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join `facts` to a computed table with one row per key, such as an aggregate of them.
 
-    Adaptive execution splits a skewed join only between two plain shuffles, which rules out
-    a lookup that is itself an aggregate. So the lookup rows of the heavy keys, at most
-    HEAVY_KEYS of them, are broadcast to where the facts are; only the rest is shuffled.
-    `counted` names a cheaper table with the same key distribution as `facts`.
+    The lookup is written first, which costs little as it is far smaller than the facts. Spark
+    then plans with its true size: below the broadcast threshold the facts are not shuffled
+    at all. Above it both sides of the join are plain shuffles, the only shape in which
+    adaptive execution splits the partition of a popular key.
     """
-    heavy = heavy_keys(facts if counted is None else counted, key, limit)
-    if not heavy:
-        return facts.join(lookup, key, how)
-    listed = _listed(lookup, key, heavy)
-    light, long, _ = _split(facts, key, heavy)
-    popular = F.broadcast(lookup.join(listed, key, "left_semi"))
-    return light.join(lookup, key, how).unionByName(long.join(popular, key, how))
+    return facts.join(materialize(lookup, "lookup"), key, how)
 
 
 def _ranges(rows: int, limit: int) -> int:

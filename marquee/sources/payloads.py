@@ -31,7 +31,7 @@ def ratings_as_json(ratings: DataFrame, long_sequence: int = LONG_SEQUENCE) -> D
     grouped = (
         placed.select("userId", document.alias("document"), item.alias("_item"))
         .groupBy("userId", "document")
-        .agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+        .agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     )
     ordered = F.transform("_items", lambda x: x["wrapped"])
     return grouped.select(
@@ -48,7 +48,7 @@ def scoring_requests(pairs: DataFrame, fields: Sequence[str] = tuple(ID_FIELDS))
     Candidate lists are cut to a fixed size before this point, so a request is bounded.
     """
     instance = F.struct("position", F.struct(*fields).alias("fields"))
-    grouped = pairs.groupBy("userId").agg(F.array_sort(F.collect_list(instance)).alias("_all"))
+    grouped = pairs.groupBy("userId").agg(F.sort_array(F.collect_list(instance)).alias("_all"))
     instances = F.transform("_all", lambda x: x["fields"])
     return grouped.select(
         "userId",

@@ -71,6 +71,12 @@ def between(ratings: DataFrame, low: int, high: int) -> DataFrame:
     return ratings.where(F.col("timestamp").between(low, high))
 
 
+def time_slices(low: int, high: int, slices: int) -> list[str]:
+    """Disjoint conditions that together cover the times from `low` to `high`."""
+    edges = [low + (high + 1 - low) * i // slices for i in range(slices + 1)]
+    return [f"timestamp >= {a} AND timestamp < {b}" for a, b in zip(edges, edges[1:]) if a < b]
+
+
 def read_ratings_jdbc(
     spark: SparkSession,
     url: str,
@@ -81,10 +87,7 @@ def read_ratings_jdbc(
     columns: Sequence[str] = ("userId", "movieId", "score", "timestamp"),
 ) -> DataFrame:
     """The same range from a database table, read by `slices` tasks over disjoint times."""
-    edges = [low + (high + 1 - low) * i // slices for i in range(slices + 1)]
-    predicates = [
-        f"timestamp >= {a} AND timestamp < {b}" for a, b in zip(edges, edges[1:]) if a < b
-    ]
+    predicates = time_slices(low, high, slices)
     rows = spark.read.jdbc(url, "ratings", predicates=predicates, properties=properties or {})
     return rows.select(*columns).withColumnRenamed("score", "rating")
 

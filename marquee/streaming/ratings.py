@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marquee.operators.changes import last_write
@@ -69,13 +70,13 @@ def latest_per_window(samples: DataFrame) -> DataFrame:
 
 
 def run_available(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "update"
-):
-    """Process all data that is there and stop; offsets are kept in the shared folder."""
+    stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str, offsets: str
+) -> StreamingQuery:
+    """Process the data that is there and stop; the next run goes on after `offsets`."""
     query = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, "offsets"))
+        .option("checkpointLocation", offsets)
         .trigger(availableNow=True)
         .start()
     )
@@ -84,38 +85,50 @@ def run_available(
 
 
 def run_into_versions(
-    stream: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame] | None = None
+    stream: DataFrame,
+    mode: str,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
-    """All batches of the available data as one table with a `version` column.
+    """All batches so far as one table with a `version` column.
 
     Each batch is a folder of its own and a repeated batch replaces itself, so a restart
-    changes nothing.
+    changes nothing. `folder` keeps rows and offsets between runs: an hourly job that names
+    the same folder reads only what has arrived since, whatever the clock says.
     """
     spark, schema = stream.sparkSession, stream.schema
-    folder = fresh_path(spark, "versions")
+    folder = folder or fresh_path(spark, "stream")
+    rows = f"{folder}/rows"
     # lets the table be read even if no batch comes
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/version=-1")
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{rows}/version=-1")
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        rows.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        kept = prepare(batch) if prepare else batch
+        kept.write.mode("overwrite").parquet(f"{rows}/version={number}")
 
-    run_available(stream, write, mode)
+    run_available(stream, write, mode, f"{folder}/offsets")
     versioned = StructType([*schema.fields, StructField("version", IntegerType())])
-    return spark.read.schema(versioned).parquet(folder)
+    return spark.read.schema(versioned).parquet(rows)
 
 
-def run_latest(stream: DataFrame) -> DataFrame:
+def compact(rows: DataFrame, keys: list[str], order: list[str], path: str) -> DataFrame:
+    """The newest row of each key as a table of its own, once there are many versions."""
+    last_write(rows, keys, order).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def run_latest(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Latest sample per user and hour after all available data."""
-    versions = run_into_versions(latest_per_window(to_samples(stream)), "update")
+    latest = latest_per_window(to_samples(stream))
+    versions = run_into_versions(latest, "update", folder=folder)
     return last_write(versions, ["windowStart", "userId"], ["version"]).drop("version")
 
 
-def run_feature_upserts(stream: DataFrame) -> DataFrame:
+def run_feature_upserts(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Feature table with each user's newest movie, kept current batch by batch."""
     order = ["ts", "event_id"]
     versions = run_into_versions(
-        to_samples(stream), "append", lambda batch: last_write(batch, ["userId"], order)
+        to_samples(stream), "append", lambda batch: last_write(batch, ["userId"], order), folder
     )
     return last_write(versions, ["userId"], order).select(
         F.concat(F.lit("uf:"), F.col("userId").cast("string")).alias("key"),
@@ -126,8 +139,10 @@ def run_feature_upserts(stream: DataFrame) -> DataFrame:
     )
 
 
-def run_rating_upserts(stream: DataFrame, base: DataFrame) -> DataFrame:
+def run_rating_upserts(
+    stream: DataFrame, base: DataFrame, folder: str | None = None
+) -> DataFrame:
     """Ratings after all available changes: insert new pairs, overwrite known ones."""
     keys, order = ["userId", "movieId"], ["timestamp", "event_id"]
-    changes = run_into_versions(stream, "append", lambda batch: last_write(batch, keys, order))
+    changes = run_into_versions(stream, "append", lambda batch: last_write(batch, keys, order), folder)
     return last_write(base.unionByName(changes.drop("version")), keys, order)

@@ -43,6 +43,13 @@ def test_range_reaches_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<userId:int,timestamp:bigint>" in plan
 
 
+def test_time_slices_cover_each_time_once(spark):
+    for low, high, n in ((0, 99, 7), (5, 5, 16), (10, 12, 3)):
+        times = spark.range(low - 3, high + 4).withColumnRenamed("id", "timestamp")
+        found = [r[0] for p in tables.time_slices(low, high, n) for r in times.where(p).collect()]
+        assert sorted(found) == list(range(low, high + 1))
+
+
 def test_embedding_lines(spark, tmp_path):
     (tmp_path / "e.csv").write_text("1:0.5 -1.0\nbroken\n2:1:2\n3:2.0 4.0\n")
     out = embeddings.read_embeddings(spark, str(tmp_path / "e.csv")).orderBy("movieId").collect()

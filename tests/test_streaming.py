@@ -86,6 +86,29 @@ def test_rating_upserts(spark, tmp_path):
     }
 
 
+def test_next_run_goes_on_where_the_last_one_stopped(spark, tmp_path):
+    first = [[(1, 1, 10, 3.0, at(1, 5)), (2, 1, 11, 3.0, at(2, 5))]]
+    folder = str(tmp_path / "state")
+    arrivals = tmp_path / "in"
+    out = rating_stream.run_latest(deliver(spark, arrivals, first), folder)
+    assert latest(out) == {("01", 1): 10, ("02", 1): 11}
+    late = spark.createDataFrame([(3, 1, 12, 3.0, at(2, 50))], SCHEMA).coalesce(1)
+    late.write.parquet(str(arrivals / "delivery=9"))
+    schema = spark.createDataFrame([], SCHEMA).schema
+    again = rating_stream.read_stream(spark, str(arrivals / "*"), schema, files_per_batch=1)
+    out = rating_stream.run_latest(again, folder)
+    assert latest(out) == {("01", 1): 10, ("02", 1): 12}
+    versions = spark.read.parquet(f"{folder}/rows")
+    # the second run wrote only the hour it changed
+    first_run, second_run = {0}, {r.version for r in versions.collect()} - {0}
+    assert len(second_run) == 1
+    assert versions.where(F.col("version").isin(*first_run)).count() == 2
+    assert versions.where(F.col("version").isin(*second_run)).count() == 1
+    keys = ["windowStart", "userId"]
+    kept = rating_stream.compact(versions, keys, ["version"], str(tmp_path / "compact"))
+    assert kept.count() == 2
+
+
 def test_empty_stream(spark, tmp_path):
     (tmp_path / "none").mkdir()
     schema = spark.createDataFrame([], SCHEMA).schema
