@@ -54,6 +54,11 @@ class Inputs:
     def scored(self) -> DataFrame:
         return ranking.scored_movies(self.catalogue, self.ratings)
 
+    @cached_property
+    def stored_scores(self) -> DataFrame:
+        """The scored catalogue, written once for queries that read it several times."""
+        return materialize(self.scored, "scored")
+
     @cached_property
     def embeddings(self) -> DataFrame:
         return fixtures.item_embeddings(self.spark, self.dir)
@@ -350,7 +355,7 @@ def _watch_pairs(t: Inputs) -> DataFrame:
 
 
 def _ranking_rows(t: Inputs) -> DataFrame:
-    rows = samples.mixed_samples(t.ratings, t.movies)
+    rows = materialize(t.samples, "mixed")  # read for users and for movies
     return lookups.ranking_features(
         _watch_pairs(t),
         samples.user_features_latest(rows),
@@ -358,9 +363,36 @@ def _ranking_rows(t: Inputs) -> DataFrame:
     )
 
 
-@query()
+@query(
+    f"""SELECT p.userId, CAST(count(*) AS INT) AS instances, CAST(sum(p.movieId) AS BIGINT) AS movieIds,
+ CAST(sum(u.userRatingCount) AS BIGINT) AS ratingCounts, CAST(sum(coalesce(u.userRatedMovie4, 0)) AS BIGINT) AS fifthMovies,
+ string_agg(coalesce(m.genre0, ''), '|' ORDER BY p.position) AS genres
+FROM (SELECT * FROM (SELECT w.userId, w.movieId,
+  row_number() OVER (PARTITION BY w.userId ORDER BY w.timestamp DESC, w.movieId) AS position
+  FROM watchlist w JOIN movies x USING (movieId)) y WHERE position <= 20) p
+JOIN {_USER_LATEST} u ON u.userId=p.userId JOIN {_MOVIE_LATEST} m ON m.movieId=p.movieId
+GROUP BY p.userId""",
+    "mixed",
+    "watchlist",
+    "movies",
+)
 def scoring_payload(t: Inputs) -> DataFrame:
-    return payloads.scoring_requests(_ranking_rows(t), payloads.FEATURE_FIELDS)
+    """What a scorer finds in the requests."""
+    requests = payloads.scoring_requests(_ranking_rows(t), payloads.FEATURE_FIELDS)
+    instance = "movieId BIGINT, userRatingCount BIGINT, userRatedMovie4 BIGINT, genre0 STRING"
+    parsed = F.from_json("request", f"instances ARRAY<STRUCT<{instance}>>")["instances"]
+
+    def total(field: str) -> Column:
+        return F.aggregate("_all", F.lit(0).cast("bigint"), lambda s, x: s + x[field])
+
+    return requests.withColumn("_all", parsed).select(
+        "userId",
+        "instances",
+        total("movieId").alias("movieIds"),
+        total("userRatingCount").alias("ratingCounts"),
+        total("userRatedMovie4").alias("fifthMovies"),
+        F.array_join(F.transform("_all", lambda x: x["genre0"]), "|").alias("genres"),
+    )
 
 
 @query(
@@ -881,7 +913,7 @@ WHERE position <= {SIMILAR}""",
     "scored_movies",
 )
 def similar_movies_genre(t: Inputs) -> DataFrame:
-    return _rounded(recall.similar_movies_by_genre(t.scored, SIMILAR), ["score"], 9)
+    return _rounded(recall.similar_movies_by_genre(t.stored_scores, SIMILAR), ["score"], 9)
 
 
 @query(
@@ -897,7 +929,7 @@ WHERE NOT EXISTS (SELECT 1 FROM ratings r WHERE r.userId=c.userId AND r.movieId=
     "scored_movies",
 )
 def multi_recall(t: Inputs) -> DataFrame:
-    return recall.multi_recall(t.ratings, t.catalogue, t.scored)
+    return recall.multi_recall(t.ratings, t.catalogue, t.stored_scores)
 
 
 _COS = "round(list_cosine_similarity(CAST(a.emb AS DOUBLE[]), CAST(b.emb AS DOUBLE[])), 6)"
@@ -914,7 +946,7 @@ _COS = "round(list_cosine_similarity(CAST(a.emb AS DOUBLE[]), CAST(b.emb AS DOUB
     "scored_movies",
 )
 def similar_movies_embedding(t: Inputs) -> DataFrame:
-    return recall.similar_movies_by_embedding(t.scored, t.embeddings, SIMILAR)
+    return recall.similar_movies_by_embedding(t.stored_scores, t.embeddings, SIMILAR)
 
 
 _USER_EMB = """SELECT userId, dim, avg(v) AS v FROM (
@@ -950,12 +982,41 @@ def user_rank_embedding(t: Inputs) -> DataFrame:
     return recall.recommend_for_users(
         tables.derive_users(t.ratings),
         recall.user_embeddings(t.ratings, t.embeddings),
-        t.scored,
+        t.stored_scores,
         t.embeddings,
         SIMILAR,
     )
 
 
+@query()
+def user_rank_two_tower(t: Inputs) -> DataFrame:
+    """The ranking pool ordered by factors trained on all ratings."""
+    model = models.als().fit(materialize(t.ratings, "ratings"))
+    return recall.recommend_by_factors(
+        model.userFactors, model.itemFactors, t.stored_scores, SIMILAR
+    )
+
+
+@query()
+def user_rank_model(t: Inputs) -> DataFrame:
+    """Each user's watch list ordered by a click model trained on the samples."""
+    rows = materialize(t.samples, "mixed")
+    pairs = lookups.ranking_features(
+        _watch_pairs(t),
+        samples.user_features_latest(rows),
+        samples.movie_features_latest(rows),
+    )
+    # the label is what the model predicts; candidates have none yet
+    inputs = pairs.withColumn("label", F.lit(0))
+    probability = vector_to_array("probability")[1]
+    scored = models.score(models.wide_model(rows), inputs).select(
+        F.col("userId").cast("int").alias("userId"),
+        F.col("movieId").cast("int").alias("movieId"),
+        probability.alias("score"),
+    )
+    return recall.rank_scored_pairs(scored, SIMILAR)
+
+
 @query()
 def lsh_neighbors(t: Inputs) -> DataFrame:
     """Approximate neighbours of the embedding with the lowest movie id."""

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions import traffic
+from marquee.functions.vectors import sigmoid
 from marquee.operators.ranking import top_movies, top_per
 from marquee.operators.samples import liked
-from marquee.operators.scoring import POOL_LIMIT, top_by_cosine
+from marquee.operators.scoring import POOL_LIMIT, top_by_product
+from marquee.plans.lineage import materialize
 from marquee.plans.skew import join_lookup
 
 # Movies recalled per genre for a similar-movie list and for a user, from the
@@ -57,8 +59,9 @@ def recall_by_genre(
     )
     wanted = profiles.select("profile", F.explode("profile").alias("genre"))
     first = F.get(F.array_intersect("profile", "_listed"), F.lit(0))
+    # genres x per_genre rows; once written, Spark sees that they fit a broadcast
     return (
-        wanted.join(members, "genre")
+        wanted.join(materialize(members, "pool"), "genre")
         .where(first == F.col("genre"))
         .select("profile", "movieId", "genres", "averageRating")
     )
@@ -113,11 +116,11 @@ def multi_recall(ratings: DataFrame, catalogue: DataFrame, scored: DataFrame) ->
     movie_genres = catalogue.select("movieId", F.explode("genres").alias("genre"))
     user_genres = seen.join(movie_genres, "movieId").select("userId", "genre").distinct()
     by_genre = (
-        user_genres.join(lists, "genre")
+        join_lookup(user_genres, lists, "genre")
         .groupBy("userId")
         .agg(F.flatten(F.collect_list("_ids")).alias("_genre"))
     )
-    recallable = pool.select("movieId").union(both).distinct()
+    recallable = materialize(pool.select("movieId").union(both).distinct(), "recallable")
     # no longer than the lists above, however many movies a user has rated
     history = (
         seen.join(recallable, "movieId", "left_semi")
@@ -146,7 +149,7 @@ def similar_movies_by_embedding(
     pool = best.join(embeddings, "movieId")
     seeds = embeddings.join(scored.select("movieId"), "movieId", "left_semi")
     seeds = seeds.select(F.col("movieId").alias("seed"), "emb")
-    return top_by_cosine(seeds, "seed", pool, size, drop_self=True)
+    return top_by_product(seeds, "seed", pool, size, drop_self=True)
 
 
 def user_embeddings(ratings: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -175,7 +178,32 @@ def recommend_for_users(
     pool = top_movies(scored, "averageRating", pool_size).select("movieId")
     pool = pool.join(embeddings, "movieId", "left")
     seeds = users.select("userId").join(user_vectors, "userId", "left")
-    return top_by_cosine(seeds, "userId", pool, size)
+    return top_by_product(seeds, "userId", pool, size)
+
+
+def recommend_by_factors(
+    user_factors: DataFrame,
+    item_factors: DataFrame,
+    scored: DataFrame,
+    size: int,
+    pool_size: int = RANKING_POOL,
+) -> DataFrame:
+    """The same pool ranked by the dot product of trained factors, as a probability.
+
+    Both factor tables have `id` and `features`. Pool movies the model has never seen are left
+    out, as are unknown users.
+    """
+    pool = top_movies(scored, "averageRating", pool_size).select("movieId")
+    items = item_factors.select(F.col("id").alias("movieId"), F.col("features").alias("emb"))
+    users = user_factors.select(F.col("id").alias("userId"), F.col("features").alias("emb"))
+    best = top_by_product(users, "userId", pool.join(items, "movieId"), size, normalized=False)
+    return best.withColumn("score", sigmoid(F.col("score")))
+
+
+def rank_scored_pairs(scored_pairs: DataFrame, size: int) -> DataFrame:
+    """Each user's `size` best candidates among pairs a model has scored."""
+    rows = scored_pairs.select("userId", "movieId", "score")
+    return top_per(rows, "userId", [F.desc("score"), F.col("movieId")], size)
 
 
 def routed_users(users: DataFrame, testing: bool = True) -> DataFrame:

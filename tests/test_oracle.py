@@ -27,7 +27,8 @@ def test_entry(spark):
 @pytest.mark.parametrize(
     "name,rows",
     [
-        ("scoring_payload", None),
+        ("user_rank_two_tower", 1500),
+        ("user_rank_model", None),
         ("lsh_neighbors", 5),
         ("rating_count_buckets", 200),
         ("feature_pipeline", 200),

@@ -93,13 +93,13 @@ def test_multi_recall_leaves_out_the_history(catalogue, ratings):
     assert out.count() == 12 * 40 - ratings.select("userId", "movieId").distinct().count()
 
 
-def test_top_by_cosine_against_brute_force(spark):
+def test_top_by_product_against_brute_force(spark):
     rng = np.random.default_rng(3)
     pool = [(i, rng.normal(size=6).tolist()) for i in range(60)] + [(60, None), (61, [1.0])]
     pool.append((62, pool[7][1]))
     seeds = [(i, rng.normal(size=6).tolist()) for i in range(40)] + [(40, None)]
     seeds[7] = (7, pool[7][1])
-    out = scoring.top_by_cosine(
+    out = scoring.top_by_product(
         spark.createDataFrame(seeds, "seed int, emb array<double>").repartition(3),
         "seed",
         spark.createDataFrame(pool, "movieId int, emb array<double>"),
@@ -126,7 +126,7 @@ def test_pool_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(scoring, "POOL_LIMIT", 3)
     pool = spark.range(4).select(F.col("id").cast("int").alias("movieId"), F.array(F.lit(1.0)).alias("emb"))
     with pytest.raises(ValueError):
-        scoring.top_by_cosine(pool.withColumnRenamed("movieId", "seed"), "seed", pool, 2)
+        scoring.top_by_product(pool.withColumnRenamed("movieId", "seed"), "seed", pool, 2)
 
 
 def test_users_without_vector_rank_by_id(spark, catalogue, ratings):
@@ -147,3 +147,25 @@ def test_user_embedding_is_the_mean_of_liked(spark, make_ratings):
     ratings = make_ratings([(1, 1, 4.0, 1), (1, 2, 5.0, 2), (1, 3, 1.0, 3), (2, 3, 1.0, 4)])
     out = recall.user_embeddings(ratings, emb).collect()
     assert [(r.userId, r.emb) for r in out] == [(1, [2.0, 4.0])]
+
+
+def test_factors_rank_by_probability(spark, catalogue, ratings):
+    scored = ranking.scored_movies(catalogue, ratings)
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, -1.0])], "id int, features array<float>")
+    items = spark.createDataFrame([(3, [2.0, 1.0]), (4, [0.5, 3.0])], "id int, features array<float>")
+    out = recall.recommend_by_factors(users, items, scored, 2, pool_size=40)
+    rows = {(r.userId, r.position): (r.movieId, round(r.score, 4)) for r in out.collect()}
+    assert rows == {
+        (1, 1): (3, round(1 / (1 + np.exp(-2)), 4)),
+        (1, 2): (4, round(1 / (1 + np.exp(-0.5)), 4)),
+        (2, 1): (3, round(1 / (1 + np.exp(1)), 4)),
+        (2, 2): (4, round(1 / (1 + np.exp(3)), 4)),
+    }
+
+
+def test_best_of_scored_pairs(spark):
+    pairs = spark.createDataFrame(
+        [(1, 5, 0.5), (1, 4, 0.5), (1, 6, 0.9), (2, 1, 0.1)], "userId int, movieId int, score double"
+    )
+    out = recall.rank_scored_pairs(pairs, 2).orderBy("userId", "position").collect()
+    assert [(r.userId, r.movieId) for r in out] == [(1, 6), (1, 4), (2, 1)]
