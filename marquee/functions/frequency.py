@@ -13,12 +13,14 @@ def by_frequency(values: Column) -> Column:
     """Distinct elements by falling count; ties keep the order of first appearance.
 
     Count and first position are sorted as one number, which is much cheaper than sorting
-    structs. `values` is used several times, so pass a plain column, not a long expression.
+    structs, and an element is counted by what is left without it, which needs no nested
+    lambda. `values` is used several times, so pass a plain column, not a long expression.
     """
     shift = F.lit(_SHIFT)
     keys = F.transform(
         F.array_distinct(values),
-        lambda v: F.array_position(values, v) - F.size(F.filter(values, lambda x: x == v)) * shift,
+        lambda v: F.array_position(values, v)
+        - (F.size(values) - F.size(F.array_remove(values, v))) * shift,
     )
     at = lambda key: (F.pmod(key, shift) - 1).cast("int")
     return F.transform(F.sort_array(keys), lambda key: F.get(values, at(key)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from marquee.functions.frequency import by_frequency
-from marquee.functions.titles import genre_list, release_year, slot
+from marquee.functions.titles import MISSING_YEAR, genre_list, release_year, slot
 from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences, join_lookup
 
 # Rating from which an item counts as liked, rows of history looked at, and how
@@ -72,8 +72,7 @@ def movie_profile(movies: DataFrame, ratings: DataFrame) -> DataFrame:
     return (
         movie_rating_features(ratings)
         .join(described, "movieId", "left")
-        .withColumn("releaseYear", release_year(F.lit(None).cast("string")))
-        .withColumn("releaseYear", F.coalesce("_year", "releaseYear"))
+        .withColumn("releaseYear", F.coalesce("_year", F.lit(MISSING_YEAR)))
         .withColumns({f"genre{i}": slot(F.col("_genres"), i) for i in range(MOVIE_GENRE_SLOTS)})
         .drop("_year")
     )

@@ -18,21 +18,15 @@ LONG_SEQUENCE = 2_000_000
 # the list holds at most 1/HEAVY_KEYS of the rows.
 HEAVY_KEYS = 100_000
 
-_known: dict[tuple, list] = {}
-
 
 def heavy_keys(df: DataFrame, key: str, limit: int = LONG_SEQUENCE) -> list:
     """(key, rows) of the keys with more than `limit` rows, largest first.
 
-    One aggregation over the key column alone. The answer is remembered per plan: it steers
-    only how the work is split, never the result.
+    One aggregation over the key column alone.
     """
-    memo = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), key, limit)
-    if memo not in _known:
-        counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-        top = counts.orderBy(F.desc("n"), key).limit(HEAVY_KEYS)
-        _known[memo] = [(r[0], r[1]) for r in top.collect()]
-    return _known[memo]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    top = counts.orderBy(F.desc("n"), key).limit(HEAVY_KEYS)
+    return [(r[0], r[1]) for r in top.collect()]
 
 
 def _split(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame, int]:

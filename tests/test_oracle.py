@@ -31,7 +31,7 @@ def test_entry(spark):
         ("user_rank_model", None),
         ("lsh_neighbors", 5),
         ("rating_count_buckets", 200),
-        ("feature_pipeline", 200),
+        ("chained_features", 200),
         ("crossed_feature", None),
         ("als_user_recs", 1500),
         ("als_item_recs", 2000),
