@@ -11,8 +11,8 @@ from marquee.plans.ordered import number_rows
 ROW = "_row"
 
 
-def with_rows(df: DataFrame, key: str, tie: str) -> DataFrame:
-    """Add `_row`, a distinct long per row that sorts like (key, tie).
+def with_rows(df: DataFrame, key: str, tie: str) -> tuple[DataFrame, bool]:
+    """Add `_row`, a distinct long per row that sorts like (key, tie), and say if it is the key.
 
     Where `key` is distinct and never null, as in a sound table, it is the row number itself and
     no row moves. Otherwise all rows are numbered along (key, tie), null first; equal rows get
@@ -27,12 +27,17 @@ def with_rows(df: DataFrame, key: str, tie: str) -> DataFrame:
         .count()
     )
     if not unsound:
-        return df.withColumn(ROW, F.col(key).cast("bigint"))
+        return df.withColumn(ROW, F.col(key).cast("bigint")), True
     salted = df.withColumn("_any", F.monotonically_increasing_id())
-    return materialize(number_rows(salted, [], [key, tie, "_any"], ROW).drop("_any"), "rows")
+    numbered = number_rows(salted, [], [key, tie, "_any"], ROW).drop("_any")
+    return materialize(numbered, "rows"), False
 
 
-def name_rows(rows: DataFrame, numbered: DataFrame, column: str, key: str, name: str) -> DataFrame:
+def name_rows(
+    rows: DataFrame, numbered: DataFrame, sound: bool, column: str, key: str, name: str
+) -> DataFrame:
     """Replace the row number in `column` by that row's key, called `name`."""
+    if sound:
+        return rows.withColumnRenamed(column, name)
     keys = numbered.select(F.col(ROW).alias(column), F.col(key).alias(name))
     return rows.join(keys, column, "left").drop(column)

@@ -114,7 +114,7 @@ def link_vectors(
     embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 0
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per vector; see the module."""
-    numbered = with_rows(embeddings.select("vec_id", "embedding"), "vec_id", "embedding")
+    numbered, sound = with_rows(embeddings.select("vec_id", "embedding"), "vec_id", "embedding")
     vectors = packed(numbered, "embedding")
     classes = materialize(
         vectors.groupBy("embedding").agg(
@@ -198,7 +198,7 @@ def link_vectors(
     every = every.withColumn("_component", F.coalesce("_component", ROW)).withColumn(
         "kept", F.col("_component") == F.col(ROW)
     )
-    named = name_rows(every, numbered, "_component", "vec_id", "component_id")
+    named = name_rows(every, numbered, sound, "_component", "vec_id", "component_id")
     return named.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),

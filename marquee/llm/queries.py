@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe_automaton, mixing, near_vectors, token_counts, toxicity
+from marquee.llm import (
+    bpe_automaton,
+    jaccard_join,
+    mixing,
+    near_vectors,
+    projection_forest,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    warc,
+)
 from marquee.plans.lineage import materialize
 
 COUNT_TOKENIZER = "byte_bpe_50k.json"
@@ -27,11 +37,82 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(documents).select(
+        F.col("_doc.doc_id").cast("bigint").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        "kept_sha256",
+    )
+
+
+@query
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = read(spark, sf_dir, "embeddings")
+    return projection_forest.nearest(embeddings, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.link_documents(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE["op4_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^ 	-]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    END) AS s
+  FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS joint
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * joint >= 90 * (n_a + n_b - joint)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles,
+  (SELECT min(b) FROM reach WHERE reach.a = sets.doc_id) AS component_id
+FROM sets
+"""
+
+
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLE["op6_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+originals AS (
+  SELECT h, max(page_id) AS original FROM payloads WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN original <> page_id THEN original END AS refers_to
+FROM payloads p LEFT JOIN originals o ON p.h = o.h
+"""
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(COUNT_TOKENIZER)
