@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,43 +239,47 @@ def codec(definition: str) -> Codec:
     return Codec(definition)
 
 
-def encode_documents(documents: DataFrame, tokenizer_file: str, texts: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, and with `texts` also ids
-    array<int> and decoded string.
+def encode_documents(
+    documents: DataFrame, tokenizer_file: str, ids: bool = True, decoded: bool = True
+) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, with `ids` also the token ids
+    as array<int>, and with `decoded` the decoded text.
 
     `tokenizer_file` is a definition for the tokenizers library whose words end in a suffix; it
     is read on the driver and broadcast.
     """
     definition = Path(tokenizer_file).read_text(encoding="utf-8")
     shared = documents.sparkSession.sparkContext.broadcast(definition)
-    digests = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema = f"doc_id bigint, {digests}" + (", ids array<int>, decoded string" if texts else "")
+    schema = (
+        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        + (", ids array<int>" if ids else "")
+        + (", decoded string" if decoded else "")
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(shared.value)
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in ("n", "i", "d", "ids", "decoded")}
+            counts, id_digests, text_digests, spelled, texts = [], [], [], [], []
             for text in batch.column("text"):
-                n, ids, decoded = one.encode_decode(text.as_py() or "")
-                out["n"].append(n)
-                out["i"].append(hashlib.sha256(ids.encode()).hexdigest())
-                out["d"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if texts:
-                    out["ids"].append([int(x) for x in ids.split()])
-                    out["decoded"].append(decoded)
+                n, numbers, labels = one.encode_decode(text.as_py() or "")
+                counts.append(n)
+                id_digests.append(hashlib.sha256(numbers.encode()).hexdigest())
+                text_digests.append(hashlib.sha256(labels.encode()).hexdigest())
+                spelled.append(numbers if ids else "")
+                texts.append(labels if decoded else "")
             columns = [
                 batch.column("doc_id"),
-                pa.array(out["n"], pa.int64()),
-                pa.array(out["i"], pa.string()),
-                pa.array(out["d"], pa.string()),
+                pa.array(counts, pa.int64()),
+                pa.array(id_digests, pa.string()),
+                pa.array(text_digests, pa.string()),
             ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if texts:
-                columns += [
-                    pa.array(out["ids"], pa.list_(pa.int32())),
-                    pa.array(out["decoded"], pa.string()),
-                ]
-                names += ["ids", "decoded"]
+            if ids:
+                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                values = np.array(" ".join(spelled).split(), np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+            if decoded:
+                columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")

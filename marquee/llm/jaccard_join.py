@@ -172,11 +172,11 @@ def _profiles(documents: DataFrame, shingle: int, percent: int, limit: int | Non
     return documents.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, {_PROFILE}")
 
 
-def _texts_of(documents: DataFrame, named: DataFrame) -> DataFrame:
-    """(_row, text) of the rows in `named`.
+def _mark(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """Add `_marked`: false only for rows that are not in `named`.
 
-    A bitmap of hashed row numbers, BITMAP bits whatever the data, is broadcast first and keeps most
-    other texts out of the exchange.
+    A bitmap of hashed row numbers, BITMAP bits whatever the data, is broadcast, so that the exact
+    lookup moves few texts besides those looked for.
     """
     place = F.pmod(F.xxhash64(ROW), F.lit(BITMAP))
     block, bit = F.floor(place / 32_768), F.pmod(place, F.lit(32_768))
@@ -186,12 +186,18 @@ def _texts_of(documents: DataFrame, named: DataFrame) -> DataFrame:
         .agg(F.bitmap_construct_agg("_bit").alias("_map"))
     )
     byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10)
-    likely = (
-        documents.select(ROW, "text", block.alias("_block"), bit.alias("_bit"))
-        .join(F.broadcast(materialize(bitmaps, "bitmaps")), "_block")
-        .withColumn("_byte", byte.cast("int"))
-        .where("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1")
+    return (
+        documents.withColumns({"_block": block, "_bit": bit})
+        .join(F.broadcast(materialize(bitmaps, "bitmaps")), "_block", "left")
+        .withColumn("_byte", F.coalesce(byte.cast("int"), F.lit(0)))
+        .withColumn("_marked", F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1 = 1"))
+        .drop("_block", "_bit", "_map", "_byte")
     )
+
+
+def _texts_of(documents: DataFrame, named: DataFrame) -> DataFrame:
+    """(_row, text) of the rows in `named`."""
+    likely = _mark(documents.select(ROW, "text"), named).where("_marked")
     return likely.select(ROW, "text").join(named, ROW, "left_semi")
 
 
@@ -300,51 +306,68 @@ def _links(
     return labels.select(F.col("node").alias("rep"), "component")
 
 
-def link_documents(
-    documents: DataFrame,
-    shingle: int = SHINGLE,
-    percent: int = PERCENT,
-    segments: int | None = SEGMENTS,
+def _link_rows(
+    numbered: DataFrame, shingle: int, percent: int, segments: int | None
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document, and its row numbers _row and _component.
-
-    Documents link when 100 * shared >= percent * united shingles; a component is all that links
-    reach, named by its smallest document.
-    """
-    numbered, sound = with_rows(documents.select("doc_id", "text"), "doc_id", "text")
-    profiles = materialize(_profiles(numbered, shingle, percent, segments), "profiles")
+    """(_row, n, _component) of numbered documents; the component is its smallest row."""
+    documents = numbered.select(ROW, "text")
+    profiles = materialize(_profiles(documents, shingle, percent, segments), "profiles")
     classes = materialize(
         profiles.where("n > 0").groupBy("digest").agg(F.min(ROW).alias("rep")), "classes"
     )
     own = profiles.join(classes.select(F.col("rep").alias(ROW)), ROW).withColumnRenamed(ROW, "rep")
     keyed = own.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    met = materialize(keyed.join(shared, "key"), "met")
-    labels = _links(met, own.select("rep", "n", "screen"), numbered, shingle, percent)
-    of_class = classes.select("digest", "rep").join(labels, "rep", "left").select(
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = materialize(keyed.join(shared.select("key"), "key"), "met")
+    screens = own.select("rep", "n", "screen")
+    labels = _links(met, screens, documents, shingle, percent)
+    of_class = classes.join(labels, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("_component")
     )
-    every = (
+    return (
         profiles.select(ROW, "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
         .join(of_class, "digest", "left")
-        .withColumn("_component", F.coalesce("_component", ROW))
+        .select(ROW, "n", F.coalesce("_component", ROW).alias("_component"))
     )
+
+
+def link_documents(
+    documents: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    segments: int | None = SEGMENTS,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document.
+
+    Documents link when 100 * shared >= percent * united shingles; a component is all that links
+    reach, named by its smallest document.
+    """
+    numbered, sound = with_rows(documents.select("doc_id", "text"), "doc_id", "text")
+    every = _link_rows(numbered, shingle, percent, segments)
     if sound:
         every = every.withColumn("doc_id", F.col(ROW))
     else:
         every = every.join(numbered.select(ROW, "doc_id"), ROW)
-    named = name_rows(
-        every.withColumn("_own", F.col("_component")),
-        numbered,
-        sound,
-        "_component",
-        "doc_id",
-        "component_id",
-    )
+    named = name_rows(every, numbered, sound, "_component", "doc_id", "component_id")
     return named.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.col("component_id").cast("bigint").alias("component_id"),
-        ROW,
-        F.col("_own").alias("_component"),
     )
+
+
+def keep_one(
+    documents: DataFrame,
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+    segments: int | None = SEGMENTS,
+) -> DataFrame:
+    """The first document of every component, as it came; documents without words all stay."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    whole = documents.select("doc_id", "text", F.struct(*columns).alias("_doc"))
+    numbered, _ = with_rows(whole, "doc_id", "text")
+    linked = _link_rows(numbered, shingle, percent, segments)
+    gone = materialize(linked.where(F.col("_component") != F.col(ROW)).select(ROW), "gone")
+    marked = _mark(numbered.select(ROW, "_doc"), gone)
+    kept = marked.where("_marked").join(gone, ROW, "left_anti")
+    return marked.where("not _marked").unionByName(kept).select("_doc.*")

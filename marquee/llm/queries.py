@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marquee.llm import (
     bpe_automaton,
     jaccard_join,
+    licenses,
     mixing,
     near_vectors,
     projection_forest,
@@ -55,17 +56,22 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.nearest(embeddings, F.col("vec_id") % 20 == 0)
 
 
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"))
+
+
 @query
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard_join.link_documents(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return jaccard_join.link_documents(read(spark, sf_dir, "documents"))
 
 
 ORACLE["op4_jaccard_join"] = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS w
+    '[^ 	-
+]+') AS w
   FROM documents),
 sets AS (
   SELECT doc_id, list_distinct(CASE
@@ -168,7 +174,7 @@ FROM rated
 @query
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(ENCODE_TOKENIZER)
-    return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), path, texts=False)
+    return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), path, ids=False, decoded=False)
 
 
 @query
