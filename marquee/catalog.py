@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee import fixtures
+from marquee.functions import traffic
 from marquee.functions.vectors import cosine
 from marquee.operators import (
     aggregates,
@@ -180,7 +181,9 @@ RANGE_LOW, RANGE_HIGH = 852_076_800, 946_684_800  # 1997-01-01 to 2000-01-01
 
 @query(f"SELECT * FROM ratings WHERE timestamp BETWEEN {RANGE_LOW} AND {RANGE_HIGH}", "ratings")
 def ratings_between(t: Inputs) -> DataFrame:
-    return tables.between(t.ratings, RANGE_LOW, RANGE_HIGH)
+    # an older line is never the newest within the range
+    recent = fixtures.ratings(t.spark, t.dir, since=RANGE_LOW)
+    return tables.between(recent, RANGE_LOW, RANGE_HIGH)
 
 
 @query(
@@ -249,7 +252,7 @@ FROM {_USER_LATEST} u, LATERAL (VALUES {_USER_TEXT}) f(field, value)""",
     "mixed",
 )
 def user_feature_kv(t: Inputs) -> DataFrame:
-    latest = samples.user_features_latest(t.samples)
+    latest = samples.latest_user_features(t.stored_ratings, t.movies)
     now = t.stored_ratings.agg(F.max("timestamp")).scalar()
     return _flat_store(
         feature_store.feature_rows(
@@ -277,7 +280,7 @@ FROM {_MOVIE_LATEST} u, LATERAL (VALUES {_MOVIE_TEXT}) f(field, value)""",
     "mixed",
 )
 def movie_feature_kv(t: Inputs) -> DataFrame:
-    latest = samples.movie_features_latest(t.samples)
+    latest = samples.latest_movie_features(t.stored_ratings, t.movies)
     now = t.stored_ratings.agg(F.max("timestamp")).scalar()
     return _flat_store(
         feature_store.feature_rows(
@@ -309,7 +312,7 @@ WHERE timestamp + 2592000 > (SELECT max(timestamp) FROM ratings) - {HALF_A_YEAR}
 )
 def feature_store_lookup(t: Inputs) -> DataFrame:
     """Rows written at each user's latest event, read half a year before the last one."""
-    latest = samples.user_features_latest(t.samples)
+    latest = samples.latest_user_features(t.stored_ratings, t.movies)
     store = feature_store.feature_rows(
         latest, feature_store.USER_PREFIX, "userId", samples.USER_FEATURES, F.col("timestamp")
     )
@@ -347,15 +350,25 @@ def samples_roundtrip(t: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT userId, CAST(0 AS INT) AS document, CAST(count(*) AS INT) AS ratings,
- sum(rating) AS total FROM ratings GROUP BY userId HAVING count(*) <= 1000""",
+    f"""SELECT userId, document, CAST(count(*) AS INT) AS ratings,
+ string_agg(concat(userId, '/', movieId, '@', timestamp, '=', rating), ' ' ORDER BY part) AS listed FROM (
+ SELECT *, CAST(part // {payloads.RATINGS_PER_DOCUMENT} AS INT) AS document FROM (
+  SELECT *, row_number() OVER (PARTITION BY userId ORDER BY timestamp, movieId) - 1 AS part FROM ratings) x) y
+GROUP BY userId, document""",
     "ratings",
 )
 def user_ratings_json(t: Inputs) -> DataFrame:
+    """Every field of every rating as a reader of the documents finds it, in their order."""
     documents = payloads.ratings_as_json(t.stored_ratings)
-    parsed = F.from_json("json", "ARRAY<STRUCT<rating: STRUCT<score: DOUBLE>>>")
-    total = F.aggregate(parsed, F.lit(0.0), lambda s, x: s + x["rating"]["score"])
-    return documents.select("userId", "document", "ratings", total.alias("total"))
+    fields = "userId: INT, movieId: INT, score: DOUBLE, timestamp: BIGINT"
+    parsed = F.from_json("json", f"ARRAY<STRUCT<rating: STRUCT<{fields}>>>")
+
+    def line(x: Column) -> Column:
+        r = x["rating"]
+        return F.concat(r["userId"], F.lit("/"), r["movieId"], F.lit("@"), r["timestamp"], F.lit("="), r["score"])
+
+    listed = F.array_join(F.transform(parsed, line), " ")
+    return documents.select("userId", "document", "ratings", listed.alias("listed"))
 
 
 def _watch_pairs(t: Inputs) -> DataFrame:
@@ -367,8 +380,8 @@ def _watch_pairs(t: Inputs) -> DataFrame:
 def _ranking_rows(t: Inputs) -> DataFrame:
     return lookups.ranking_features(
         _watch_pairs(t),
-        samples.user_features_latest(t.samples),
-        samples.movie_features_latest(t.samples),
+        samples.latest_user_features(t.stored_ratings, t.movies),
+        samples.latest_movie_features(t.stored_ratings, t.movies),
     )
 
 
@@ -742,7 +755,7 @@ def mixed_samples(t: Inputs) -> DataFrame:
     f"SELECT userId, timestamp, {_HISTORY}, {_STATS_SQL}, {_GENRES} FROM {_USER_LATEST} u", "mixed"
 )
 def user_features_latest(t: Inputs) -> DataFrame:
-    return samples.rounded(samples.user_features_latest(t.samples), 4)
+    return samples.rounded(samples.latest_user_features(t.stored_ratings, t.movies), 4)
 
 
 @query(
@@ -751,7 +764,7 @@ FROM {_MOVIE_LATEST} u""",
     "mixed",
 )
 def movie_features_latest(t: Inputs) -> DataFrame:
-    return samples.rounded(samples.movie_features_latest(t.samples), 4)
+    return samples.rounded(samples.latest_movie_features(t.stored_ratings, t.movies), 4)
 
 
 # ---- sequences and graph ----------------------------------------------------------------
@@ -801,7 +814,29 @@ def item_distribution(t: Inputs) -> DataFrame:
     return _rounded(graph.item_distribution(t.edges), ["prob"], 6)
 
 
-@query()
+def _draw_sql(step: str) -> str:
+    digits = f"substr(md5('7:' || walk || ':' || {step}), 1, {graph.DRAW_DIGITS})"
+    return f"CAST('0x' || {digits} AS BIGINT)"
+
+
+@query(
+    f"""SELECT walk, CAST(max(step) AS INT) AS length, arg_max(path, step) AS path FROM (
+ WITH RECURSIVE laid AS MATERIALIZED (
+  SELECT src, dst, cnt, sum(cnt) OVER (ORDER BY src, dst) - cnt AS low FROM ({_EDGES}) e),
+ runs AS MATERIALIZED (SELECT src, min(low) AS first, sum(cnt) AS out FROM laid GROUP BY src),
+ starts AS (SELECT walk, {_draw_sql("0")} % (SELECT sum(cnt) FROM laid) AS pos
+  FROM range({graph.WALKS}) r(walk)),
+ paths AS (
+  SELECT walk, 1 AS step, src AS node, CAST(src AS VARCHAR) AS path
+  FROM starts JOIN laid ON pos >= low AND pos < low + cnt
+  UNION ALL
+  SELECT p.walk, p.step + 1, l.dst, p.path || ' ' || l.dst
+  FROM (SELECT paths.*, first + {_draw_sql("step")} % out AS pos
+   FROM paths JOIN runs ON runs.src = paths.node WHERE step < {graph.WALK_LENGTH}) p
+  JOIN laid l ON l.src = p.node AND p.pos >= l.low AND p.pos < l.low + l.cnt)
+ SELECT * FROM paths) w GROUP BY walk""",
+    "labelled",
+)
 def random_walks(t: Inputs) -> DataFrame:
     walks = graph.random_walks(t.pairs)
     return walks.select("walk", F.size("nodes").alias("length"), F.array_join("nodes", " ").alias("path"))
@@ -1000,30 +1035,73 @@ def user_rank_embedding(t: Inputs) -> DataFrame:
 @query()
 def user_rank_two_tower(t: Inputs) -> DataFrame:
     """The ranking pool ordered by factors trained on all ratings."""
-    model = models.als().fit(t.stored_ratings)
+    model = models.als(t.stored_ratings).fit(t.stored_ratings)
     return recall.recommend_by_factors(
         model.userFactors, model.itemFactors, t.stored_scores, SIMILAR
     )
 
 
+def _rank_by_model(t: Inputs, users: DataFrame) -> DataFrame:
+    """The ranking pool ordered by a click model trained on the samples."""
+    rows = materialize(t.samples, "mixed")
+    return recall.recommend_by_click_model(
+        models.wide_model(rows),
+        users,
+        samples.latest_user_features(t.stored_ratings, t.movies),
+        samples.latest_movie_features(t.stored_ratings, t.movies),
+        t.stored_scores,
+        SIMILAR,
+    )
+
+
 @query()
 def user_rank_model(t: Inputs) -> DataFrame:
-    """Each user's watch list ordered by a click model trained on the samples."""
-    rows = materialize(t.samples, "mixed")
-    pairs = lookups.ranking_features(
-        _watch_pairs(t),
-        samples.user_features_latest(rows),
-        samples.movie_features_latest(rows),
+    """Each user's ranking pool ordered by a click model."""
+    return _rank_by_model(t, tables.derive_users(t.stored_ratings))
+
+
+def _rank_routed(t: Inputs) -> DataFrame:
+    """Every user's list from the scorer the user is routed to."""
+    routed = materialize(recall.routed_users(tables.derive_users(t.stored_ratings)), "routed")
+
+    def sent(scorer: str) -> DataFrame:
+        return routed.where(F.col("scorer") == scorer).select("userId")
+
+    trained = models.als(t.stored_ratings).fit(t.stored_ratings)
+    factors = trained.userFactors.withColumnRenamed("id", "userId").join(
+        sent("NeuralCF"), "userId", "left_semi"
+    )
+    by_factors = recall.recommend_by_factors(
+        factors.withColumnRenamed("userId", "id"), trained.itemFactors, t.stored_scores, SIMILAR
     )
-    # the label is what the model predicts; candidates have none yet
-    inputs = pairs.withColumn("label", F.lit(0))
-    probability = vector_to_array("probability")[1]
-    scored = models.score(models.wide_model(rows), inputs).select(
-        F.col("userId").cast("int").alias("userId"),
-        F.col("movieId").cast("int").alias("movieId"),
-        probability.alias("score"),
+    by_vectors = recall.recommend_for_users(
+        sent(traffic.DEFAULT_MODEL),
+        recall.user_embeddings(t.stored_ratings, t.embeddings),
+        t.stored_scores,
+        t.embeddings,
+        SIMILAR,
+    )
+    lists = by_factors.unionByName(_rank_by_model(t, sent("DIN"))).unionByName(by_vectors)
+    return lists.join(routed.select("userId", "model", "scorer"), "userId")
+
+
+@query()
+def user_rank_routed(t: Inputs) -> DataFrame:
+    return _rank_routed(t)
+
+
+@query(
+    f"""SELECT userId, {_MODEL} AS model, {_MODEL} AS scorer,
+ CAST(least({SIMILAR}, (SELECT count(*) FROM scored_movies)) AS BIGINT) AS movies FROM ({_BUCKETS}) b""",
+    "ratings",
+    "scored_movies",
+)
+def user_rank_routed_lists(t: Inputs) -> DataFrame:
+    """How many movies each routed user is shown, all different and in unbroken positions."""
+    shown = _rank_routed(t).groupBy("userId", "model", "scorer").agg(
+        F.countDistinct("movieId").alias("movies"), F.max("position").alias("_last")
     )
-    return recall.rank_scored_pairs(scored, SIMILAR)
+    return shown.where(F.col("movies") == F.col("_last")).drop("_last")
 
 
 @query()
@@ -1102,20 +1180,72 @@ def chained_features(t: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT c.movieId, c.genres[1] AS genre0, coalesce(v.position, -1) AS genre0Index
-FROM catalogue c LEFT JOIN (SELECT genre, CAST(row_number() OVER (ORDER BY genre) - 1 AS INT) AS position
- FROM (SELECT DISTINCT genre FROM movie_genres) g) v ON v.genre=c.genres[1]""",
+    """SELECT * FROM (WITH v AS (
+ SELECT genre, CAST(row_number() OVER (ORDER BY genre) - 1 AS INT) AS position
+ FROM (SELECT DISTINCT genre FROM movie_genres) g)
+SELECT c.movieId, c.genres[1] AS genre0, c.genres[2] AS genre1, c.genres[3] AS genre2,
+ coalesce(a.position, -1) AS genre0Index, coalesce(b.position, -1) AS genre1Index,
+ coalesce(d.position, -1) AS genre2Index
+FROM catalogue c LEFT JOIN v a ON a.genre=c.genres[1] LEFT JOIN v b ON b.genre=c.genres[2]
+LEFT JOIN v d ON d.genre=c.genres[3]) q""",
     "catalogue",
     "movie_genres",
 )
 def genre_vocab_index(t: Inputs) -> DataFrame:
-    rows = t.catalogue.select("movieId", F.get("genres", F.lit(0)).alias("genre0"))
-    return encoders.vocabulary_index(
-        rows, "genre0", tables.genre_vocabulary(t.catalogue), "genre0Index"
+    names = samples.MOVIE_GENRES
+    rows = t.catalogue.select(
+        "movieId", *[F.get("genres", F.lit(i)).alias(c) for i, c in enumerate(names)]
     )
+    words = tables.genre_vocabulary(t.catalogue)
+    for c in names:
+        rows = encoders.vocabulary_index(rows, c, words, f"{c}Index")
+    return rows
 
 
-@query()
+_USER_GENRE_SQL = " UNION ALL ".join(
+    f"SELECT userId, {i} AS slot, {c} AS genre FROM {_USER_LATEST} u{i}"
+    for i, c in enumerate(samples.USER_GENRES)
+)
+
+
+@query(
+    f"""SELECT * FROM (WITH v AS (
+ SELECT genre, CAST(row_number() OVER (ORDER BY genre) - 1 AS INT) AS position
+ FROM (SELECT DISTINCT genre FROM movie_genres) g)
+SELECT s.userId, CAST(s.slot AS INT) AS slot, s.genre, coalesce(v.position, -1) AS genreIndex
+FROM ({_USER_GENRE_SQL}) s LEFT JOIN v USING (genre)) q""",
+    "mixed",
+    "movie_genres",
+)
+def user_genre_vocab_index(t: Inputs) -> DataFrame:
+    """The five genre columns of every user as vocabulary positions."""
+    latest = samples.latest_user_features(t.stored_ratings, t.movies)
+    slots = F.array(*[F.col(c) for c in samples.USER_GENRES])
+    rows = latest.select("userId", F.posexplode(slots).alias("slot", "genre"))
+    return encoders.vocabulary_index(rows, "genre", tables.genre_vocabulary(t.catalogue), "genreIndex")
+
+
+@query(
+    """SELECT userId, movieId, CASE WHEN userId < (SELECT max(userId) + 1 FROM ratings) THEN userId ELSE 0 END AS userIndex,
+ CASE WHEN movieId < (SELECT max(movieId) + 1 FROM ratings) THEN movieId ELSE 0 END AS movieIndex,
+ (SELECT CAST(max(userId) + 1 AS INT) FROM ratings) AS userSpace,
+ (SELECT CAST(max(movieId) + 1 AS INT) FROM ratings) AS movieSpace FROM ratings""",
+    "ratings",
+)
+def id_columns(t: Inputs) -> DataFrame:
+    """User and movie ids as category columns whose bounds come from the data."""
+    out = encoders.id_column(t.stored_ratings, "userId", "userIndex", "userSpace")
+    return encoders.id_column(out, "movieId", "movieIndex", "movieSpace").select(
+        "userId", "movieId", "userIndex", "movieIndex", "userSpace", "movieSpace"
+    )
+
+
+@query(
+    f"""SELECT userId, movieId, userRatedMovie0,
+ CAST((CAST(movieId AS BIGINT) * {encoders.CROSS_FACTORS[0]} + CAST(userRatedMovie0 AS BIGINT) * {encoders.CROSS_FACTORS[1]})
+  % {encoders.CROSS_PRIME} % {encoders.CROSS_BUCKETS} AS INT) AS crossed FROM mixed""",
+    "mixed",
+)
 def crossed_feature(t: Inputs) -> DataFrame:
     return t.samples.select(
         "userId", "movieId", "userRatedMovie0", encoders.crossed().alias("crossed")
@@ -1254,7 +1384,7 @@ def auc_rank_sum(t: Inputs) -> DataFrame:
 # ---- models -----------------------------------------------------------------------------
 def _fitted_als(t: Inputs):
     train, test = splits.hash_split(t.stored_ratings)
-    return models.als().fit(train), train, test
+    return models.als(t.stored_ratings).fit(train), train, test
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,18 @@ def micros(name: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {epoch}, {name})")
 
 
-def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest rating of each (user, movie).
+def ratings(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    """Latest rating of each (user, movie), from order lines not older than `since` if given.
 
     Time and half-step score are packed into one number, so that the deduplication is a plain
     hash aggregate with partial maxima instead of a sort.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    raw = table(spark, sf_dir, "lineitem")
+    if since is not None:
+        # on the column as stored, so that the scan can skip row groups
+        first = date(1970, 1, 1) + timedelta(days=-(-since // DAY))
+        raw = raw.where(F.col("l_shipdate") >= F.lit(first).cast(raw.schema["l_shipdate"].dataType))
+    lines = raw.select(
         "l_orderkey",
         F.col("l_partkey").cast("int").alias("movieId"),
         ((F.col("l_quantity").cast("int") - 1) % 10 + 1).alias("_halves"),

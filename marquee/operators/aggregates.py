@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.functions.moments import sample_variance
 from marquee.functions.titles import genre_list, slot
 from marquee.operators.samples import USER_GENRES, liked
 from marquee.plans.skew import join_lookup
@@ -27,7 +28,7 @@ def movie_rating_variance(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("movieId").agg(
         F.count(F.lit(1)).alias("ratingCount"),
         F.avg("rating").alias("avgRating"),
-        F.var_samp("rating").alias("ratingVar"),
+        sample_variance(F.col("rating")).alias("ratingVar"),
     )
 
 

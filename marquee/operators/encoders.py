@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
-    CountVectorizerModel,
     MinMaxScaler,
     OneHotEncoder,
     QuantileDiscretizer,
     VectorAssembler,
 )
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.plans.lineage import materialize
+
 # Buckets of the crossed feature and of the rating count.
 CROSS_BUCKETS = 10_000
 COUNT_BUCKETS = 100
+# Multipliers and modulus of the hash of a pair of movies.
+CROSS_FACTORS = (73_856_093, 19_349_663)
+CROSS_PRIME = (1 << 31) - 1
 NUMERIC = [
     "releaseYear",
     "movieRatingCount",
@@ -26,8 +31,6 @@ NUMERIC = [
     "userAvgRating",
     "userRatingStddev",
 ]
-# A genre vocabulary is a short list; more distinct values than this is a data error.
-VOCABULARY_LIMIT = 10_000
 
 
 def one_hot_movie(movies: DataFrame) -> DataFrame:
@@ -53,25 +56,19 @@ def genre_indices(catalogue: DataFrame) -> DataFrame:
     return counts.withColumn("genreIndex", F.row_number().over(order) - 1)
 
 
-def vocabulary(catalogue: DataFrame) -> list[str]:
-    rows = genre_indices(catalogue).orderBy("genreIndex").limit(VOCABULARY_LIMIT + 1).collect()
-    if len(rows) > VOCABULARY_LIMIT:
-        raise ValueError(f"more than {VOCABULARY_LIMIT} genres")
-    return [r["genre"] for r in rows]
-
-
 def multi_hot_genres(catalogue: DataFrame) -> DataFrame:
-    """movieId, sorted genre indices, vocabulary size and the sparse 0/1 vector."""
-    words = vocabulary(catalogue)
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="genres", outputCol="vector")
-    hot = model.setBinary(True).transform(catalogue.select("movieId", "genres"))
-    parts = sparse_parts("vector")
-    return hot.select(
-        "movieId",
-        parts["indices"].alias("genreIndexes"),
-        F.lit(len(words)).alias("indexSize"),
-        "vector",
-    )
+    """movieId, sorted genre indices, vocabulary size and the sparse 0/1 vector.
+
+    Movies without genres have an empty list. The vocabulary stays a table, whatever its size.
+    """
+    known = materialize(genre_indices(catalogue).select("genre", "genreIndex"), "vocabulary")
+    listed = catalogue.select("movieId", F.explode_outer("genres").alias("genre"))
+    indexes = F.sort_array(F.collect_set("genreIndex"))
+    hot = listed.join(known, "genre", "left").groupBy("movieId").agg(indexes.alias("genreIndexes"))
+    sized = hot.withColumn("indexSize", known.agg(F.count(F.lit(1)).cast("int")).scalar())
+    # no column function makes a sparse vector; this runs once per movie
+    sparse = F.udf(lambda size, at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
+    return sized.withColumn("vector", sparse("indexSize", "genreIndexes"))
 
 
 def min_max(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -103,10 +100,23 @@ def vocabulary_index(rows: DataFrame, column: str, words: DataFrame, name: str)
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
+def id_column(rows: DataFrame, column: str, name: str, space: str) -> DataFrame:
+    """An id as a category: itself below the largest known id + 1, which is its space, else 0."""
+    size = rows.agg((F.max(column) + 1).cast("int")).scalar()
+    known = F.col(column).between(0, size - 1)
+    return rows.withColumns({name: F.when(known, F.col(column)).otherwise(0), space: size})
+
+
+def cross_bucket(movie: Column, newest: Column, buckets: int = CROSS_BUCKETS) -> Column:
+    """Bucket of a pair of movies in integer arithmetic that any engine has."""
+    a, b = CROSS_FACTORS
+    mixed = movie.cast("bigint") * a + newest.cast("bigint") * b
+    return (F.pmod(mixed, F.lit(CROSS_PRIME)) % buckets).cast("int")
+
+
 def crossed(buckets: int = CROSS_BUCKETS) -> Column:
-    """Hash bucket of the movie together with the newest liked movie; NULL without history."""
-    pair = F.xxhash64(F.col("movieId"), F.col("userRatedMovie0"))
-    return F.when(F.col("userRatedMovie0").isNotNull(), F.pmod(pair, F.lit(buckets)).cast("int"))
+    """Bucket of the movie together with the newest liked movie; NULL without history."""
+    return cross_bucket(F.col("movieId"), F.col("userRatedMovie0"), buckets)
 
 
 def cross_counts(samples: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import WindowSpec
 
 from marquee.operators.samples import USER_ORDER, liked
 from marquee.plans.lineage import materialize
-from marquee.plans.ordered import number_rows
+from marquee.plans.ordered import running_total
 from marquee.plans.skew import (
     LONG_SEQUENCE,
     add_over_sequences,
@@ -22,10 +22,10 @@ WALK_LENGTH = 10
 # Items per sequence row. Word2Vec cuts sentences at the same length, so training sees the
 # same sentences whether a long history is one row or several.
 SEQUENCE_ROWS = 1000
-# A walk row is a few ids long, so this many stay well under the size a broadcast may have.
-BROADCAST_WALKS = 1_000_000
-_DRAWS = 1 << 52
-_NOWHERE = -1
+# Numbers in a block of the layout that walks look their draws up in.
+BLOCK = 64
+# Hexadecimal digits of a digest that make a draw: 52 bits.
+DRAW_DIGITS = 13
 
 
 def liked_events(ratings: DataFrame) -> DataFrame:
@@ -81,25 +81,32 @@ def item_distribution(counts: DataFrame) -> DataFrame:
     return out.select(F.col("src").alias("movieId"), "outCount", (F.col("outCount") / total).alias("prob"))
 
 
-def _draw(seed: int, walk: Column, step: int, below: Column) -> Column:
-    """Number from 0 to below-1 that depends only on seed, walk and step."""
-    unit = F.pmod(F.xxhash64(F.lit(seed), walk, F.lit(step)), F.lit(_DRAWS)) / _DRAWS
-    return F.floor(unit * below).cast("bigint")
+def draw(seed: int, walk: Column, step: int, below: Column) -> Column:
+    """Number from 0 to below-1 that depends only on seed, walk and step.
+
+    The first digits of a digest, as an integer, modulo `below`: any engine gets the same number.
+    """
+    key = F.concat_ws(":", F.lit(str(seed)), walk.cast("string"), F.lit(str(step)))
+    digits = F.conv(F.substring(F.md5(key), 1, DRAW_DIGITS), 16, 10)
+    return F.pmod(digits.cast("bigint"), below)
 
 
-def walk_arcs(pairs: DataFrame) -> DataFrame:
-    """One row per pair, numbered so that a draw is an equality lookup.
+def walk_steps(counts: DataFrame) -> DataFrame:
+    """The counted edges laid out so that a draw is an equality lookup.
 
-    All pairs are numbered by (src, dst, userId). The pairs leaving a node are then a run of
-    `_out` numbers from `_first`, and picking a uniform number of the run picks an edge in
-    proportion to its count. Each arc carries the run of its target, so one join makes one
-    step, on a key without repeats however popular a node is.
+    Edges in order of (src, dst) take up `cnt` numbers each, so that a node's edges are a run of
+    `_out` numbers from `_first`, and a uniform number of the run picks an edge in proportion to its
+    count. An edge has a row for every block of BLOCK numbers that its own overlap; a block thus
+    has at most BLOCK rows. Each row carries the run of its target.
     """
-    numbered = number_rows(pairs, [], ["src", "dst", "userId"], "arc").drop("userId")
-    runs = numbered.groupBy(F.col("src").alias("dst")).agg(
-        F.min("arc").alias("_first"), F.count(F.lit(1)).alias("_out")
+    laid = running_total(counts, [], ["src", "dst"], F.col("cnt"), "_low")
+    runs = laid.groupBy(F.col("src").alias("dst")).agg(
+        F.min("_low").alias("_first"), F.sum("cnt").alias("_out")
     )
-    return join_lookup(numbered, runs, "dst", "left")
+    blocks = F.sequence(
+        F.floor(F.col("_low") / BLOCK), F.floor((F.col("_low") + F.col("cnt") - 1) / BLOCK)
+    )
+    return join_lookup(laid.withColumn("_block", F.explode(blocks)), runs, "dst", "left")
 
 
 def random_walks(
@@ -107,43 +114,50 @@ def random_walks(
 ) -> DataFrame:
     """`walks` paths of at most `length` nodes; a path ends at a node without outgoing pair.
 
-    A start is drawn like a step, from all pairs at once. The walks are the small side of
-    every step: up to BROADCAST_WALKS of them are sent to the arcs, which stay in place.
+    A start is drawn like a step, from all pairs at once. A step is one join of the walks still
+    under way with the counted edges; walks that end leave the loop and are united at the end.
     """
     spark = pairs.sparkSession
-    arcs = materialize(walk_arcs(pairs), "arcs")
-    total = arcs.count()
-    if total == 0:
+    counts = materialize(pair_counts(pairs), "edges")
+    total = counts.agg(F.sum("cnt")).first()[0]
+    if not total:
         return spark.createDataFrame([], "walk bigint, nodes array<int>")
+    steps = materialize(walk_steps(counts), "steps").select(
+        "_block",
+        "src",
+        "dst",
+        F.col("_low").cast("bigint").alias("_low"),
+        (F.col("_low") + F.col("cnt")).cast("bigint").alias("_high"),
+        F.col("_first").cast("bigint").alias("_first"),
+        F.col("_out").cast("bigint").alias("_out"),
+    )
+    runs = steps.groupBy("src").agg(F.min("_low").alias("_first"), F.max("_high").alias("_end"))
 
-    def small(state: DataFrame) -> DataFrame:
-        return F.broadcast(state) if walks <= BROADCAST_WALKS else state
+    def follow(state: DataFrame) -> DataFrame:
+        """The edge that each walk has drawn."""
+        asked = state.withColumn("_block", F.floor(F.col("_at") / BLOCK))
+        return asked.join(steps, "_block").where("_low <= _at and _at < _high")
 
     starts = spark.range(walks).select(
-        F.col("id").alias("walk"), _draw(seed, F.col("id"), 0, F.lit(total)).alias("arc")
-    )
-    runs = arcs.groupBy("src").agg(
-        F.min("arc").alias("_first"), F.count(F.lit(1)).alias("_out")
+        F.col("id").alias("walk"), draw(seed, F.col("id"), 0, F.lit(total)).alias("_at")
     )
     state = (
-        runs.join(small(arcs.select("arc", "src").join(small(starts), "arc")), "src")
-        .select("walk", F.array("src").alias("nodes"), "_first", "_out")
-    )
-    # an ended walk stays on this extra arc, which leads nowhere
-    nowhere = spark.range(1).select(
-        F.lit(_NOWHERE).cast("bigint").alias("arc"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (("dst", "int"), ("_first", "bigint"), ("_out", "bigint"))],
+        follow(starts)
+        .select("walk", "src")
+        .join(runs, "src")
+        .select(
+            "walk", F.array("src").alias("nodes"), "_first", (F.col("_end") - F.col("_first")).alias("_out")
+        )
     )
-    steps = arcs.select("arc", "dst", "_first", "_out").unionByName(nowhere)
+    ended = None
     for step in range(1, length):
-        next_arc = F.col("_first") + _draw(seed, F.col("walk"), step, F.col("_out"))
-        chosen = F.coalesce(next_arc, F.lit(_NOWHERE)).alias("arc")
-        state = steps.join(small(state.select("walk", "nodes", chosen)), "arc").select(
-            "walk",
-            F.when(F.col("dst").isNull(), F.col("nodes"))
-            .otherwise(F.concat("nodes", F.array("dst")))
-            .alias("nodes"),
-            "_first",
-            "_out",
+        at = F.col("_first") + draw(seed, F.col("walk"), step, F.col("_out"))
+        moved = follow(state.select("walk", "nodes", at.alias("_at"))).select(
+            "walk", F.concat("nodes", F.array("dst")).alias("nodes"), "_first", "_out"
         )
-    return state.select("walk", "nodes")
+        moved = materialize(moved, "walks")
+        done = moved.where(F.col("_out").isNull()).select("walk", "nodes")
+        ended = done if ended is None else ended.unionByName(done)
+        state = moved.where(F.col("_out").isNotNull())
+    last = state.select("walk", "nodes")
+    return last if ended is None else last.unionByName(ended)

@@ -21,11 +21,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.vectors import dot, sigmoid
-from marquee.operators.encoders import CROSS_BUCKETS, NUMERIC, crossed
+from marquee.operators.encoders import CROSS_BUCKETS, NUMERIC, cross_bucket, crossed
 from marquee.operators.samples import MOVIE_GENRES, USER_GENRES
 
 # Factorisation, item2vec, hashing search, validation and network parameters.
@@ -42,17 +42,22 @@ BUCKET_LENGTH = 0.1
 NEIGHBOURS = 5
 FOLDS = 10
 HIDDEN = [128, 128]
+WIDE_MOVIE = ["movieId", *MOVIE_GENRES]
+# Slots of the hashed inputs: far more than crossed buckets, ids and genres together.
+HASHED = 1 << 18
 EPOCHS = 5
 
 
 # ---- matrix factorisation ----
-def _parallelism() -> int:
-    """Cores of the running session: fixed block counts would idle most of a cluster."""
-    return SparkSession.active().sparkContext.defaultParallelism
+# Rows per block of factors and per training partition. Both follow the data and never the
+# machine, as the result depends on them.
+BLOCK_RATINGS = 2_000_000
+PARTITION_ITEMS = 1_000_000
 
 
-def als(seed: int = 7, blocks: int | None = None) -> ALS:
-    n = blocks or max(10, _parallelism())
+def als(ratings: DataFrame, seed: int = 7) -> ALS:
+    """Unfitted model with as many blocks as `ratings` asks for."""
+    n = max(10, -(-ratings.count() // BLOCK_RATINGS))
     return ALS(
         numUserBlocks=n,
         numItemBlocks=n,
@@ -93,7 +98,7 @@ def first_ids(ratings: DataFrame, column: str, size: int = SUBSET) -> DataFrame:
 
 def cross_validate(train: DataFrame, folds: int = FOLDS, seed: int = 7) -> CrossValidatorModel:
     """Cross validation over the regularisation grid, on training data."""
-    model = als(seed)
+    model = als(train, seed)
     grid = ParamGridBuilder().addGrid(model.regParam, [REGULARIZATION]).build()
     return CrossValidator(
         estimator=model,
@@ -114,18 +119,21 @@ def two_tower_scores(model: ALSModel, pairs: DataFrame) -> DataFrame:
 
 # ---- embeddings ----
 def item2vec(
-    sequences: DataFrame, column: str, seed: int = 7, partitions: int | None = None
+    sequences: DataFrame, column: str, seed: int = 7, least: int = 1
 ) -> Word2VecModel:
-    """Skip-gram vectors of the items.
+    """Skip-gram vectors of the items that occur at least `least` times.
 
     Partitions train side by side and are averaged after each iteration; Spark asks for at
-    least as many partitions as iterations.
+    least as many partitions as iterations. A partition has about PARTITION_ITEMS items, so that
+    each model that is averaged has seen enough.
     """
+    items = sequences.agg(F.sum(F.size(column))).first()[0] or 0
     return Word2Vec(
         vectorSize=EMBEDDING_SIZE,
         windowSize=WINDOW,
         maxIter=WORD2VEC_ITERATIONS,
-        numPartitions=partitions or max(WORD2VEC_ITERATIONS, _parallelism()),
+        numPartitions=max(WORD2VEC_ITERATIONS, -(-items // PARTITION_ITEMS)),
+        minCount=least,
         inputCol=column,
         seed=seed,
     ).fit(sequences)
@@ -169,21 +177,64 @@ def _inputs(samples: DataFrame) -> DataFrame:
 def wide_model(train: DataFrame) -> PipelineModel:
     """Logistic regression on the crossed feature and the hashed categories."""
     hasher = FeatureHasher(
-        inputCols=["crossed", "movieId", *MOVIE_GENRES, *USER_GENRES],
-        outputCol="features",
-        numFeatures=CROSS_BUCKETS,
+        inputCols=["crossed", *WIDE_MOVIE, *USER_GENRES], outputCol="features", numFeatures=HASHED
     )
     # the sparse inputs are 0/1, so they need no scaling
     fit = LogisticRegression(maxIter=EPOCHS * 4, regParam=REGULARIZATION, standardization=False)
     return Pipeline(stages=[hasher, fit]).fit(_inputs(train))
 
 
+def wide_parts(
+    model: PipelineModel, users: DataFrame, pool: DataFrame
+) -> tuple[DataFrame, list[tuple[int, float]], list[float]]:
+    """A wide model taken apart for (users, pool): rows (userId, base, crossed), the pool's
+    (movieId, margin), and the margin of every crossed bucket, the one for no history last.
+
+    `users` has userId, userRatedMovie0 and the user genres, `pool` movieId and the movie genres;
+    the margins of a user, a movie and their bucket add up to the model's margin of the pair.
+    """
+    hasher, fitted = model.stages
+    margin = vector_to_array("rawPrediction")[1]
+
+    def margins(rows: DataFrame, columns: list[str]) -> DataFrame:
+        blank = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns})
+        part = hasher.copy({hasher.inputCols: columns})
+        return fitted.transform(part.transform(blank)).withColumn("margin", margin)
+
+    def alone(rows: DataFrame, columns: list[str], order: str) -> list:
+        return margins(rows, columns).orderBy(order).select(order, "margin").collect()
+
+    keyed = pool.withColumn("_id", F.col("movieId"))
+    found = alone(keyed, WIDE_MOVIE, "_id")  # one row per pool movie
+    ids = F.array(*[F.lit(r["_id"]) for r in found]).cast("array<int>")
+    spark = users.sparkSession
+    buckets = spark.range(CROSS_BUCKETS + 1).withColumn(
+        "crossed",
+        F.when(F.col("id") < CROSS_BUCKETS, F.col("id").cast("string")).otherwise("none"),
+    )
+    crosses = alone(buckets, ["crossed"], "id")
+    newest = F.col("userRatedMovie0")
+    bucket = F.transform(
+        ids,
+        lambda movie: F.coalesce(cross_bucket(movie, newest), F.lit(CROSS_BUCKETS)),
+    )
+    rows = margins(users, USER_GENRES).select(
+        "userId", F.col("margin").alias("base"), bucket.alias("crossed")
+    )
+    intercept = float(fitted.intercept)
+    return (
+        rows,
+        [(r["_id"], r["margin"] - intercept) for r in found],
+        [r["margin"] - intercept for r in crosses],
+    )
+
+
 def fm_model(train: DataFrame, seed: int = 7) -> PipelineModel:
     """Factorisation machine: first order and pairwise terms of ids and genres."""
     hasher = FeatureHasher(
         inputCols=["movieId", "userId", "genre0", "userGenre0"],
         outputCol="features",
-        numFeatures=CROSS_BUCKETS,
+        numFeatures=HASHED,
     )
     fit = FMClassifier(
         factorSize=EMBEDDING_SIZE, maxIter=EPOCHS * 10, stepSize=0.05, regParam=0.001, seed=seed

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -9,18 +10,20 @@ from pyspark.sql import functions as F
 
 from marquee.functions import traffic
 from marquee.functions.vectors import sigmoid
+from marquee.operators.models import wide_parts
 from marquee.operators.ranking import top_movies, top_per
 from marquee.operators.samples import liked
-from marquee.operators.scoring import POOL_LIMIT, top_by_product
+from marquee.operators.scoring import top_by_parts, top_by_product
 from marquee.plans.lineage import materialize
 from marquee.plans.skew import join_lookup
 
 # Movies recalled per genre for a similar-movie list and for a user, from the
-# two global lists, and the ranking pool; weights of the genre score.
+# two global lists, the ranking pool and the pool of similar movies; weights of the genre score.
 SIMILAR_PER_GENRE = 100
 HISTORY_PER_GENRE = 20
 GLOBAL_LIST = 100
 RANKING_POOL = 800
+EMBEDDING_POOL = 10_000
 GENRE_WEIGHT = 0.7
 RATING_WEIGHT = 0.3
 RATING_SCALE = 5
@@ -112,37 +115,33 @@ def multi_recall(ratings: DataFrame, catalogue: DataFrame, scored: DataFrame) ->
     ids = sorted(r[0] for r in both.collect())  # at most 2 x GLOBAL_LIST
     everywhere = F.array(*[F.lit(i) for i in ids]).cast("array<int>")
 
-    seen = ratings.select("userId", "movieId")
-    movie_genres = catalogue.select("movieId", F.explode("genres").alias("genre"))
-    user_genres = seen.join(movie_genres, "movieId").select("userId", "genre").distinct()
+    # one pass over the ratings finds each user's genres and what of the lists has been seen
+    recallable = pool.select("movieId").union(both).distinct().withColumn("_listed", F.lit(True))
+    described = catalogue.select("movieId", "genres").join(recallable, "movieId", "full")
+    seen = join_lookup(ratings.select("userId", "movieId"), described, "movieId", "left")
+    # no longer than the genres and the lists, however many movies a user has rated
+    history = materialize(
+        seen.groupBy("userId").agg(
+            F.array_distinct(F.flatten(F.collect_set("genres"))).alias("_genres"),
+            F.collect_set(F.when(F.col("_listed"), F.col("movieId"))).alias("_seen"),
+        ),
+        "history",
+    )
+    user_genres = history.select("userId", F.explode("_genres").alias("genre"))
     by_genre = (
         join_lookup(user_genres, lists, "genre")
         .groupBy("userId")
         .agg(F.flatten(F.collect_list("_ids")).alias("_genre"))
     )
-    recallable = materialize(pool.select("movieId").union(both).distinct(), "recallable")
-    # no longer than the lists above, however many movies a user has rated
-    history = (
-        seen.join(recallable, "movieId", "left_semi")
-        .groupBy("userId")
-        .agg(F.collect_set("movieId").alias("_seen"))
-    )
     none = F.array().cast("array<int>")
     candidates = F.array_union(F.coalesce("_genre", none), everywhere)
-    return (
-        seen.select("userId")
-        .distinct()
-        .join(by_genre, "userId", "left")
-        .join(history, "userId", "left")
-        .select(
-            "userId",
-            F.explode(F.array_except(candidates, F.coalesce("_seen", none))).alias("movieId"),
-        )
+    return history.join(by_genre, "userId", "left").select(
+        "userId", F.explode(F.array_except(candidates, "_seen")).alias("movieId")
     )
 
 
 def similar_movies_by_embedding(
-    scored: DataFrame, embeddings: DataFrame, size: int, pool_size: int = POOL_LIMIT
+    scored: DataFrame, embeddings: DataFrame, size: int, pool_size: int = EMBEDDING_POOL
 ) -> DataFrame:
     """Each embedded movie's nearest movies among the best rated `pool_size`."""
     best = top_movies(scored, "averageRating", pool_size).select("movieId")
@@ -200,6 +199,29 @@ def recommend_by_factors(
     return best.withColumn("score", sigmoid(F.col("score")))
 
 
+def recommend_by_click_model(
+    model: PipelineModel,
+    users: DataFrame,
+    user_features: DataFrame,
+    movie_features: DataFrame,
+    scored: DataFrame,
+    size: int,
+    pool_size: int = RANKING_POOL,
+) -> DataFrame:
+    """The same pool ranked by a linear click model, for every user.
+
+    The model's margin is a sum of a user part, a movie part and one crossed term, so users and
+    pool are each scored once and meet in blocks; pairs never become rows. Users and movies
+    without features count with missing values.
+    """
+    pool = top_movies(scored, "averageRating", pool_size).select("movieId")
+    parts = wide_parts(
+        model, users.select("userId").join(user_features, "userId", "left"),
+        pool.join(movie_features, "movieId", "left"),
+    )
+    return top_by_parts(*parts, size)
+
+
 def rank_scored_pairs(scored_pairs: DataFrame, size: int) -> DataFrame:
     """Each user's `size` best candidates among pairs a model has scored."""
     rows = scored_pairs.select("userId", "movieId", "score")

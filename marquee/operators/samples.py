@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from marquee.functions.frequency import by_frequency
+from marquee.functions.moments import sample_variance
 from marquee.functions.titles import MISSING_YEAR, genre_list, release_year, slot
-from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences, join_lookup
+from marquee.plans.skew import LONG_SEQUENCE, add_over_sequences, join_lookup, number_sequences
 
 # Rating from which an item counts as liked, rows of history looked at, and how
 # many recent items, top genres and item genres become columns.
@@ -57,7 +58,7 @@ def movie_rating_features(ratings: DataFrame) -> DataFrame:
     return ratings.groupBy("movieId").agg(
         F.count(F.lit(1)).alias("movieRatingCount"),
         F.avg("rating").alias("movieAvgRating"),
-        F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("movieRatingStddev"),
+        F.coalesce(F.sqrt(sample_variance(F.col("rating"))), F.lit(0.0)).alias("movieRatingStddev"),
     )
 
 
@@ -92,29 +93,34 @@ def join_rating_features(ratings: DataFrame) -> DataFrame:
     return join_lookup(ratings, movie_rating_features(ratings), "movieId", "left")
 
 
+def _item() -> Column:
+    return F.struct(F.col("movieId").alias("id"), F.col("_genres").alias("genres"))
+
+
 def _totals(window: WindowSpec) -> dict[str, Column]:
-    """Running sums before each row, and the liked items of the history frame."""
+    """Running sums before each row."""
     earlier = window.rowsBetween(W.unboundedPreceding, -1)
-    frame = window.rowsBetween(-HISTORY_ROWS, -1)
     rating, year = F.col("rating"), F.col("releaseYear").cast("bigint")
 
     def total(x: Column, zero: Column) -> Column:
         return F.coalesce(F.sum(x).over(earlier), zero)
 
     zero, none = F.lit(0.0), F.lit(0).cast("bigint")
-    item = F.struct(F.col("movieId").alias("id"), F.col("_genres").alias("genres"))
     return {
         "_n": F.row_number().over(window) - 1,
         "_r1": total(rating, zero),
         "_r2": total(rating * rating, zero),
         "_y1": total(year, none),
         "_y2": total(year * year, none),
-        "_liked": F.collect_list(F.when(F.col("label") == 1, item)).over(frame),
     }
 
 
 def _frame_totals(window: WindowSpec) -> dict[str, Column]:
-    """Sums over the history frame as differences of running sums, one subtraction per row."""
+    """Sums over the history frame as differences of running sums, one subtraction per row.
+
+    The lists of liked items are made here, in the last stage, so that no window ever buffers them.
+    """
+    frame = window.rowsBetween(-HISTORY_ROWS, -1)
 
     def recent(name: str) -> Column:
         return F.col(name) - F.coalesce(F.lag(name, HISTORY_ROWS).over(window), F.lit(0))
@@ -123,6 +129,7 @@ def _frame_totals(window: WindowSpec) -> dict[str, Column]:
     return {
         "_n": F.least(F.col("_n"), F.lit(HISTORY_ROWS)).cast("bigint"),
         **{name: recent(name) for name in names},
+        "_liked": F.collect_list(F.when(F.col("label") == 1, _item())).over(frame),
     }
 
 
@@ -147,6 +154,11 @@ def add_user_history(
         long_sequence,
         counted,
     )
+    return _history_columns(framed)
+
+
+def _history_columns(framed: DataFrame) -> DataFrame:
+    """User features from the totals and the liked items, in time order, of a history frame."""
     n, some = F.col("_n"), F.col("_n") > 0
     latest = F.reverse(F.slice("_liked", -MOVIE_SLOTS, MOVIE_SLOTS))
     # slice() from the end needs at least that many elements
@@ -209,5 +221,59 @@ def user_features_latest(samples: DataFrame) -> DataFrame:
     return latest_per(samples, "userId", USER_ORDER, USER_FEATURES)
 
 
+def latest_user_features(ratings: DataFrame, movies: DataFrame) -> DataFrame:
+    """The same rows from a user's last events alone: the newest and the frame before it.
+
+    The rank filter runs before the shuffle, and one aggregate over at most HISTORY_ROWS + 1 rows
+    takes the place of a frame for every event.
+    """
+    newest = W.partitionBy("userId").orderBy(*[F.desc(c) for c in USER_ORDER])
+    last = ratings.withColumn("_rank", F.row_number().over(newest)).where(
+        F.col("_rank") <= HISTORY_ROWS + 1
+    )
+    described = movies.select(
+        "movieId",
+        release_year(F.col("title")).alias("_year"),
+        genre_list(F.col("genres")).alias("_genres"),
+    )
+    recent = join_lookup(add_label(last), described, "movieId", "left").withColumn(
+        "releaseYear", F.coalesce("_year", F.lit(MISSING_YEAR))
+    )
+    past = F.col("_rank") > 1
+    rating, year = F.col("rating"), F.col("releaseYear").cast("bigint")
+
+    def total(x: Column) -> Column:
+        return F.sum(F.when(past, x))
+
+    item = F.struct((-F.col("_rank")).alias("_at"), "movieId", F.col("_genres").alias("genres"))
+    framed = recent.groupBy("userId").agg(
+        F.max("timestamp").alias("timestamp"),
+        F.count_if(past).alias("_n"),
+        total(rating).alias("_r1"),
+        total(rating * rating).alias("_r2"),
+        total(year).alias("_y1"),
+        total(year * year).alias("_y2"),
+        F.array_sort(F.collect_list(F.when(past & (F.col("label") == 1), item))).alias("_items"),
+    )
+    liked_items = F.transform(
+        "_items", lambda x: F.struct(x["movieId"].alias("id"), x["genres"].alias("genres"))
+    )
+    known = framed.where(F.col("_n") > 1).withColumn("_liked", liked_items)
+    return _history_columns(known).select("userId", "timestamp", *USER_FEATURES)
+
+
+def latest_movie_features(
+    ratings: DataFrame, movies: DataFrame, long_sequence: int = LONG_SEQUENCE
+) -> DataFrame:
+    """The newest sample of each movie from the events' positions in their users' sequences."""
+    placed = number_sequences(
+        ratings.select("userId", "movieId", "timestamp"), "userId", USER_ORDER, "_pos", long_sequence
+    )
+    seen = placed.where(F.col("_pos") > 1).groupBy("movieId").agg(F.max("timestamp").alias("timestamp"))
+    return movie_profile(movies, ratings).join(seen, "movieId").select(
+        "movieId", "timestamp", *MOVIE_FEATURES
+    )
+
+
 def movie_features_latest(samples: DataFrame) -> DataFrame:
     return latest_per(samples, "movieId", MOVIE_ORDER, MOVIE_FEATURES)

@@ -67,8 +67,11 @@ WHERE l_returnflag='R' AND l_linestatus='O' GROUP BY 1,2""",
     ),
     "movie_stats": (
         ["ratings"],
-        """SELECT movieId, count(*) AS cnt, avg(rating) AS av,
- coalesce(stddev_samp(rating), 0.0) AS sd, var_samp(rating) AS va FROM ratings GROUP BY movieId""",
+        """SELECT movieId, cnt, av, coalesce(sqrt(va), 0.0) AS sd, va FROM (
+ SELECT *, CASE WHEN cnt > 1 THEN CAST(cnt * h2 - h1 * h1 AS DOUBLE) / (4 * cnt * (cnt - 1)) END AS va FROM (
+  SELECT movieId, count(*) AS cnt, avg(rating) AS av, sum(CAST(round(rating * 2) AS BIGINT)) AS h1,
+   sum(CAST(round(rating * 2) AS BIGINT) * CAST(round(rating * 2) AS BIGINT)) AS h2
+  FROM ratings GROUP BY movieId) x) y""",
     ),
     "scored_movies": (
         ["catalogue", "movie_stats"],

@@ -73,7 +73,7 @@ def test_hashing_finds_the_vector_itself(inputs):
 
 def test_als_and_two_towers(inputs):
     train, test = splits.hash_split(inputs.ratings)
-    model = models.als().fit(train)
+    model = models.als(train).fit(train)
     assert model.transform(test).where("isnan(prediction)").count() == 0
     recs = models.flat_recommendations(model.recommendForAllUsers(10), "userId", "movieId")
     sizes = recs.groupBy("userId").count().agg(F.min("count"), F.max("count")).first()

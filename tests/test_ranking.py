@@ -1,17 +1,21 @@
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from marquee.operators import ranking, recall, scoring
+from marquee.operators import models, ranking, recall, samples, scoring
 from marquee.sources.tables import parse_movies
 
 
 @pytest.fixture(scope="module")
-def catalogue(make_movies):
+def movies(make_movies):
     genres = ["Action", "Drama|Action", "War", "War|Drama|Action"]
-    return parse_movies(
-        make_movies([(m, f"M{m} ({1950 + m * 7 % 40})", genres[m % 4]) for m in range(40)])
-    )
+    return make_movies([(m, f"M{m} ({1950 + m * 7 % 40})", genres[m % 4]) for m in range(40)])
+
+
+@pytest.fixture(scope="module")
+def catalogue(movies):
+    return parse_movies(movies)
 
 
 @pytest.fixture(scope="module")
@@ -122,11 +126,53 @@ def test_top_by_product_against_brute_force(spark):
     assert [s for _, s in found[40]] == [-1.0] * 5
 
 
-def test_pool_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "POOL_LIMIT", 3)
-    pool = spark.range(4).select(F.col("id").cast("int").alias("movieId"), F.array(F.lit(1.0)).alias("emb"))
-    with pytest.raises(ValueError):
-        scoring.top_by_product(pool.withColumnRenamed("movieId", "seed"), "seed", pool, 2)
+@pytest.mark.parametrize("normalized", [True, False])
+def test_pool_beyond_a_block(spark, monkeypatch, normalized):
+    """Scored in blocks, a pool gives the same lists, ties, missing and zero vectors included."""
+    rows = [(i, [float(i % 5), float(i % 3 - 1)] if i % 7 else None) for i in range(40)]
+    pool = spark.createDataFrame(rows, "movieId int, emb array<double>")
+    seeds = pool.withColumnRenamed("movieId", "seed")
+
+    def lists():
+        out = scoring.top_by_product(seeds, "seed", pool, 6, drop_self=True, normalized=normalized)
+        return sorted((r.seed, r.position, r.movieId, repr(r.score)) for r in out.collect())
+
+    whole = lists()
+    monkeypatch.setattr(scoring, "POOL_BLOCK", 7)
+    assert lists() == whole
+
+
+def test_click_model_by_parts(spark, ratings, movies):
+    """Blocks of users and pool give the model's own probability for every pair."""
+    rows = samples.mixed_samples(ratings, movies)
+    model = models.wide_model(rows)
+    users = spark.createDataFrame([(u,) for u in (1, 2, 3, 999)], "userId int")
+    user_features = samples.latest_user_features(ratings, movies)
+    movie_features = samples.latest_movie_features(ratings, movies)
+    scored = ranking.scored_movies(parse_movies(movies), ratings)
+    size = 8
+    found = recall.recommend_by_click_model(
+        model, users, user_features, movie_features, scored, size, pool_size=20
+    ).collect()
+    pool = ranking.top_movies(scored, "averageRating", 20).select("movieId")
+    pairs = (
+        users.crossJoin(pool)
+        .join(user_features.drop("timestamp"), "userId", "left")
+        .join(movie_features.drop("timestamp"), "movieId", "left")
+        .withColumn("label", F.lit(0))
+    )
+    probability = F.round(vector_to_array("probability")[1], 6).alias("p")
+    scores = {}
+    for r in models.score(model, pairs).select("userId", "movieId", probability).collect():
+        scores.setdefault(int(r.userId), []).append((-r.p, int(r.movieId)))
+    lists = {}
+    for r in sorted(found, key=lambda r: (r.userId, r.position)):
+        lists.setdefault(r.userId, []).append((-r.score, r.movieId))
+    assert set(lists) == {1, 2, 3, 999}
+    for user, best in lists.items():
+        wanted = sorted(scores[user])[:size]
+        assert [m for _, m in best] == [m for _, m in wanted]
+        assert [s for s, _ in best] == pytest.approx([s for s, _ in wanted], abs=1.1e-6)
 
 
 def test_users_without_vector_rank_by_id(spark, catalogue, ratings):
