@@ -70,7 +70,7 @@ class Automaton:
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Merge (u, v) -> w: a copy without the v arc moves behind u, w leads where v led."""
         if self.born[w] < 0:  # else w is spelled a second way and keeps its arcs
-            if not self.has_arc(self.behind[u][-1], v):
+            if u in self.dead or not self.has_arc(self.behind[u][-1], v):
                 self.dead.add(w)  # u and v never meet, so no state has a w arc
             self.born[w], self.left[w] = rank, u
             self.behind[w], self.changes[w] = [self.behind[v][-1]], [rank]
