@@ -15,6 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from marquee import session  # noqa: E402
 from marquee.catalog import QUERIES  # noqa: E402
+from marquee.plans.lineage import release  # noqa: E402
 
 HEADLINE = [
     "scan_ratings",
@@ -62,9 +63,17 @@ HEADLINE = [
     "baseline_rmse",
     "auc_rank_sum",
     "als_user_recs",
+    "als_item_recs",
+    "als_cv",
     "item2vec_vectors",
+    "graph_embedding",
     "wide_lr_metrics",
+    "fm_metrics",
+    "mlp_metrics",
+    "user_rank_two_tower",
+    "user_rank_model",
     "stream_latest_rating",
+    "stream_late_rows",
     "ratings_upserted",
     "watchlist_snapshot",
 ]
@@ -83,6 +92,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
+    release(spark)
     print(
         json.dumps(
             {

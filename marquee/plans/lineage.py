@@ -32,8 +32,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where everything that this application writes in between goes."""
+    return f"{shared_folder(spark)}/marquee-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate results; to be called when all results are read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -155,3 +155,11 @@ def test_auc_matches_all_pairs(make_ratings):
     neg = [s for y, s in data if y == 0]
     wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
     assert abs(found.auc - wins / (len(pos) * len(neg))) < 1e-12
+
+
+def test_intermediate_results_can_be_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_folder", lambda _: str(tmp_path))
+    written = lineage.materialize(spark.range(5), "numbers")
+    assert written.count() == 5 and list(tmp_path.iterdir())
+    lineage.release(spark)
+    assert not list(tmp_path.iterdir())
