@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
-Every distinct shingle of a document toggles one bit of one 64-bit segment of a sketch, so two
-sketches differ in at most as many bits, and in at most as many segments, as the sets differ in
-shingles. Documents similar enough to link differ in at most `allowance` shingles; a sketch of more
+Every distinct shingle of a document toggles one bit of one segment of a sketch, so two sketches
+differ in at most as many bits, and in at most as many segments, as the sets differ in shingles. A
+segment has 2**32 bits, nearly all clear, and is kept as a hash of those that are set. Documents similar enough to link differ in at most `allowance` shingles; a sketch of more
 segments than that keeps at least one segment equal (pigeonhole). Equal segments are an equality
 join on (segments in the sketch, segment number, bits), done per size band: the number of segments
 depends on the size of the set, sizes fall into bands of growing width, and a document near a bound
@@ -13,8 +13,9 @@ keeps them all).
 
 Documents with equal sets are one class from the start. Candidates are compared as class pairs and
 verified on the whole sets of their texts. Not every pair of a crowd that shares segments is compared: each such
-crowd is tried against members that many others are near to, and pairs already connected are
-skipped; what then is still apart is compared completely, so components are exact.
+crowd is tried against members that many others are near to; what then is still apart is screened
+completely, block by block inside tasks, by a second parity sketch of fixed length, and pairs that
+pass are verified, so components are exact.
 
 A null or empty text, or one of blanks, has the empty set and links with nothing. A text of fewer
 words than a shingle is one shingle. Rows with equal ids are documents of their own; null ids come
@@ -33,20 +34,26 @@ from pyspark.sql import functions as F
 
 from marquee.llm.components import components
 from marquee.llm.ids import ROW, name_rows, with_rows
-from marquee.llm.textbytes import byte_table, column_bytes, join_words, word_sequences
+from marquee.llm.textbytes import byte_table, column_bytes, join_words, mix, word_sequences
 from marquee.plans.lineage import materialize
 
 SHINGLE = 3
 PERCENT = 90
 SEGMENTS = 64
-# Bits below which a segment says little.
-FEW_BITS = 3
+# Bits below which a segment of a long sketch says little; in a short one only an empty segment does.
+FEW_BITS = 2
+MANY_SEGMENTS = 16
+# Segments in a sketch for each that the pigeonhole needs, at least.
+SPARE = 1.2
 # Sketch sizes are powers of this.
 BAND = 1.5
 # Bits of the second sketch, which screens candidates before their sets are fetched.
 SCREEN = 1024
 # Bits of the bitmap that screens texts; 2 MB.
 BITMAP = 1 << 24
+# Members of a crowd that are compared at a time, and rows that one task holds for it.
+CHUNK = 2_048
+TASK_ROWS = 50_000
 # Rounds of comparing crowds with chosen members before the rest is compared completely.
 ROUNDS = 3
 
@@ -67,7 +74,7 @@ def _need(sizes: np.ndarray, percent: int) -> np.ndarray:
 
 def _band(need: np.ndarray) -> np.ndarray:
     """Segments of the band that covers a need."""
-    step = np.ceil(np.log(need * 1.1) / np.log(BAND) - 1e-9)
+    step = np.ceil(np.log(need * SPARE) / np.log(BAND) - 1e-9)
     return np.where(need <= 1, 1, np.ceil(BAND**step).astype(np.int64))
 
 
@@ -110,21 +117,24 @@ def shingle_sets(
 
 def _sketch(values: np.ndarray, size: int, limit: int | None, spare: int) -> np.ndarray:
     """Join keys of one set's sketch of `size` segments, `spare` of which may be left out."""
+    # values ascend, and so do their segments; the lower half of a value is its bit
     segment = (values >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
-    # odd counts only: a bit toggled twice is clear again
     place, times = np.unique(
-        segment * np.uint64(64) + (values & np.uint64(63)), return_counts=True
+        segment << np.uint64(32) | values & np.uint64(0xFFFFFFFF), return_counts=True
     )
-    place = place[times % 2 == 1]
-    bits = np.zeros(size, np.uint64)
-    np.bitwise_or.at(bits, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    few = np.bitwise_count(bits) < FEW_BITS
+    place = place[times % 2 == 1]  # a bit toggled twice is clear again
+    owner = (place >> np.uint64(32)).astype(np.int64)
+    count = np.bincount(owner, minlength=size)
+    total = np.zeros(size, np.uint64)
+    if len(place):
+        total[count > 0] = np.add.reduceat(mix(place.copy()), np.flatnonzero(np.diff(owner, prepend=-1)))
+    few = count < (FEW_BITS if size >= MANY_SEGMENTS else 1)
     number = np.arange(size, dtype=np.uint64)
     chosen = np.ones(size, bool) if few.sum() > spare else ~few
     if limit is not None:
         chosen &= number < limit
     salt = np.full(int(chosen.sum()), size, np.uint64)
-    return join_words([salt, number[chosen], bits[chosen]]).view(np.int64)
+    return join_words([salt, number[chosen], total[chosen]]).view(np.int64)
 
 
 def keys_of(values: np.ndarray, percent: int, limit: int | None) -> np.ndarray:
@@ -227,6 +237,18 @@ def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     ]
 
 
+def _near(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Do sizes and screens allow a link? Screens differ in at most as many bits as the sets."""
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    return (apart <= allowance(n_x, n_y, percent)) & (
+        100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+    )
+
+
+def _screens(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(column_bytes(column)[0].tobytes(), np.uint64).reshape(-1, SCREEN // 64)
+
+
 def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose sizes and screens don't rule a link out."""
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("screen").alias("x"))
@@ -234,20 +256,75 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (
-                column_bytes(batch.column(c))[0].reshape(-1, SCREEN // 8) for c in ("x", "y")
-            )
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            x, y = (_screens(batch.column(c)) for c in ("x", "y"))
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            near = (apart <= allowance(n_a, n_b, percent)) & (
-                100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-            )
+            near = _near(x, y, n_a, n_b, percent)
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return ordered.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _screen_blocks(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs of one task's crowds that are not yet connected and may link, each once."""
+    names = ("key", "low", "high", "chunk", "rep", "component", "n")
+    key, low, high, chunk, rep, component, n = (rows.column(c).to_numpy() for c in names)
+    order = np.lexsort([rep, high, low, key])
+    blocks = np.stack([key[order], low[order], high[order]])
+    cuts = np.flatnonzero((np.diff(blocks, axis=1) != 0).any(axis=0)) + 1
+    screens = _screens(rows.column("screen"))
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in np.split(order, cuts):
+        if low[own[0]] == high[own[0]]:
+            left = right = own
+        else:
+            left, right = (own[chunk[own] == c] for c in (low[own[0]], high[own[0]]))
+        step = max(1, 2_000_000 // max(1, len(right) * SCREEN // 64))
+        for begin in range(0, len(left), step):
+            i = left[begin : begin + step, None]
+            apart = component[i] != component[right]
+            if left is right:
+                apart &= rep[i] < rep[right]
+            if apart.any():
+                apart &= _near(screens[i], screens[right], n[i], n[right], percent)
+                at, other = np.nonzero(apart)
+                first.append(rep[i[at, 0]])
+                second.append(rep[right[other]])
+    a, b = np.concatenate(first), np.concatenate(second)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def _remaining(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs that share a key, are not yet connected and may link.
+
+    A key's members meet in blocks of CHUNK by CHUNK inside tasks; only pairs that pass the screen
+    become rows.
+    """
+    sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    chunked = sizes.select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
+    total = open_.count()
+    parts = max(1, -(-total // TASK_ROWS))
+    return (
+        open_.join(chunked, "key")
+        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            "key",
+            "rep",
+            "component",
+            "chunk",
+            F.least("chunk", "other").alias("low"),
+            F.greatest("chunk", "other").alias("high"),
+        )
+        .withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)))
+        .join(classes, "rep")
+        .groupBy("part")
+        .applyInArrow(lambda t: _screen_blocks(t, percent), "a bigint, b bigint")
+        .distinct()
+    )
+
+
 def _links(
     met: DataFrame, classes: DataFrame, documents: DataFrame, shingle: int, percent: int
 ) -> DataFrame:
@@ -260,7 +337,6 @@ def _links(
     texts = materialize(_texts_of(documents, named), "texts")
     labels = spark.createDataFrame([], "node bigint, component bigint")
     tested = spark.createDataFrame([], "a bigint, b bigint")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
     pivots = members.groupBy("key").agg(F.max(F.struct("near", "rep")).alias("pivot"))
     for turn in range(ROUNDS + 1):
         # keys whose members are not yet all in one component
@@ -285,24 +361,18 @@ def _links(
                     .agg(F.max(F.struct("near", "rep")).alias("pivot"))
                 )
             pivots = materialize(pivots, "pivots")
-            one = pivots.select("key", F.col("pivot.rep").alias("other"))
+            chosen = pivots.select("key", F.col("pivot.rep").alias("b")).join(
+                open_.select("key", F.col("rep").alias("b"), F.col("component").alias("beyond")),
+                ["key", "b"],
+            )
+            pairs = open_.join(chosen, "key").where("component != beyond")
+            pairs = _screened(pairs.select(F.col("rep").alias("a"), "b"), classes, percent)
         else:
-            one = open_.select("key", F.col("rep").alias("other"))
-        mates = one.join(
-            labels.select(F.col("node").alias("other"), F.col("component").alias("beyond")),
-            "other",
-            "left",
-        ).withColumn("beyond", F.coalesce("beyond", "other"))
-        pairs = open_.join(mates, "key").where("component != beyond")
-        if turn == ROUNDS:
-            pairs = pairs.where("rep < other")
-        asked = _screened(
-            pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")), classes, percent
-        ).join(tested, ["a", "b"], "left_anti")
-        asked = materialize(asked, "asked")
+            pairs = _remaining(open_, classes, percent)
+        asked = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "asked")
         linked = materialize(_verified(asked, texts, shingle, percent), "linked")
-        tested, edges = tested.union(asked), edges.union(linked)
-        labels = materialize(components(edges), "labels")
+        tested = tested.union(asked)
+        labels = materialize(components(labels.toDF("a", "b").union(linked)), "labels")
     return labels.select(F.col("node").alias("rep"), "component")
 
 
