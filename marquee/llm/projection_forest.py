@@ -42,6 +42,9 @@ VISIT = 0.09
 CHUNK = 2_048
 TASK_ROWS = 20_000
 _STRIDE = 7_919
+_FOUND = pa.schema(
+    [("query", pa.int64()), ("rows", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))]
+)
 
 
 class Forest:
@@ -122,10 +125,10 @@ def _ranked(
 
 
 def _search_part(members: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """The best k of one task's members for each query that opens one of its leaves."""
-    empty = {"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "score": np.zeros(0)}
+    """The best k of one task's members for each query that opens one of its leaves; a query's
+    list is one row."""
     if not members.num_rows or not queries.num_rows:
-        return pa.table(empty)
+        return _FOUND.empty_table()
     unit = members.column("unit").to_numpy()
     ids = members.column(ROW).to_numpy()
     order = np.lexsort([ids, unit])
@@ -158,14 +161,18 @@ def _search_part(members: pa.Table, queries: pa.Table, k: int) -> pa.Table:
             exact = (asked[who[i]] * block[j]).sum(axis=1)
             top = _ranked(who[i], own[j], exact, k)
             found.append(top[:3])
-    if not found:
-        return pa.table(empty)
+    if not sum(len(f[0]) for f in found):
+        return _FOUND.empty_table()
     who, row, score, _ = _ranked(*(np.concatenate(c) for c in zip(*found)), k)
-    return pa.table({"query": asking[who], "row": row, "score": score})
+    heads = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+    bounds = pa.array(np.append(heads, len(who)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(c)) for c in (row, score)]
+    return pa.Table.from_arrays([pa.array(asking[who[heads]]), *lists], schema=_FOUND)
 
 
 def _nearest(vectors: DataFrame, length: int, k: int, seed: int, visit: float) -> DataFrame:
-    """(query, row, score) candidates among vectors of one length; `vectors` has _query."""
+    """(query, rows, scores): best candidates of each task among vectors of one length; `vectors`
+    has _query."""
     spark = vectors.sparkSession
     squares = F.aggregate(
         F.transform("embedding", lambda x: x.cast("double") * x.cast("double")),
@@ -268,7 +275,8 @@ def _nearest(vectors: DataFrame, length: int, k: int, seed: int, visit: float) -
         members.groupBy("part")
         .cogroup(asked.groupBy("part"))
         .applyInArrow(
-            lambda m, q: _search_part(m, q, k), "query bigint, row bigint, score double"
+            lambda m, q: _search_part(m, q, k),
+            "query bigint, rows array<bigint>, scores array<double>",
         )
     )
 
@@ -288,7 +296,9 @@ def nearest(
         part = _nearest(own, length, k, seed, visit)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = embeddings.sparkSession.createDataFrame([], "query bigint, row bigint, score double")
+        found = embeddings.sparkSession.createDataFrame(
+            [], "query bigint, rows array<bigint>, scores array<double>"
+        )
     best = found.groupBy("query").applyInArrow(
         lambda t: _merge(t, k), "query bigint, rank int, row bigint, score double"
     )
@@ -304,7 +314,8 @@ def nearest(
 
 def _merge(found: pa.Table, k: int) -> pa.Table:
     """One query's best of all tasks, at most k from each."""
-    who, row, score, rank = _ranked(
-        *(found.column(c).to_numpy() for c in ("query", "row", "score")), k
-    )
+    lists = [found.column(c).combine_chunks() for c in ("rows", "scores")]
+    row, score = (c.flatten().to_numpy() for c in lists)
+    query = np.repeat(found.column("query").to_numpy(), lists[0].value_lengths().to_numpy())
+    who, row, score, rank = _ranked(query, row, score, k)
     return pa.table({"query": who, "rank": pa.array(rank, pa.int32()), "row": row, "score": score})
