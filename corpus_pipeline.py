@@ -41,10 +41,8 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document of which nothing is left goes; one that came empty or null stays as it is.
     """
     left = suffix_dedup.remove_repeats(docs, texts=True)
-    came = F.col("_doc.text")
-    text = F.when(came.isNull(), came).otherwise(F.col("kept")).alias("text")
     changed = {
-        "text": text,
+        "text": F.col("kept").alias("text"),
         "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("bigint"))
         .otherwise(F.col("_doc.n_chars"))
         .alias("n_chars"),

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marquee.llm.ids import ROW, with_rows
-from marquee.llm.textbytes import CHUNK, column_bytes, window_hash
+from marquee.llm.textbytes import CHUNK, column_bytes, mix, window_hash
 
 WINDOW = 100
 GRAM = 32
-# Text of the documents that a task holds at a time.
-GROUP_BYTES = 8 << 20
+# Text of the documents that a task holds at a time, and text whose names one owner compares.
+GROUP_BYTES = 2 << 20
+OWNER_BYTES = 64 << 20
 # A name with more occurrences than this is dealt out by window.
 CROWD = 100_000
 # Lower bits of a hash that give way to its place in a piece of CHUNK + WINDOW bytes.
@@ -77,7 +78,8 @@ def named_runs(
         change[1:size] = (least[1:] != least[:-1]) | (fits[1:] != fits[:-1])
         edges = np.flatnonzero(change)
         inside = fits[edges[:-1]]
-        names.append(hashes[(least[edges[:-1]][inside] & _PLACE).astype(np.int64)])
+        # smallest hashes crowd at the low end; mixed again they spread over all owners
+        names.append(mix(hashes[(least[edges[:-1]][inside] & _PLACE).astype(np.int64)]))
         lows.append(edges[:-1][inside] + begin)
         highs.append(edges[1:][inside] + begin)
     if not names:
@@ -370,7 +372,9 @@ def _result(docs: pa.Table, covered: pa.Table, window: int, texts: bool) -> pa.T
         "kept_sha256": pa.array(digests, pa.string()),
     }
     if texts:
-        out["kept"] = _whole_characters(data, offsets, gone)
+        left_text = _whole_characters(data, offsets, gone)
+        came = pc.is_valid(docs.column("_text"))
+        out["kept"] = pc.if_else(came, left_text, pa.scalar(None, pa.string()))
     return pa.table(out)
 
 
@@ -400,16 +404,18 @@ def remove_repeats(
 ) -> DataFrame:
     """(_doc, n_bytes, n_removed, n_spans, kept_sha256) per document, and with `texts` also kept.
 
-    `_doc` is a struct of the columns that came. n_removed counts bytes, n_spans maximal runs of
-    them, kept_sha256 is of the bytes left. `kept` is the text left, in whole characters.
+    `_doc` is a struct of the columns that came, but for the text. n_removed counts bytes, n_spans
+    maximal runs of them, kept_sha256 is of the bytes left. `kept` is the text left, in whole
+    characters, and null where the text was.
     """
     spark = documents.sparkSession
     numbered, _ = with_rows(documents, "doc_id", "text")
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    # the text itself travels once
+    columns = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / group_bytes)
-    )
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(least, math.ceil(size / group_bytes))
+    owners = max(least, math.ceil(size / OWNER_BYTES))
     docs = numbered.select(
         F.pmod(F.xxhash64(ROW), F.lit(groups)).cast("int").alias("_group"),
         ROW,
@@ -418,7 +424,7 @@ def remove_repeats(
     )
     by_group = docs.groupBy("_group")
     repeated = (
-        by_group.applyInArrow(lambda t: _list_names(t, groups, window, gram), _LISTS)
+        by_group.applyInArrow(lambda t: _list_names(t, owners, window, gram), _LISTS)
         .groupBy("owner")
         .applyInArrow(lambda t: _repeated_names(t, crowd), _LISTS)
     )
