@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from marquee.llm.bytelevel import byte_symbols
 
-# Entries of the worker's tables of arcs, words and chunks before they start anew.
-ARC_ENTRIES = 1_000_000
-WORD_ENTRIES = 600_000
-CHUNK_ENTRIES = 400_000
+# Entries of a worker's tables of arcs, words and chunks in a generation; two are kept.
+ARC_ENTRIES = 100_000
+WORD_ENTRIES = 120_000
+CHUNK_ENTRIES = 120_000
+# Documents that a worker encodes before it hands them on.
+BATCH = 1_000
 # The blanks of Unicode's White_Space property.
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _blank = re.compile(f"[{BLANKS}]+")
@@ -43,6 +45,26 @@ _odd = re.compile("[\x1c-\x1f]")
 _plain = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
+class Recent:
+    """A table that forgets what has not been used for long: at most two generations of entries."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Automaton:
     """States and arcs of the merges; see the module."""
 
@@ -60,7 +82,7 @@ class Automaton:
         # per state: the token it stands behind by its own gadget, and that gadget
         self.owner, self.made = [-1], [-1]
         self.rank: dict[int, int] = {}
-        self.table: dict[int, bool] = {}
+        self.table = Recent(ARC_ENTRIES)
         self.dead: set[int] = set()
         for rank, pair in enumerate(merges):
             u, v = pair if not isinstance(pair, str) else pair.split(" ")
@@ -86,9 +108,7 @@ class Automaton:
         known = self.table.get(key)
         if known is None:
             known = self._walk(state, token)
-            if len(self.table) >= ARC_ENTRIES:
-                self.table.clear()
-            self.table[key] = known
+            self.table.put(key, known)
         return known
 
     def _walk(self, state: int, token: int) -> bool:
@@ -164,8 +184,7 @@ class Codec:
         )
         self.specials = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.joined: dict[str, tuple[int, str, str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.joined, self.known = Recent(CHUNK_ENTRIES), Recent(WORD_ENTRIES)
         # the short way knows words that the rules lower-case and keep whole
         self.latin = all(
             self.words(probe) == [byte_symbols(w) for w in wanted]
@@ -184,9 +203,7 @@ class Codec:
             tokens = self.automaton.encode(word)
             ids, labels = map(str, tokens), self.automaton.decode(tokens)
             known = (len(tokens), " ".join(ids), " ".join(labels))
-            if len(self.known) >= WORD_ENTRIES:
-                self.known.clear()
-            self.known[word] = known
+            self.known.put(word, known)
         return known
 
     def chunk(self, chunk: str) -> list[tuple[int, str, str]]:
@@ -212,7 +229,7 @@ class Codec:
         """
         total, ids, labels, joined = 0, [], [], self.joined
         for chunk in _blank.split(text) if _odd.search(text) else text.split():
-            known = joined.get(chunk)
+            known = joined.young.get(chunk) or joined.get(chunk)
             if known is None:
                 words = self.chunk(chunk)
                 known = (
@@ -224,9 +241,7 @@ class Codec:
                         " ".join([w[2] for w in words]),
                     )
                 )
-                if len(joined) >= CHUNK_ENTRIES:
-                    joined.clear()
-                joined[chunk] = known
+                joined.put(chunk, known)
             if known[0]:
                 total += known[0]
                 ids.append(known[1])
@@ -259,14 +274,15 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(shared.value)
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             counts, id_digests, text_digests, spelled, texts = [], [], [], [], []
             for text in batch.column("text"):
                 n, numbers, labels = one.encode_decode(text.as_py() or "")
                 counts.append(n)
                 id_digests.append(hashlib.sha256(numbers.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(labels.encode()).hexdigest())
-                spelled.append(numbers if ids else "")
+                if ids:
+                    spelled.append(np.fromstring(numbers, np.int32, sep=" "))
                 texts.append(labels if decoded else "")
             columns = [
                 batch.column("doc_id"),
@@ -276,7 +292,7 @@ def encode_documents(
             ]
             if ids:
                 offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-                values = np.array(" ".join(spelled).split(), np.int32)
+                values = np.concatenate(spelled)
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
             if decoded:
                 columns.append(pa.array(texts, pa.string()))
