@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from marquee.llm.bytelevel import byte_symbols
 
-# Bounds of the broadcast table: documents it is fitted on, and entries.
-TABLE_DOCUMENTS = 2_000
+# Bounds of the broadcast table: texts it is fitted on, bytes in one of them, and entries.
+TABLE_DOCUMENTS = 1_000
+TABLE_TEXT = 16_384
 TABLE_ENTRIES = 50_000
 # A worker's cache starts anew beyond this many pre-tokens.
 CACHE_ENTRIES = 1_000_000
@@ -84,33 +85,22 @@ def count_one(text: str, lengths: Lengths, specials: tuple[str, ...]) -> int:
 
 
 def frequent_pieces(documents: DataFrame, definition: str) -> dict[str, int]:
-    """Lengths of the most frequent pre-tokens of at most TABLE_DOCUMENTS documents."""
+    """Lengths of the most frequent pre-tokens of a few documents, for a start.
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column("text"):
-                seen.update(_piece.findall(text.as_py() or ""))
-        kept = seen.most_common(TABLE_ENTRIES)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "piece": pa.array([p for p, _ in kept], pa.string()),
-                "n": pa.array([n for _, n in kept], pa.int64()),
-            }
-        )
-
-    counted = documents.select("text").limit(TABLE_DOCUMENTS)
+    At most TABLE_DOCUMENTS texts of at most TABLE_TEXT bytes, read from the first partitions that
+    have them.
+    """
     rows = (
-        counted.mapInArrow(pieces, "piece string, n bigint")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(TABLE_ENTRIES)
+        documents.select("text")
+        .where(F.octet_length("text").between(1, TABLE_TEXT))
+        .limit(TABLE_DOCUMENTS)
         .collect()
     )
-    found = [r["piece"] for r in rows if not _unsure.search(r["piece"])]
+    seen: Counter[str] = Counter()
+    for row in rows:
+        seen.update(_piece.findall(row["text"]))
     lengths = Lengths({}, tokenizer(definition))
-    return {piece: lengths[piece] for piece in found}
+    return {p: lengths[p] for p, _ in seen.most_common(TABLE_ENTRIES) if not _unsure.search(p)}
 
 
 def count_tokens(documents: DataFrame, tokenizer_file: str, limit: int = OVER) -> DataFrame:
