@@ -7,12 +7,20 @@ around them) and on prose of the corpus with template words scattered in it; a t
 variants that the weights have not seen, calibrates it. A predicted family counts if the paragraph
 and one of its templates contain enough of one another.
 
+A line is classified as a whole and, where it has more words, in overlapping windows of each length
+in WINDOWS; the families of all of them are the line's. Any run of words up to three quarters of a
+window lies whole in one, so a template is always met in a window that it mostly fills, however long
+the line is and whatever other notices it has. Windows are confirmed by the templates they contain;
+only a whole line counts as part of a template. What mostly lies within a better match of another
+family is that family's.
+
 A null or empty text has no paragraphs and no licence. Rows with equal ids are scanned one by one;
 very long texts are read whole, block by block. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -34,6 +42,11 @@ PROSE_BYTES = 16_384
 PROSE_PARAGRAPHS = 1_500
 VARIANTS = 40
 NGRAMS = 3
+# Words in a window; windows of a length start every quarter of it. The longest template fits into
+# three quarters of the last.
+WINDOWS = (8, 16, 32, 64)
+# N-grams of windows that are compared with the templates at a time.
+COMPARED = 1 << 18
 
 # Families and their usual notices.
 TEMPLATES = {
@@ -114,26 +127,53 @@ def line_offsets(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets, np.flatnonzero(data == 0x0A) + 1]))
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of paragraphs: first, last, n-gram hashes, their paragraph, words per paragraph."""
+def ngrams(
+    data: np.ndarray, offsets: np.ndarray
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per block of paragraphs: first, last, n-gram hashes, the word each starts at and the word
+    behind it, and the first word of each paragraph with the number of words at the end."""
     member, to = byte_table(_LETTERS)
     for first, last, words, owner in word_sequences(data, offsets, member, to):
-        hashes, owners = [words], [owner]
+        at = np.arange(len(words))
+        hashes, begins, ends = [words], [at], [at + 1]
         for n in range(2, NGRAMS + 1):
             same = owner[n - 1 :] == owner[: len(owner) - n + 1]
             parts = [words[i : len(words) - n + 1 + i][same] for i in range(n)] if len(words) >= n else []
             if parts:
                 hashes.append(join_words(parts))
-                owners.append(owner[n - 1 :][same])
-        count = np.bincount(owner, minlength=last - first)
-        yield first, last, np.concatenate(hashes), np.concatenate(owners), count
+                begins.append(at[: len(words) - n + 1][same])
+                ends.append(begins[-1] + n)
+        bounds = np.append(0, np.cumsum(np.bincount(owner, minlength=last - first)))
+        yield first, last, np.concatenate(hashes), np.concatenate(begins), np.concatenate(ends), bounds
+
+
+def windows(
+    begins: np.ndarray, ends: np.ndarray, bounds: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, line, window) for each window of `width` words in longer lines that an n-gram lies in.
+
+    Windows start every quarter of their width and are numbered through the block, in order; the
+    last of a line reaches its end.
+    """
+    step = width // 4
+    size = np.diff(bounds)
+    count = np.where(size > width, -(-(size - width) // step) + 1, 0)
+    before = np.append(0, np.cumsum(count))
+    line = np.searchsorted(bounds, begins, side="right") - 1
+    low = np.maximum(-(-(ends - bounds[line] - width) // step), 0)
+    high = np.minimum((begins - bounds[line]) // step, count[line] - 1)
+    times = np.maximum(high - low + 1, 0)
+    gram = np.repeat(np.arange(len(begins)), times)
+    nth = np.arange(len(gram)) - np.repeat(np.cumsum(times) - times, times)
+    return gram, line[gram], before[line[gram]] + low[gram] + nth
 
 
 def _grams_of(paragraphs: list[str]) -> list[np.ndarray]:
     """Distinct n-grams of each paragraph."""
     data, offsets = column_bytes(pa.array(paragraphs, pa.string()))
     out: list[np.ndarray] = []
-    for first, last, hashes, owner, _ in ngrams(data, offsets):
+    for first, last, hashes, begins, _, bounds in ngrams(data, offsets):
+        owner = np.searchsorted(bounds, begins, side="right") - 1
         order = np.argsort(owner, kind="stable")
         cuts = np.searchsorted(owner[order], np.arange(last - first + 1))
         out += [np.unique(hashes[order[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
@@ -153,27 +193,45 @@ class Model:
             self.has[i, np.searchsorted(self.grams, own)] = True
         self.family = np.array([FAMILIES.index(f) for f, _ in self.templates])
         self.words = np.array([len(re.findall(r"\w+", t)) for _, t in self.templates])
+        self.size = self.has.sum(axis=1)
+        # a window or line with fewer of the templates' n-grams can't be confirmed
+        parted = sum(max(0, LEAST_WORDS - n) for n in range(NGRAMS))
+        self.least = math.ceil(LEAST_SIMILARITY * min(int(self.size.min()), parted))
         self._fit(prose, np.random.default_rng(seed))
 
     def _examples(self, prose: list[str], draw: np.random.Generator) -> tuple[list[str], list[int]]:
         known = [p for p in prose if self._nearest(_grams_of([p])[0]) < 0.5]
         words = [w for p in known for w in p.split()] or ["word"]
         marked = [w for _, t in self.templates for w in t.split()]
+        # words that templates of several families have are ordinary ones
+        families: dict[str, set[str]] = {}
+        for family, template in self.templates:
+            for w in re.findall(r"\w+", template.lower()):
+                families.setdefault(w, set()).add(family)
+        ordinary = sorted(w for w, f in families.items() if len(f) > 2)
 
         def some(pool: list[str], most: int) -> list[str]:
             return [pool[i] for i in draw.integers(0, len(pool), draw.integers(0, most + 1))]
 
+        def around(most: int) -> list[str]:
+            share = draw.choice([0.0, 0.5])
+            return [ordinary[draw.integers(len(ordinary))] if draw.random() < share else w for w in some(words, most)]
+
         texts, labels = [], []
         for family, template in self.templates:
             for _ in range(VARIANTS):
                 kept = [w for w in template.split() if draw.random() > 0.07]
-                texts.append(" ".join(some(words, 12) + kept + some(words, 12)))
+                # as much as the windows that hold the template whole have besides it
+                width = next(w for w in WINDOWS if w - w // 4 >= len(kept))
+                left = int(draw.integers(0, width - len(kept) + 1))
+                texts.append(" ".join(around(left) + kept + around(width - len(kept) - left)))
                 labels.append(FAMILIES.index(family))
         for p in known:
             texts.append(p)
             labels.append(0)
         for _ in range(len(self.templates) * VARIANTS):
-            mixed = some(words, 20) + some(marked, 6)
+            width = int(draw.choice(WINDOWS))
+            mixed = around(width) + some(marked, min(6, width // 2))
             draw.shuffle(mixed)
             texts.append(" ".join(mixed))
             labels.append(0)
@@ -205,35 +263,92 @@ class Model:
         self.weights = weights / heat[int(np.argmin(loss))]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(paragraph, family, probability, similarity, template) of confirmed paragraphs."""
-        for first, last, hashes, owner, words in ngrams(data, offsets):
+        """(paragraph, family, probability, similarity, template) of confirmed paragraphs; a
+        paragraph comes once for each confirmed window."""
+        for first, _, hashes, begins, ends, bounds in ngrams(data, offsets):
             at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
-            hit = self.grams[at] == hashes
-            # an n-gram counts once per paragraph
-            pairs = np.unique(owner[hit] * len(self.grams) + at[hit])
-            paragraph, gram = np.divmod(pairs, len(self.grams))
-            touched, place = np.unique(paragraph, return_inverse=True)
-            if not len(touched):
-                continue
-            x = np.zeros((len(touched), len(FAMILIES)))
-            np.add.at(x, place, self.weights[gram])
-            probability = _softmax(x + self.weights[-1])
-            family = probability.argmax(axis=1)
-            best = probability[np.arange(len(touched)), family]
-            likely = np.flatnonzero((family > 0) & (best >= LEAST_PROBABILITY))
-            for i in likely:
-                own = gram[place == i]
-                ours = self.family == family[i]
-                shared = self.has[:, own].sum(axis=1)
-                contained = shared / self.has.sum(axis=1)
-                total = max(1, sum(max(0, words[touched[i]] - n) for n in range(NGRAMS)))
-                part = shared / total if words[touched[i]] >= LEAST_WORDS else 0.0 * contained
-                similarity = np.where(ours, np.maximum(contained, part), -1.0)
-                top = int(similarity.argmax())
-                if similarity[top] >= LEAST_SIMILARITY:
+            hit = np.flatnonzero(self.grams[at] == hashes)
+            gram, begins, ends = at[hit], begins[hit], ends[hit]
+            size = np.diff(bounds)
+            line = np.searchsorted(bounds, begins, side="right") - 1
+            total = sum(np.maximum(size - n, 0) for n in range(NGRAMS))
+            total = np.where(size >= LEAST_WORDS, total, np.iinfo(np.int64).max)
+            found = list(self._confirmed(gram, begins, ends, line, line, total))
+            for width in WINDOWS:
+                each, lines, window = windows(begins, ends, bounds, width)
+                found += self._confirmed(gram[each], begins[each], ends[each], lines, window, None)
+            for paragraph, *one in _undisputed(found, self.words):
+                yield first + paragraph, *one
+
+    def _confirmed(
+        self,
+        gram: np.ndarray,
+        begins: np.ndarray,
+        ends: np.ndarray,
+        line: np.ndarray,
+        unit: np.ndarray,
+        total: np.ndarray | None,
+    ) -> Iterator[tuple]:
+        """What `scan` gives, and the first and last word that the template shares, for units (lines
+        or windows) with the given n-grams. `total` has the n-grams of each line, where a line may
+        also be part of a template."""
+        # an n-gram counts once per unit
+        pairs, where = np.unique(unit * len(self.grams) + gram, return_index=True)
+        unit, gram = np.divmod(pairs, len(self.grams))
+        heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])[: len(unit)])
+        count = np.diff(np.append(heads, len(unit)))
+        # units with too few n-grams for any template need no comparison
+        enough = count >= self.least
+        stays = np.repeat(enough, count)
+        gram, where, lines, count = gram[stays], where[stays], line[where[heads[enough]]], count[enough]
+        cuts = np.append(0, np.cumsum(count))
+        begin = 0
+        while begin < len(count):
+            end = int(np.searchsorted(cuts, cuts[begin] + COMPARED, side="right")) - 1
+            end = min(max(end, begin + 1), len(count))
+            own = gram[cuts[begin] : cuts[end]]
+            starts = cuts[begin:end] - cuts[begin]
+            shared = np.add.reduceat(self.has.T[own], starts, axis=0, dtype=np.int32)
+            similarity = shared / self.size
+            if total is not None:
+                similarity = np.maximum(similarity, shared / total[lines[begin:end], None])
+            near = np.flatnonzero((similarity >= LEAST_SIMILARITY).any(axis=1))
+            for i in near:
+                x = self.weights[own[starts[i] :][: count[begin + i]]].sum(axis=0)
+                probability = _softmax((x + self.weights[-1])[None])[0]
+                family = int(probability.argmax())
+                if not family or probability[family] < LEAST_PROBABILITY:
+                    continue
+                ours = np.where(self.family == family, similarity[i], -1.0)
+                top = int(ours.argmax())
+                if ours[top] >= LEAST_SIMILARITY:
+                    here = slice(cuts[begin + i], cuts[begin + i + 1])
+                    shares = where[here][self.has[top, gram[here]]]
+                    # single words may be far from the notice
+                    shares = shares[ends[shares] - begins[shares] > 1]
                     yield (
-                        first + touched[i], family[i], best[i], min(1.0, similarity[top]), top
+                        lines[begin + i], family, probability[family], min(1.0, ours[top]), top,
+                        begins[shares].min(), ends[shares].max(),
                     )
+            begin = end
+
+
+def _undisputed(found: list[tuple], words: np.ndarray) -> Iterator[tuple]:
+    """Findings without those that mostly lie within a better one of another family: a piece of one
+    notice may resemble another. The better one spans no more words than its template has."""
+    room = int(words.max())
+    near: dict[int, set[tuple]] = {}
+    for _, family, _, similarity, top, a, b in found:
+        if b - a <= words[top]:
+            near.setdefault(int(a) // room, set()).add((family, similarity, int(a), int(b)))
+    for one in found:
+        _, family, _, similarity, _, a, b = one
+        rivals = (x for i in range(int(a) // room - 1, int(b) // room + 1) for x in near.get(i, ()))
+        if not any(
+            f != family and s > similarity and min(b, d) - max(a, c) >= LEAST_SIMILARITY * (b - a)
+            for f, s, c, d in rivals
+        ):
+            yield one[:5]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -272,7 +387,7 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
             found: dict[int, list] = {}
             for line, family, probability, similarity, _ in shared.value.scan(data, lines):
                 doc = int(np.searchsorted(offsets, lines[line], side="right")) - 1
-                found.setdefault(doc, []).append((FAMILIES[family], probability, similarity))
+                found.setdefault(doc, []).append((FAMILIES[family], probability, similarity, line))
             n = np.searchsorted(lines, offsets[1:]) - np.searchsorted(lines, offsets[:-1])
             each = [found.get(i) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
@@ -280,7 +395,7 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
                     batch.column("doc_id"),
                     pa.array(n, pa.int64()),
                     pa.array([",".join(sorted({f[0] for f in e})) if e else None for e in each], pa.string()),
-                    pa.array([len(e) if e else 0 for e in each], pa.int64()),
+                    pa.array([len({f[3] for f in e}) if e else 0 for e in each], pa.int64()),
                     pa.array([float(max(f[1] for f in e)) if e else None for e in each], pa.float64()),
                     pa.array([float(max(f[2] for f in e)) if e else None for e in each], pa.float64()),
                 ],

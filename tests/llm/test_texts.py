@@ -240,3 +240,28 @@ def test_license_edge_rows(spark):
     assert got == [(0, 1, "GPL"), (1, 3, "GPL,MIT"), (4, 5_001, "GPL")]
     assert sorted(r["n_paragraphs"] for r in found if not r["licenses"]) == [0, 0, 1]
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_notices_inside_long_lines(spark):
+    rnd = random.Random(5)
+    stored = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("text is not null").limit(40)
+    prose = [w for r in stored.collect() for w in r["text"].split()[:300]]
+    ordinary = "the of to and in a is that for it as with be by on not this are or from".split()
+    rows, wanted = [], {}
+    for family, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for n in (200, 1_000):
+                for share in (0.0, 0.5):
+                    words = [rnd.choice(ordinary if rnd.random() < share else prose) for _ in range(n)]
+                    at = rnd.randrange(n)
+                    wanted[len(rows)] = family
+                    rows.append((len(rows), " ".join([*words[:at], template, *words[at:]])))
+    mit, cc = licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["CC0"][0]
+    wanted[len(rows)] = "CC0,MIT"
+    rows.append((len(rows), f"{mit} {cc} " + " ".join(prose[:300])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lines = [r["text"] for r in stored.collect()]
+    model = licenses.Model([x for t in lines for x in t.split("\n") if x.strip()][:500])
+    found = licenses.scan_licenses(docs, model).collect()
+    assert {r["doc_id"]: r["licenses"] for r in found} == wanted
+    assert all(r["n_licensed"] == 1 for r in found)
