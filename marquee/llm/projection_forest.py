@@ -3,6 +3,7 @@
 Each tree halves a bounded sample by random hyperplanes at the median until leaves hold about LEAF
 sample rows; every vector is then indexed in every tree. Inner products are searched as nearness
 after one more coordinate is added, which brings all vectors to the length of the longest. A query
+is stretched to that length, which leaves the order of its inner products as it is, and
 searches all trees through one priority queue ordered by the smallest margin on the path, opens the
 best VISIT of all leaves, and the members of those leaves are ranked by their inner products with
 the original vectors in double precision.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.ids import ROW, name_rows, with_rows
-from marquee.llm.vectors import matrix, packed
+from marquee.llm.vectors import matrix, packed, unit
 from marquee.plans.lineage import materialize
 
 K = 20
@@ -74,6 +75,11 @@ class Forest:
         rest = self.longest**2 - (vectors * vectors).sum(axis=1)
         return np.column_stack([vectors, np.sqrt(np.maximum(rest, 0.0))])
 
+    def stretched(self, queries: np.ndarray) -> np.ndarray:
+        """Queries as long as all lifted vectors; their own added coordinate is 0, as they only seek
+        large products. In their own length the cuts would outweigh them."""
+        return np.column_stack([unit(queries) * self.longest, np.zeros(len(queries))])
+
     def margins(self, points: np.ndarray) -> np.ndarray:
         """Signed distance of every point from every hyperplane: point, tree, node."""
         flat = self.planes.reshape(-1, points.shape[1])
@@ -239,9 +245,7 @@ def _nearest(vectors: DataFrame, length: int, k: int, seed: int, visit: float) -
             for begin in range(0, batch.num_rows, 256):
                 block = batch.slice(begin, 256)
                 vectors = matrix(block.column("embedding"))
-                # a query's own added coordinate is 0: it only seeks large products
-                points = np.column_stack([vectors, np.zeros(len(vectors))])
-                margins = tree.margins(points)
+                margins = tree.margins(tree.stretched(vectors))
                 where, part, units = [], [], []
                 for i in range(len(vectors)):
                     leaves = np.array(tree.search(margins[i], budget))

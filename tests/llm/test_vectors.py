@@ -46,6 +46,26 @@ def test_forest_recall(spark):
     assert hits / (20 * len(wanted)) >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["one long", "lognormal"])
+def test_forest_recall_on_unequal_lengths(spark, lengths):
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((2_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    if lengths == "one long":
+        x[7] *= 30
+    else:
+        x *= draw.lognormal(0, 1, (2_000, 1))
+    ids = np.arange(2_000)
+    df = spark.createDataFrame(
+        [(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>"
+    )
+    found = projection_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    got = {(r["query_id"], r["vec_id"]) for r in found}
+    wanted = exact(ids, x, np.flatnonzero(ids % 20 == 0), 20)
+    hits = sum((q, i) in got for q, best in wanted.items() for i, _ in best)
+    assert hits / (20 * len(wanted)) >= 0.9
+
+
 def test_forest_is_exact_when_all_leaves_open(spark):
     draw = np.random.default_rng(3)
     x = draw.standard_normal((900, 8)).round(2) * draw.uniform(0.2, 5, (900, 1)).round(1)
