@@ -36,10 +36,11 @@ LEAST_PROBABILITY = 0.5
 LEAST_SIMILARITY = 0.75
 # A paragraph that lies within a template needs this many words to count as part of it.
 LEAST_WORDS = 5
-# Bounds of the sample of prose that the unknown class is fitted on.
+# Bounds of the sample of prose that the unknown class is fitted on, and characters of one of its
+# paragraphs.
 PROSE_TEXTS = 300
-PROSE_BYTES = 16_384
 PROSE_PARAGRAPHS = 1_500
+PIECE = 4_096
 VARIANTS = 40
 NGRAMS = 3
 # Words in a window; windows of a length start every quarter of it. The longest template fits into
@@ -357,15 +358,50 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame) -> Model:
-    """Model from the templates and a bounded sample of the corpus' prose."""
+    """Model from the templates and a bounded sample of the corpus' prose: pieces of lines, by the
+    smallest hashes, of the documents with the smallest hashes of id and text."""
+    key = F.xxhash64("doc_id", "text")
+    told = documents.where(F.octet_length("text") > 0).select(key.alias("draw"), "text")
+    chosen = told.select("draw").distinct().orderBy("draw").limit(PROSE_TEXTS).collect()
+    if not chosen:
+        return Model([])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for draw, text in zip(batch.column("draw").to_pylist(), batch.column("text")):
+                for pieces in _pieces(text.as_py()):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([draw] * len(pieces), pa.int64()), pa.array(pieces, pa.string())],
+                        names=["draw", "piece"],
+                    )
+
+    # equal pieces of a document have one hash, so a repeated line counts once there
     rows = (
-        documents.select("text")
-        .where(F.octet_length("text").between(1, PROSE_BYTES))
-        .limit(PROSE_TEXTS)
+        told.where(F.col("draw").isin([r["draw"] for r in chosen]))
+        .mapInArrow(cut, "draw bigint, piece string")
+        .groupBy("draw", "piece")
+        .agg(F.lit(0))
+        .select(F.xxhash64("draw", "piece").alias("place"), "piece")
+        .orderBy("place", "piece")
+        .limit(PROSE_PARAGRAPHS)
         .collect()
     )
-    lines = [line for r in rows for line in r["text"].split("\n") if line.strip()]
-    return Model(lines[:PROSE_PARAGRAPHS])
+    return Model([r["piece"] for r in rows])
+
+
+def _pieces(text: str) -> Iterator[list[str]]:
+    """Lines of a text that aren't blank, in pieces of at most as many words as the longest window
+    and PIECE characters, some at a time."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        words = line.split()
+        for i in range(0, len(words), WINDOWS[-1]):
+            out.append(" ".join(words[i : i + WINDOWS[-1]])[:PIECE])
+        if len(out) > 1_000:
+            yield out
+            out = []
+    if out:
+        yield out
 
 
 SCHEMA = (

@@ -265,3 +265,15 @@ def test_notices_inside_long_lines(spark):
     found = licenses.scan_licenses(docs, model).collect()
     assert {r["doc_id"]: r["licenses"] for r in found} == wanted
     assert all(r["n_licensed"] == 1 for r in found)
+
+
+def test_license_prose_comes_from_all_rows(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(licenses, "Model", lambda prose: fitted.append(prose))
+    rows = [(i, f"{'early' if i < 600 else 'late'} words of {i}\n" + "long " * 4_000) for i in range(1_200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for n in (1, 5):
+        licenses.fit(docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"))
+    first = fitted[0]
+    assert first == fitted[1] and len(first) <= licenses.PROSE_PARAGRAPHS
+    assert sum(p.startswith("early") for p in first) > 100 < sum(p.startswith("late") for p in first)
