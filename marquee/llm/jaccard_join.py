@@ -7,9 +7,9 @@ segments than that keeps at least one segment equal (pigeonhole). Equal segments
 join on (segments in the sketch, segment number, bits), done per size band: the number of segments
 depends on the size of the set, sizes fall into bands of growing width, and a document near a bound
 has a sketch for both bands. Segments of very few bits, which unrelated documents share, are left
-out where enough others remain. Sketches are cut off after SEGMENTS segments: for larger sets the
-pigeonhole is then a probability, and a linked pair is missed with less than 2e-13 (segments=None
-keeps them all).
+out where enough others remain. Sketches keep all their segments, unless a caller gives a number
+(`segments`): for larger sets the pigeonhole is then a probability, and with 64 a linked pair is
+missed with less than 2e-13.
 
 Documents with equal sets are one class from the start. Candidates are compared as class pairs and
 verified on the whole sets of their texts. Not every pair of a crowd that shares segments is compared: each such
@@ -39,7 +39,6 @@ from marquee.plans.lineage import materialize
 
 SHINGLE = 3
 PERCENT = 90
-SEGMENTS = 64
 # Bits below which a segment of a long sketch says little; in a short one only an empty segment does.
 FEW_BITS = 2
 MANY_SEGMENTS = 16
@@ -405,7 +404,7 @@ def link_documents(
     documents: DataFrame,
     shingle: int = SHINGLE,
     percent: int = PERCENT,
-    segments: int | None = SEGMENTS,
+    segments: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document.
 
@@ -430,7 +429,7 @@ def keep_one(
     documents: DataFrame,
     shingle: int = SHINGLE,
     percent: int = PERCENT,
-    segments: int | None = SEGMENTS,
+    segments: int | None = None,
 ) -> DataFrame:
     """The first document of every component, as it came; documents without words all stay."""
     columns = [F.col(f"`{c}`") for c in documents.columns]

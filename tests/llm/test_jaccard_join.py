@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marquee.llm import jaccard_join as op
@@ -110,3 +111,18 @@ def test_edge_rows(spark):
     assert op.link_documents(df.limit(0)).count() == 0
     left = sorted((r["doc_id"] or 0, r["text"] or "") for r in op.keep_one(df).collect())
     assert left == [(0, ""), (0, "a b c d"), (1, "x y z")]
+
+
+def test_long_pair_that_differs_in_the_first_segments(spark):
+    a = [f"w{i}" for i in range(20_000)]
+    triples = pa.array([" ".join(a[i : i + 3]) for i in range(len(a) - 2)])
+    blocks = op.shingle_sets(triples, 3)
+    place = np.concatenate([values for _, _, values, _ in blocks]) >> np.uint64(32)
+    b = list(a)
+    for size in op.sketch_sizes(len(place), 90):
+        segment = (place * np.uint64(size) >> np.uint64(32)).astype(int)
+        for n in range(64):
+            b[int(np.flatnonzero(segment == n)[0])] = f"other{size}x{n}"
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id bigint, text string")
+    found = op.link_documents(docs).collect()
+    assert {r["component_id"] for r in found} == {1}
