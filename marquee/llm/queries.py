@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from marquee.llm import (
     bpe_automaton,
+    html_extraction,
     jaccard_join,
     licenses,
+    merkle_manifest,
     mixing,
     near_vectors,
     projection_forest,
@@ -19,6 +21,7 @@ from marquee.llm import (
     token_counts,
     toxicity,
     warc,
+    whitening,
 )
 from marquee.plans.lineage import materialize
 
@@ -201,3 +204,92 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, l.component_id,
   e.vec_id = l.component_id AS kept
 FROM embeddings e JOIN least_id l ON l.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
 """
+
+
+@query
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audit(read(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    columns = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256({' || '.join(map(_field, columns))})"
+
+
+ORACLE["op13_merkle_manifest"] = f"""
+WITH RECURSIVE digits AS (
+  SELECT *, row_number() OVER () AS rid, doc_id::VARCHAR AS d FROM documents),
+leaves AS (
+  SELECT rid, doc_id, source, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS bare,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, length(d) + 1), lambda i: ascii(d[i])::BIGINT)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda i: 0::BIGINT)),
+        lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) AS crc
+  FROM digits),
+placed AS (
+  SELECT rid, doc_id, leaf, CASE WHEN crc % 2 = 0 THEN bare ELSE leaf END AS now,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS src,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM leaves),
+low AS (
+  SELECT src, 0 AS level, pos AS i, leaf AS h, count(*) OVER (PARTITION BY src) AS n FROM placed
+  UNION ALL
+  SELECT src, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM low WHERE n > 1 GROUP BY src, level, i // 3),
+subroots AS (SELECT src, h FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, src AS i, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM high WHERE n > 1 GROUP BY level, i // 3),
+nodes AS (SELECT src, level, i, h, n FROM low UNION ALL SELECT -1, level, i, h, n FROM high),
+sides AS (
+  SELECT a.src, a.level, a.i,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM nodes a JOIN nodes b ON a.src = b.src AND a.level = b.level AND a.i // 3 = b.i // 3
+  WHERE a.n > 1 GROUP BY ALL),
+climb AS (
+  SELECT rid, src, src AS place, 0 AS level, pos AS i, '' AS proof, now AS h FROM placed
+  UNION ALL
+  SELECT c.rid, c.src, c.place, c.level + 1, c.i // 3, c.proof || s.before || s.after,
+    sha256(s.before || c.h || s.after)
+  FROM climb c JOIN sides s ON c.place = s.src AND c.level = s.level AND c.i = s.i),
+arrived AS (
+  SELECT rid, src, proof, h FROM climb
+  WHERE NOT EXISTS (FROM sides s WHERE s.src = place AND s.level = climb.level AND s.i = climb.i)),
+rise AS (
+  SELECT rid, 0 AS level, src AS i, proof, h FROM arrived
+  UNION ALL
+  SELECT c.rid, c.level + 1, c.i // 3, c.proof || s.before || s.after,
+    sha256(s.before || c.h || s.after)
+  FROM rise c JOIN sides s ON s.src = -1 AND c.level = s.level AND c.i = s.i),
+top AS (
+  SELECT rid, proof, h FROM rise WHERE level = (SELECT max(level) FROM high)),
+whole AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroots.h AS subroot, root, sha256(proof) AS proof_sha256, top.h AS folded_root,
+  top.h = root AS verified
+FROM placed JOIN subroots ON placed.src = subroots.src JOIN top ON placed.rid = top.rid, whole
+"""

@@ -16,6 +16,10 @@ COLUMNS = {
     "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"],
     "op9_bpe_automaton": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op10_near_vectors": ["vec_id", "n_links", "component_id", "kept"],
+    "op11_html_extraction": ["page_id", "url", "text", "n_chars"],
+    "op12_whitening": [
+        "vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error",
+    ],
 }
 
 
@@ -40,5 +44,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in names}
     assert "pipeline" in names
