@@ -1530,22 +1530,71 @@ def stream_feature_upsert(t: Inputs) -> DataFrame:
     return rating_stream.run_feature_upserts(t.event_stream())
 
 
-@query()
-def stream_late_rows(t: Inputs) -> DataFrame:
-    """Hourly windows when the events arrive in four out-of-order deliveries."""
+_DELIVERIES = 4
+# Every delivery covers the whole month, so later ones are late for closed hours.
+_DELIVERED = f"""WITH delivered AS (SELECT *, event_id % {_DELIVERIES} AS delivery FROM rating_events),
+closing AS (SELECT delivery + 1 AS delivery,
+  max(max(timestamp)) OVER (ORDER BY delivery) - {rating_stream.DELAY_MICROS} AS closed
+ FROM delivered GROUP BY delivery),
+judged AS (SELECT d.*, coalesce(epoch_us(date_trunc('hour', make_timestamp(d.timestamp))) + {rating_stream.HOUR_MICROS} <= c.closed, false) AS late
+ FROM delivered d LEFT JOIN closing c USING (delivery))"""
+
+
+def _delivered(t: Inputs) -> rating_stream.HourLedger:
+    """All events in four deliveries, each processed by a run of its own."""
     events = fixtures.table(t.spark, t.dir, "events")
     folder = fresh_path(t.spark, "deliveries")
-    deliveries = 4
-    # every delivery covers the whole month, so later ones are late for closed hours
-    for part in range(deliveries):
-        arrived = events.where(F.pmod(F.xxhash64("event_id"), F.lit(deliveries)) == part)
-        arrived.coalesce(1).write.parquet(f"{folder}/delivery={part}")
-    stream = rating_stream.read_stream(t.spark, f"{folder}/*", events.schema, files_per_batch=1)
-    return rating_stream.run_latest(fixtures.rating_events_of(stream)).select(
-        F.unix_micros("windowStart").alias("windowStart"), "userId", "eventId"
+    for part in range(_DELIVERIES):
+        arrived = events.where(F.col("event_id") % _DELIVERIES == part)
+        arrived.write.parquet(f"{folder}/in/delivery={part}")
+        stream = rating_stream.read_stream(t.spark, f"{folder}/in/*", events.schema)
+        job = rating_stream.HourLedger(fixtures.rating_events_of(stream), folder)
+        job.run()
+    return job
+
+
+@query(
+    f"""SELECT * FROM ({_DELIVERED} SELECT event_id AS eventId, userId, movieId, rating, timestamp AS ts,
+ CAST(delivery AS BIGINT) AS batch FROM judged WHERE late) q""",
+    "rating_events",
+)
+def stream_late_rows(t: Inputs) -> DataFrame:
+    """Events that came after their hour had closed, and with which delivery."""
+    return _delivered(t).late.read().select(
+        F.col("event_id").alias("eventId"),
+        "userId",
+        "movieId",
+        "rating",
+        F.unix_micros("ts").alias("ts"),
+        "batch",
     )
 
 
+@query(
+    f"""SELECT * FROM ({_DELIVERED} SELECT epoch_us(date_trunc('hour', make_timestamp(timestamp))) AS windowStart,
+ userId, arg_max(event_id, (timestamp, event_id)) AS eventId,
+ arg_max(movieId, (timestamp, event_id)) AS latestMovieId,
+ arg_max(rating, (timestamp, event_id)) AS rating, max(timestamp) AS ts
+FROM judged WHERE NOT late GROUP BY 1, 2) q""",
+    "rating_events",
+)
+def stream_hours_in_time(t: Inputs) -> DataFrame:
+    """Hourly latest ratings from the events that came in time."""
+    out = _delivered(t).hours.read()
+    return out.withColumns({c: F.unix_micros(c) for c in ("windowStart", "ts")})
+
+
+@query(
+    """SELECT event_id, userId, movieId, rating, CAST(rating >= 3.5 AS INT) AS label, timestamp AS ts
+FROM rating_events""",
+    "rating_events",
+)
+def stream_samples_appended(t: Inputs) -> DataFrame:
+    """Training samples appended by the sink of the rating stream."""
+    _, log = rating_stream.run_sink(t.event_stream(), fresh_path(t.spark, "sink"))
+    return log.read().withColumn("ts", F.unix_micros("ts"))
+
+
 _UPSERTED = f"""SELECT userId, movieId, rating, timestamp FROM (
  SELECT *, row_number() OVER (PARTITION BY userId, movieId ORDER BY timestamp DESC, event_id DESC) r
  FROM rating_events) x WHERE r=1"""
