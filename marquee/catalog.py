@@ -21,15 +21,18 @@ from marquee.operators import (
     graph,
     lookups,
     models,
+    neighbours,
     ranking,
     recall,
     samples,
     splits,
 )
+from marquee.operators.scoring import top_by_product
 from marquee.oracle_tables import sql
 from marquee.plans.lineage import fresh_path, materialize
 from marquee.sources import embeddings as embedding_files
 from marquee.sources import feature_store, payloads, sample_files, tables
+from marquee.sources.vector_store import VectorStore
 from marquee.streaming import ratings as rating_stream
 
 
@@ -1060,6 +1063,20 @@ def user_rank_model(t: Inputs) -> DataFrame:
     return _rank_by_model(t, tables.derive_users(t.stored_ratings))
 
 
+@query()
+def user_rank_fm(t: Inputs) -> DataFrame:
+    """Each user's ranking pool ordered by a factorisation machine."""
+    rows = materialize(t.samples, "mixed")
+    return recall.recommend_by_factorisation(
+        models.fm_model(rows),
+        tables.derive_users(t.stored_ratings),
+        samples.latest_user_features(t.stored_ratings, t.movies),
+        samples.latest_movie_features(t.stored_ratings, t.movies),
+        t.stored_scores,
+        SIMILAR,
+    )
+
+
 def _rank_routed(t: Inputs) -> DataFrame:
     """Every user's list from the scorer the user is routed to."""
     routed = materialize(recall.routed_users(tables.derive_users(t.stored_ratings)), "routed")
@@ -1112,6 +1129,46 @@ def lsh_neighbors(t: Inputs) -> DataFrame:
     return _rounded(found, ["distance"], 6)
 
 
+@query()
+def lsh_neighbors_all(t: Inputs) -> DataFrame:
+    """Approximate neighbours of every item."""
+    return neighbours.nearest_for_all(t.embeddings, models.NEIGHBOURS)
+
+
+_SEEDS = 20
+
+
+@query(
+    f"""SELECT count(*) AS seeds, count(*) * least({models.NEIGHBOURS}, (SELECT count(*) FROM item_embeddings) - 1) AS listed,
+ true AS distancesRight, true AS recallReached FROM item_embeddings WHERE movieId % {_SEEDS} = 0""",
+    "item_embeddings",
+)
+def lsh_recall(t: Inputs) -> DataFrame:
+    """The lists of every 20th item against the exact ones: is the recall 0.9 or more?"""
+    k = models.NEIGHBOURS
+    found = materialize(neighbours.nearest_for_all(t.embeddings, k), "found")
+    norm = F.aggregate("emb", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    wide = F.transform("emb", lambda x: x.cast("double"))
+    # |u - v|^2 = |u|^2 - 2 (u v - |v|^2 / 2): the exact lists come from the block scorer
+    seeds = t.embeddings.where(F.col("movieId") % _SEEDS == 0).select(
+        F.col("movieId").alias("seed"), F.concat(wide, F.array(F.lit(1.0))).alias("emb")
+    )
+    pool = t.embeddings.select("movieId", F.concat(wide, F.array(-norm / 2)).alias("emb"))
+    exact = top_by_product(seeds, "seed", pool, k, drop_self=True, normalized=False)
+    lists = found.where(F.col("movieId") % _SEEDS == 0)
+    pairs = lists.select(F.col("movieId").alias("seed"), F.col("neighbour").alias("movieId"), "distance")
+    hits = exact.join(pairs, ["seed", "movieId"], "left").agg(
+        (F.count("distance") / F.count(F.lit(1)) >= 0.9).alias("recallReached")
+    )
+    one, other = (t.embeddings.select(F.col("movieId").alias(n), F.col("emb").alias(f"_{n}")) for n in ("seed", "movieId"))
+    apart = F.zip_with("_seed", "_movieId", lambda a, b: (a.cast("double") - b.cast("double")))
+    checked = pairs.join(one, "seed").join(other, "movieId").select(
+        F.abs(F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x)) - F.col("distance")).alias("off")
+    )
+    listed = checked.agg(F.count(F.lit(1)).alias("listed"), (F.max("off") < 1e-5).alias("distancesRight"))
+    return seeds.agg(F.count(F.lit(1)).alias("seeds")).crossJoin(listed).crossJoin(hits)
+
+
 # ---- encodings --------------------------------------------------------------------------
 @query(
     """SELECT movieId, CAST((SELECT max(movieId) + 1 FROM movies) AS INT) AS size, movieId AS hot,
@@ -1139,14 +1196,19 @@ def genre_index_map(t: Inputs) -> DataFrame:
 
 @query(
     f"""SELECT m.movieId, string_agg(CAST(g.genreIndex AS VARCHAR), '|' ORDER BY g.genreIndex) AS indexes,
+ string_agg(CAST(g.genreIndex AS VARCHAR), '|' ORDER BY g.genreIndex) AS hot, CAST(count(*) AS DOUBLE) AS ones,
  (SELECT CAST(count(*) AS INT) FROM ({_GENRE_INDEX}) c) AS indexSize
 FROM movie_genres m JOIN ({_GENRE_INDEX}) g USING (genre) GROUP BY m.movieId""",
     "movie_genres",
 )
 def multi_hot_genres(t: Inputs) -> DataFrame:
-    hot = encoders.multi_hot_genres(t.catalogue)
-    return hot.select(
-        "movieId", F.array_join("genreIndexes", "|").alias("indexes"), "indexSize"
+    parts = encoders.sparse_parts("vector")
+    return encoders.multi_hot_genres(t.catalogue).select(
+        "movieId",
+        F.array_join("genreIndexes", "|").alias("indexes"),
+        F.array_join(parts["indices"], "|").alias("hot"),
+        F.aggregate(parts["values"], F.lit(0.0), lambda s, x: s + x).alias("ones"),
+        "indexSize",
     )
 
 
@@ -1456,19 +1518,46 @@ def item2vec_vectors(t: Inputs) -> DataFrame:
 
 @query()
 def item2vec_synonyms(t: Inputs) -> DataFrame:
-    """The nearest items of the most liked one."""
-    model = _item2vec(t)
-    liked = graph.liked_events(t.stored_ratings).groupBy("movieId").agg(F.count(F.lit(1)).alias("n"))
-    word = str(liked.orderBy(F.desc("n"), "movieId").first()["movieId"])
-    near = model.findSynonyms(word, models.SYNONYMS)
-    return near.select(F.lit(word).alias("item"), "word", "similarity")
+    """The nearest items of every item."""
+    return models.synonyms(materialize(models.vectors_of(_item2vec(t)), "vectors"))
+
+
+@query(
+    """SELECT prefix, vectors, 10 AS width, true AS unchanged FROM (
+ SELECT 'i2vEmb' AS prefix, count(DISTINCT movieId) AS vectors FROM labelled WHERE label=1
+ UNION ALL SELECT 'uEmb', count(DISTINCT userId) FROM labelled WHERE label=1) x""",
+    "labelled",
+)
+def trained_vectors_stored(t: Inputs) -> DataFrame:
+    """Item2vec vectors and the users' means of them, stored and read back by prefix."""
+    store = VectorStore(t.spark, fresh_path(t.spark, "vectors"))
+    items = materialize(models.vectors_of(_item2vec(t)), "vectors")
+    users = recall.user_embeddings(t.stored_ratings, items).select(
+        "userId", F.col("emb").cast("array<float>").alias("emb")
+    )
+    users = materialize(users, "vectors")
+    made = {embedding_files.ITEM2VEC: (items, "movieId"), embedding_files.USER: (users, "userId")}
+    reports = None
+    for prefix, (vectors, key) in made.items():
+        store.write(vectors, prefix, key)
+        read = store.read(prefix, key).select(key, F.col("emb").alias("_read"))
+        report = vectors.join(read, key, "full").agg(
+            F.lit(prefix).alias("prefix"),
+            F.count(F.lit(1)).alias("vectors"),
+            F.max(F.size("_read")).alias("width"),
+            F.bool_and(F.col("emb").eqNullSafe(F.col("_read"))).alias("unchanged"),
+        )
+        reports = report if reports is None else reports.unionByName(report)
+    return reports
 
 
 @query()
 def graph_embedding(t: Inputs) -> DataFrame:
     walks = materialize(graph.random_walks(t.pairs), "walks")
     words = walks.select(F.transform("nodes", lambda n: n.cast("string")).alias("words"))
-    return models.vectors_of(models.item2vec(words, "words"))
+    store = VectorStore(t.spark, fresh_path(t.spark, "vectors"))
+    store.write(models.vectors_of(models.item2vec(words, "words")), embedding_files.GRAPH)
+    return store.read(embedding_files.GRAPH)
 
 
 def _sample_split(t: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -1496,7 +1585,10 @@ def fm_metrics(t: Inputs) -> DataFrame:
 
 @query()
 def mlp_metrics(t: Inputs) -> DataFrame:
-    return _model_metrics(t, models.mlp_model)
+    """The perceptron with trained factors of users and movies among its inputs."""
+    known, _ = splits.hash_split(t.stored_ratings)
+    vectors = models.factor_vectors(models.als(t.stored_ratings).fit(known))
+    return _model_metrics(t, lambda train: models.mlp_model(train, vectors))
 
 
 @query()

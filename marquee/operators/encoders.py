@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
+    CountVectorizerModel,
     MinMaxScaler,
     OneHotEncoder,
     QuantileDiscretizer,
     VectorAssembler,
 )
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from marquee.plans.lineage import materialize
 # Buckets of the crossed feature and of the rating count.
 CROSS_BUCKETS = 10_000
 COUNT_BUCKETS = 100
+# Words of a vocabulary that may become a model on the driver.
+VOCABULARY = 100_000
 # Multipliers and modulus of the hash of a pair of movies.
 CROSS_FACTORS = (73_856_093, 19_349_663)
 CROSS_PRIME = (1 << 31) - 1
@@ -56,19 +59,27 @@ def genre_indices(catalogue: DataFrame) -> DataFrame:
     return counts.withColumn("genreIndex", F.row_number().over(order) - 1)
 
 
-def multi_hot_genres(catalogue: DataFrame) -> DataFrame:
+def multi_hot_genres(catalogue: DataFrame, limit: int = VOCABULARY) -> DataFrame:
     """movieId, sorted genre indices, vocabulary size and the sparse 0/1 vector.
 
-    Movies without genres have an empty list. The vocabulary stays a table, whatever its size.
+    Movies without genres have an empty list. The vocabulary stays a table, whatever its size; up
+    to `limit` words it also makes a model, whose vectors are built by the JVM. Beyond, the list
+    of indices is the result and the vector is null.
     """
     known = materialize(genre_indices(catalogue).select("genre", "genreIndex"), "vocabulary")
     listed = catalogue.select("movieId", F.explode_outer("genres").alias("genre"))
     indexes = F.sort_array(F.collect_set("genreIndex"))
-    hot = listed.join(known, "genre", "left").groupBy("movieId").agg(indexes.alias("genreIndexes"))
-    sized = hot.withColumn("indexSize", known.agg(F.count(F.lit(1)).cast("int")).scalar())
-    # no column function makes a sparse vector; this runs once per movie
-    sparse = F.udf(lambda size, at: Vectors.sparse(size, at, [1.0] * len(at)), VectorUDT())
-    return sized.withColumn("vector", sparse("indexSize", "genreIndexes"))
+    hot = listed.join(known, "genre", "left").groupBy("movieId").agg(
+        indexes.alias("genreIndexes"), F.collect_set("genre").alias("_genres")
+    )
+    size = known.count()
+    sized = hot.withColumn("indexSize", F.lit(size).cast("int"))
+    if not 0 < size <= limit:
+        none = F.lit(None).cast(VectorUDT())
+        return sized.drop("_genres").withColumn("vector", none)
+    words = [r["genre"] for r in known.orderBy("genreIndex").collect()]
+    model = CountVectorizerModel.from_vocabulary(words, "_genres", "vector")
+    return model.transform(sized).drop("_genres")
 
 
 def min_max(df: DataFrame, column: str, name: str) -> DataFrame:

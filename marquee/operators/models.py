@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     FMClassifier,
@@ -26,7 +31,12 @@ from pyspark.sql import functions as F
 
 from marquee.functions.vectors import dot, sigmoid
 from marquee.operators.encoders import CROSS_BUCKETS, NUMERIC, cross_bucket, crossed
+from marquee.operators.indexing import CategoryIndex
 from marquee.operators.samples import MOVIE_GENRES, USER_GENRES
+from marquee.operators.scoring import top_by_product
+from marquee.plans.lineage import materialize
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Factorisation, item2vec, hashing search, validation and network parameters.
 REGULARIZATION = 0.01
@@ -43,6 +53,8 @@ NEIGHBOURS = 5
 FOLDS = 10
 HIDDEN = [128, 128]
 WIDE_MOVIE = ["movieId", *MOVIE_GENRES]
+FM_MOVIE = ["movieId", "genre0"]
+FM_USER = ["userId", "userGenre0"]
 # Slots of the hashed inputs: far more than crossed buckets, ids and genres together.
 HASHED = 1 << 18
 EPOCHS = 5
@@ -146,6 +158,16 @@ def vectors_of(model: Word2VecModel) -> DataFrame:
     )
 
 
+def synonyms(vectors: DataFrame, k: int = SYNONYMS) -> DataFrame:
+    """(item, position, movieId, similarity): the k nearest items of every item by cosine.
+
+    The vocabulary is scored in blocks inside tasks, so it needn't fit anywhere in whole.
+    """
+    seeds = vectors.select(F.col("movieId").alias("item"), "emb")
+    near = top_by_product(seeds, "item", vectors, k, drop_self=True)
+    return near.withColumnRenamed("score", "similarity")
+
+
 def nearest_by_hashing(
     embeddings: DataFrame, vector: list[float], k: int = NEIGHBOURS, seed: int = 7
 ) -> DataFrame:
@@ -229,34 +251,145 @@ def wide_parts(
     )
 
 
-def fm_model(train: DataFrame, seed: int = 7) -> PipelineModel:
-    """Factorisation machine: first order and pairwise terms of ids and genres."""
-    hasher = FeatureHasher(
-        inputCols=["movieId", "userId", "genre0", "userGenre0"],
-        outputCol="features",
-        numFeatures=HASHED,
-    )
+class IndexedModel:
+    """A fitted pipeline behind an index of its categories."""
+
+    def __init__(self, index: CategoryIndex, model: PipelineModel) -> None:
+        self.index, self.model = index, model
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.index.add(rows))
+
+
+def fm_model(train: DataFrame, seed: int = 7) -> IndexedModel:
+    """Factorisation machine: first order and pairwise terms of ids and genres.
+
+    The index space comes from the data, so no two values share a coefficient, and an
+    aggregation carries as many coefficients as there are values.
+    """
+    rows = _inputs(train)
+    index = CategoryIndex.fit(rows, [*FM_MOVIE, *FM_USER])
     fit = FMClassifier(
         factorSize=EMBEDDING_SIZE, maxIter=EPOCHS * 10, stepSize=0.05, regParam=0.001, seed=seed
     )
-    return Pipeline(stages=[hasher, fit]).fit(_inputs(train))
+    indexed = materialize(index.add(rows), "indexed")
+    return IndexedModel(index, Pipeline(stages=[*index.stages("features"), fit]).fit(indexed))
+
 
+def fm_parts(
+    model: IndexedModel, users: DataFrame, pool: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(userId, emb) and (movieId, emb) whose inner product is the model's margin of a pair.
 
-def mlp_model(train: DataFrame, seed: int = 7) -> PipelineModel:
-    """Perceptron on the scaled numeric inputs and hashed genres."""
+    With the factors of a side's values summed to s, a pair's margin is the margins of both sides
+    alone plus the product of their sums: a user's vector is (s, own margin, 1), a movie's
+    (s, 1, own margin), with the intercept on the user's side. The coefficients are broadcast;
+    there are as many as the model has on the driver.
+    """
+    fitted = model.model.stages[-1]
+    shared = users.sparkSession.sparkContext.broadcast(
+        (fitted.linear.toArray(), fitted.factors.toArray())
+    )
+
+    def side(rows: DataFrame, key: str, columns: list[str], extra: float, own_last: bool):
+        texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+        asked = rows.withColumn("_key", F.col(key).cast("int")).withColumns(texts)
+        slots = model.index.slots(columns).alias("slots")
+        indexed = model.index.add(asked, columns).select(F.col("_key").alias(key), slots)
+
+        def vectors(batches):
+            linear, factors = shared.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                at = np.stack(batch["slots"].to_numpy())
+                each = factors[at]
+                total = each.sum(axis=1)
+                squares = (total * total).sum(axis=1) - (each * each).sum(axis=(1, 2))
+                own = extra + linear[at].sum(axis=1) + squares / 2
+                one = np.ones(len(own))
+                ends = [one, own] if own_last else [own, one]
+                yield pd.DataFrame(
+                    {
+                        key: batch[key],
+                        "emb": list(np.column_stack([total, *ends])),
+                    }
+                )
+
+        return indexed.mapInPandas(vectors, f"{key} int, emb array<double>")
+
+    return (
+        side(users, "userId", FM_USER, float(fitted.intercept), False),
+        side(pool, "movieId", FM_MOVIE, 0.0, True),
+    )
+
+
+class VectorModel:
+    """A fitted pipeline behind vectors joined to users and movies."""
+
+    def __init__(self, vectors: dict[str, DataFrame], widths: dict[str, int]) -> None:
+        self.vectors, self.widths = vectors, widths
+        self.model: PipelineModel | None = None
+
+    @classmethod
+    def of(cls, vectors: dict[str, DataFrame]) -> VectorModel:
+        """`vectors` maps a key column to a table of (key, emb)."""
+        stored, widths = {}, {}
+        for key, table in vectors.items():
+            text = F.col(key).cast("string").alias(key)
+            named = table.select(text, F.col("emb").cast("array<double>").alias(f"_{key}_emb"))
+            stored[key] = materialize(named, "vectors")
+            widths[key] = stored[key].agg(F.max(F.size(f"_{key}_emb"))).first()[0] or 1
+        return cls(stored, widths)
+
+    def columns(self) -> list[str]:
+        return [f"_{key}_vector" for key in self.vectors]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Attach each row's vectors; an unknown id has zeros."""
+        for key, table in self.vectors.items():
+            none = F.array_repeat(F.lit(0.0), self.widths[key])
+            vector = array_to_vector(F.coalesce(f"_{key}_emb", none)).alias(f"_{key}_vector")
+            rows = rows.join(table, key, "left").select("*", vector).drop(f"_{key}_emb")
+        return rows
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.model.transform(self.add(rows))
+
+
+def mlp_model(
+    train: DataFrame, vectors: dict[str, DataFrame] | None = None, seed: int = 7
+) -> VectorModel:
+    """Perceptron on the scaled numeric inputs, hashed genres, and vectors of ids.
+
+    `vectors` maps movieId and userId to tables (id, emb), such as trained factors.
+    """
     hashed = 32
+    joined = VectorModel.of(vectors or {})
     stages = [
         FeatureHasher(inputCols=[*MOVIE_GENRES, *USER_GENRES], outputCol="_hashed", numFeatures=hashed),
         VectorAssembler(inputCols=NUMERIC, outputCol="_numeric"),
         StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True),
-        VectorAssembler(inputCols=["_scaled", "_hashed"], outputCol="features"),
+        VectorAssembler(inputCols=["_scaled", "_hashed", *joined.columns()], outputCol="features"),
         MultilayerPerceptronClassifier(
-            layers=[len(NUMERIC) + hashed, *HIDDEN, 2], maxIter=EPOCHS * 4, seed=seed
+            layers=[len(NUMERIC) + hashed + sum(joined.widths.values()), *HIDDEN, 2],
+            maxIter=EPOCHS * 4,
+            seed=seed,
         ),
     ]
-    return Pipeline(stages=stages).fit(_inputs(train))
+    rows = materialize(joined.add(_inputs(train)), "joined") if vectors else _inputs(train)
+    joined.model = Pipeline(stages=stages).fit(rows)
+    return joined
+
+
+def factor_vectors(model: ALSModel) -> dict[str, DataFrame]:
+    """Factors as the vectors of users and movies."""
+    return {
+        "movieId": model.itemFactors.select(F.col("id").alias("movieId"), F.col("features").alias("emb")),
+        "userId": model.userFactors.select(F.col("id").alias("userId"), F.col("features").alias("emb")),
+    }
 
 
-def score(model: PipelineModel, samples: DataFrame) -> DataFrame:
+def score(model: PipelineModel | IndexedModel | VectorModel, samples: DataFrame) -> DataFrame:
     """Predictions of a fitted click model for whole sample tables."""
     return model.transform(_inputs(samples))

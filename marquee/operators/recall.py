@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import traffic
 from marquee.functions.vectors import sigmoid
-from marquee.operators.models import wide_parts
+from marquee.operators.models import IndexedModel, fm_parts, wide_parts
 from marquee.operators.ranking import top_movies, top_per
 from marquee.operators.samples import liked
 from marquee.operators.scoring import top_by_parts, top_by_product
@@ -222,6 +222,30 @@ def recommend_by_click_model(
     return top_by_parts(*parts, size)
 
 
+def recommend_by_factorisation(
+    model: IndexedModel,
+    users: DataFrame,
+    user_features: DataFrame,
+    movie_features: DataFrame,
+    scored: DataFrame,
+    size: int,
+    pool_size: int = RANKING_POOL,
+) -> DataFrame:
+    """The same pool ranked by a factorisation machine, for every user.
+
+    Its margin is one inner product of a user's and a movie's vector, so the block scorer ranks it
+    and pairs never become rows. Users and movies without features count with missing values.
+    """
+    pool = top_movies(scored, "averageRating", pool_size).select("movieId")
+    user_vectors, movie_vectors = fm_parts(
+        model,
+        users.select("userId").join(user_features, "userId", "left"),
+        pool.join(movie_features, "movieId", "left"),
+    )
+    best = top_by_product(user_vectors, "userId", movie_vectors, size, normalized=False)
+    return best.withColumn("score", sigmoid(F.col("score")))
+
+
 def rank_scored_pairs(scored_pairs: DataFrame, size: int) -> DataFrame:
     """Each user's `size` best candidates among pairs a model has scored."""
     rows = scored_pairs.select("userId", "movieId", "score")

@@ -14,47 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from marquee.operators.changes import last_write
+from marquee.plans.files import Folder
 
 # An upsert table is compacted when so many deltas lie on its base.
 COMPACT_AFTER = 8
 
 
-class Folder:
-    """Small files by name, through Spark's file systems."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        self._jvm, self._at = jvm, jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def names(self) -> list[str]:
-        at = self._at(self.path)
-        if not self._fs.exists(at):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at))
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._at(f"{self.path}/{name}"))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def publish(self, name: str, text: str) -> None:
-        """The file appears whole or not at all."""
-        hidden = self._at(f"{self.path}/.{name}-{uuid.uuid4().hex}")
-        out = self._fs.create(hidden)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self._at(f"{self.path}/{name}")
-        if self._fs.exists(target) or not self._fs.rename(hidden, target):
-            raise FileExistsError(f"{target} was written by somebody else")
-
-    def remove(self, name: str) -> None:
-        self._fs.delete(self._at(f"{self.path}/{name}"), True)
-
-
 class UpsertTable:
     """The newest row of each key, kept by a stream batch by batch.
 

@@ -45,10 +45,11 @@ def test_entry(spark):
         ("als_user_recs", 1500),
         ("als_item_recs", 2000),
         ("als_subset_recs", 60),
-        ("item2vec_synonyms", 20),
+        ("item2vec_synonyms", None),
+        ("lsh_neighbors_all", 1000),
+        ("user_rank_fm", 1500),
         ("split_random", 2),
         ("split_by_time_approx", 2),
-        ("stream_late_rows", None),
     ],
 )
 def test_runs(spark, name, rows):
