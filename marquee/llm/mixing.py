@@ -2,8 +2,9 @@
 
 Rows of a source with no words, and empty or null texts, have size 0: they add nothing to a target
 and are repeated like the rest of their source (rate 0 if the source has no words). A null source
-is a source of its own, last in order. Rows with equal doc_id share one draw, a null doc_id draws
-like the text "null". An empty table gives an empty mix.
+is a source of its own, last in order. Every row has a draw of its own: from its doc_id where ids are
+distinct and never null, else from its place in the order of (doc_id, digest of source and text), so
+rows with equal or null ids don't stand or fall together. An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.llm.ids import ROW, with_rows
 from marquee.plans.lineage import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,9 +30,9 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """Uniform number in [0, 1) from a digest of the id, the same on every run and engine."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def draw(row: Column, seed: int) -> Column:
+    """Uniform number in [0, 1) from a digest of a row's number, the same on every run and engine."""
+    key = F.concat(F.lit(f"{seed}:"), row.cast("string"))
     digits = F.substring(F.md5(key), 1, DRAW_DIGITS)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(16**DRAW_DIGITS))
 
@@ -79,7 +81,7 @@ def source_targets(
 
 
 def plan_copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """Add source_size, target and copies to rows with doc_id, source and size.
+    """Add source_size, target and copies to rows with _row, source and size.
 
     copies = floor(rate) plus one with probability equal to the rest of the rate, where
     rate = target / source_size. The targets have one row per source; Spark broadcasts them when
@@ -88,21 +90,56 @@ def plan_copies(sized: DataFrame, targets: DataFrame, seed: int = 0) -> DataFram
     known = targets.withColumnRenamed("source", "_source")
     joined = sized.join(known, sized["source"].eqNullSafe(known["_source"]), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("bigint")
+    extra = (draw(F.col(ROW), seed) < rate - F.floor(rate)).cast("bigint")
     return joined.withColumn("copies", F.floor(rate) + extra)
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    """(_row, doc_id, source, _document) of every row; the number is what its draw is made of."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    tie = F.md5(F.concat_ws(":", F.coalesce("source", F.lit("")), F.coalesce("text", F.lit(""))))
+    packed = documents.select(
+        F.struct(*columns).alias("_document"), "doc_id", "source", tie.alias("_tie")
+    )
+    return with_rows(packed, "doc_id", "_tie")[0]
+
+
+def _planned(documents: DataFrame, seed: int) -> DataFrame:
+    rows = _rows(documents).withColumn("size", words(F.col("_document.text")))
+    targets = materialize(source_targets(rows.select("source", "size")), "targets")
+    return plan_copies(rows, targets, seed)
+
+
+def _copies(planned: DataFrame) -> DataFrame:
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return planned.where("copies > 0").select(ROW, "_document", each)
+
+
 def mix(documents: DataFrame, seed: int = 0) -> DataFrame:
     """Every document as often as the mix takes it, with the columns it came with."""
-    columns = documents.columns
-    sized = documents.select("doc_id", "source", words(F.col("text")).alias("size"))
-    targets = materialize(source_targets(sized), "targets")
-    row = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_document"), "doc_id", "source"
-    ).withColumn("size", F.lit(0))
+    return _copies(_planned(documents, seed)).select("_document.*")
+
+
+def account(documents: DataFrame, seed: int = 0) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per document, from the mix as it is emitted.
+
+    `taken` are the words of a document's copies; a document that the mix leaves out has 0.
+    """
+    planned = _planned(documents, seed)
+    taken = (
+        _copies(planned)
+        .select(ROW, words(F.col("_document.text")).alias("words"))
+        .groupBy(ROW)
+        .agg(F.sum("words").alias("taken"))
+    )
     return (
-        plan_copies(row, targets, seed)
-        .where("copies > 0")
-        .select("_document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select("_document.*")
+        planned.drop("_document", "_tie")
+        .join(taken, ROW, "left")
+        .select(
+            F.col("doc_id").cast("bigint").alias("doc_id"),
+            "size",
+            F.coalesce("source_size", F.lit(0)).cast("bigint").alias("source_size"),
+            F.coalesce("target", F.lit(0.0)).alias("target"),
+            F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
+        )
     )

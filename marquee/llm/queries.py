@@ -130,18 +130,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read(spark, sf_dir, "documents")
-    sized = materialize(
-        documents.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes"
-    )
-    copies = mixing.plan_copies(sized, mixing.source_targets(sized))
-    return copies.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        "size",
-        F.coalesce("source_size", F.lit(0)).cast("bigint").alias("source_size"),
-        F.coalesce("target", F.lit(0.0)).alias("target"),
-        (F.col("size") * F.col("copies")).cast("bigint").alias("taken"),
-    )
+    return mixing.account(read(spark, sf_dir, "documents"))
 
 
 ORACLE["op8_mixing"] = r"""
@@ -165,7 +154,7 @@ targets AS (SELECT source, source_size, least(cap, max(level) OVER () * weight)
 rated AS (
   SELECT doc_id, size, source_size, target,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT
+    ('0x' || substr(md5('0:' || doc_id::VARCHAR), 1, 13))::BIGINT
       / 4503599627370496.0::DOUBLE AS draw
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
 SELECT doc_id, size, source_size, target,
