@@ -409,9 +409,10 @@ def remove_repeats(
     characters, and null where the text was.
     """
     spark = documents.sparkSession
-    numbered, _ = with_rows(documents, "doc_id", "text")
-    # the text itself travels once
+    # the text itself travels once; the other columns are packed, so that no name can clash
     columns = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    packed = documents.select("doc_id", "text", F.struct(*columns).alias("_doc"))
+    numbered, _ = with_rows(packed, "doc_id", "text")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(least, math.ceil(size / group_bytes))
@@ -420,7 +421,7 @@ def remove_repeats(
         F.pmod(F.xxhash64(ROW), F.lit(groups)).cast("int").alias("_group"),
         ROW,
         F.col("text").cast("string").alias("_text"),
-        F.struct(*columns).alias("_doc"),
+        "_doc",
     )
     by_group = docs.groupBy("_group")
     repeated = (
