@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from marquee.llm.bytelevel import byte_symbols
 
-# Entries of a worker's tables of arcs, words and chunks in a generation; two are kept.
-ARC_ENTRIES = 100_000
-WORD_ENTRIES = 120_000
-CHUNK_ENTRIES = 120_000
+# Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. An entry counts
+# its characters and ENTRY_BYTES for the objects around them.
+ARC_BYTES = 8 << 20
+WORD_BYTES = 16 << 20
+CHUNK_BYTES = 16 << 20
+ENTRY_BYTES = 240
 # Documents that a worker encodes before it hands them on.
 BATCH = 1_000
 # The blanks of Unicode's White_Space property.
@@ -46,10 +48,11 @@ _plain = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
 class Recent:
-    """A table that forgets what has not been used for long: at most two generations of entries."""
+    """A table that forgets what has not been used for long: at most two generations of entries,
+    each of about `size` bytes. What would take a hundredth of that isn't kept."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.young, self.old = size, {}, {}
+        self.size, self.held, self.young, self.old = size, 0, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -60,8 +63,14 @@ class Recent:
         return found
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        weight = ENTRY_BYTES
+        if type(key) is str:
+            weight += len(key) + len(value[1]) + len(value[2])
+            if weight > self.size // 100:
+                return
+        self.held += weight
+        if self.held > self.size:
+            self.old, self.young, self.held = self.young, {}, weight
         self.young[key] = value
 
 
@@ -82,12 +91,16 @@ class Automaton:
         # per state: the token it stands behind by its own gadget, and that gadget
         self.owner, self.made = [-1], [-1]
         self.rank: dict[int, int] = {}
-        self.table = Recent(ARC_ENTRIES)
+        self.table = Recent(ARC_BYTES)
         self.dead: set[int] = set()
         for rank, pair in enumerate(merges):
             u, v = pair if not isinstance(pair, str) else pair.split(" ")
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.longest = max(map(len, vocabulary), default=1)
+        # the longest token that begins with a pair of symbols
+        self.longest: dict[str, int] = {}
+        for label in vocabulary:
+            head = label[:2]
+            self.longest[head] = max(self.longest.get(head, 1), len(label))
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Merge (u, v) -> w: a copy without the v arc moves behind u, w leads where v led."""
@@ -142,7 +155,8 @@ class Automaton:
         state = 0
         while ends[-1] < n:
             start = ends[-1]
-            for end in range(min(n, start + self.longest), start, -1):
+            reach = start + self.longest.get(word[start : start + 2], 1)
+            for end in range(min(n, reach), start, -1):
                 if end in failed:
                     continue
                 token = ids.get(word[start:end] + self.suffix if end == n else word[start:end])
@@ -184,7 +198,7 @@ class Codec:
         )
         self.specials = {t["content"]: t["id"] for t in parsed["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
-        self.joined, self.known = Recent(CHUNK_ENTRIES), Recent(WORD_ENTRIES)
+        self.joined, self.known = Recent(CHUNK_BYTES), Recent(WORD_BYTES)
         # the short way knows words that the rules lower-case and keep whole
         self.latin = all(
             self.words(probe) == [byte_symbols(w) for w in wanted]

@@ -36,7 +36,7 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(data, np.uint8)[first:last], offsets - first
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of its inverse."""
     out = []
