@@ -16,14 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm.textbytes import byte_table, column_bytes, join_words, word_sequences
 from marquee.plans.lineage import materialize
 
 BITS = 20
-# Bound of the labelled sample that the model is fitted on, by one task.
+# Bounds of the labelled sample that the model is fitted on, by one task: rows, and bytes of a text.
 TRAIN_ROWS = 12_000
+TRAIN_TEXT = 1 << 18
 PASSES = 8
 ALPHA, BETA, L1, L2 = 1.5, 1.0, 4.0, 0.0
 REJECT = 0.7
@@ -90,11 +92,19 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.table({"slot": pa.array(kept, pa.int64()), "weight": pa.array(weights[kept])})
 
 
-def fit(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_ROWS) -> DataFrame:
+def fit(
+    documents: DataFrame,
+    labels: DataFrame,
+    usable: Column,
+    rows: int = TRAIN_ROWS,
+    text_bytes: int = TRAIN_TEXT,
+) -> DataFrame:
     """(slot, weight) of the model, from at most `rows` labelled documents.
 
-    The sample is the labelled ids with the smallest hashes. `usable` is a condition on doc_id
-    that labels must meet.
+    The sample is the rows of the labelled ids with the smallest hashes, of texts of at most
+    `text_bytes`; longer ones teach nothing, but are scored. Of rows with equal ids one is taken,
+    by a hash of its text, and an id that is labelled several times is toxic if it is so once. `usable` is a
+    condition on doc_id that labels must meet.
     """
     known = (
         labels.where(usable & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -106,7 +116,11 @@ def fit(documents: DataFrame, labels: DataFrame, usable: Column, rows: int = TRA
     )
     # at most `rows` narrow rows, so the texts need no shuffle to find them
     chosen = materialize(known, "labelled")
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # ids may be repeated, and texts may be long
+    short = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
+    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    texts = short.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
     return texts.groupBy(F.lit(0).alias("sample")).applyInArrow(_fit, "slot bigint, weight double")
 
 
