@@ -65,10 +65,7 @@ def test_stages(spark, tmp_path):
     mixed = {}
     for r in after["mix"].collect():
         mixed[r["doc_id"]] = mixed.get(r["doc_id"], 0) + 1
-    sized = after["repeated passages"].select(
-        "doc_id", "source", mixing.words(F.col("text")).alias("size")
-    )
-    plan = mixing.plan_copies(sized, mixing.source_targets(sized)).collect()
+    plan = mixing._planned(after["repeated passages"], 0).collect()
     wanted = {}
     for r in plan:
         wanted[r["doc_id"]] = wanted.get(r["doc_id"], 0) + r["copies"]

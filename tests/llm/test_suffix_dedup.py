@@ -96,3 +96,15 @@ def test_edge_rows(spark):
     )
     assert removed == [(0, 0), (0, left), (1, 0), (1, 0), (2, 0)]
     assert op.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_columns_with_the_names_of_helpers_come_back(spark):
+    text = "a passage of more than a hundred bytes which comes again in a later document as it is " * 2
+    names = ["_row", "_value", "_any", "_doc", "_group", "_text", "row", "place", "_range"]
+    rows = [(i, text, *[i * 100 + j for j in range(len(names))]) for i in (3, 3, 1)]
+    schema = "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names)
+    found = op.remove_repeats(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r["n_removed"] > 0 for r in found) == [False, True, True]
+    for r in found:
+        assert [r["_doc"][n] for n in names] == [r["_doc"]["doc_id"] * 100 + j for j in range(len(names))]
+    assert next(r for r in found if not r["n_removed"])["_doc"]["doc_id"] == 1

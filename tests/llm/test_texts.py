@@ -117,13 +117,14 @@ def test_mix_repeats_documents(spark):
     rows = [(i, " ".join(["w"] * (i % 7)), "abc"[i % 3] if i % 10 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     df = df.withColumn("copies", F.lit(9)).withColumn("size", F.lit("x"))
-    sized = df.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
-    planned = mixing.plan_copies(sized, mixing.source_targets(sized)).collect()
+    account = {r["doc_id"]: r for r in mixing.account(df).collect()}
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     counts = {r["doc_id"]: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
-    assert counts == {r["doc_id"]: r["copies"] for r in planned if r["copies"]}
-    assert max(counts.values()) <= 2
+    assert len(account) == 400 and max(counts.values()) <= 2
+    for i, text, _ in rows:
+        size = len(text.split())
+        assert (account[i]["size"], account[i]["taken"]) == (size, size * counts.get(i, 0))
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -151,12 +152,41 @@ def test_targets_by_hand(spark):
 
 def test_taken_words_come_near_targets(spark):
     rows = [(i, 1 + i % 50, f"s{i % 4}") for i in range(20_000)]
-    df = spark.createDataFrame(rows, "doc_id bigint, size bigint, source string")
+    df = spark.createDataFrame(rows, "_row bigint, size bigint, source string")
     planned = mixing.plan_copies(df, mixing.source_targets(df))
     taken = planned.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("t"))
     assert all(r["t"] == pytest.approx(r["target"], rel=0.05) for r in taken.collect())
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+@pytest.mark.parametrize("distinct", [True, False])
+def test_targets_are_met_without_sound_ids(spark, doc_id, distinct):
+    """Null and repeated ids, and equal rows, don't stand or fall together."""
+    rows = [(doc_id, f"w w w {i}" if distinct else "w w w w", "abc"[i % 3], 1, 2) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _row int, copies int")
+    account = mixing.account(df)
+    totals = account.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()
+    assert sum(r["t"] for r in totals) > 0
+    by_source = mixing.mix(df).groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("t"))
+    taken = sorted(r["t"] for r in by_source.collect())
+    wanted = sorted(r["target"] for r in mixing.source_targets(
+        df.select("source", mixing.words(F.col("text")).alias("size"))).collect())
+    assert taken == pytest.approx(wanted, rel=0.05)
+    assert mixing.mix(df).columns == df.columns
+    again = {tuple(r) for r in mixing.account(df).groupBy("target").agg(F.sum("taken")).collect()}
+    assert again == {tuple(r) for r in account.groupBy("target").agg(F.sum("taken")).collect()}
+
+
+def test_recent_tables_are_bounded_by_bytes():
+    table = bpe_automaton.Recent(100_000)
+    for i in range(5_000):
+        table.put(f"word{i}", (1, "12", "ab"))
+    entries = len(table.young) + len(table.old)
+    assert entries * bpe_automaton.ENTRY_BYTES <= 2 * 100_000
+    table.put("x" * 2_000, (1, "", ""))
+    assert table.get("x" * 2_000) is None and table.get("word4999") == (1, "12", "ab")
+
+
 def test_words_and_hashes():
     texts = ["Ab  c\tab", "", None, "ab", "c ab"]
     data, offsets = column_bytes(pa.array(texts))
