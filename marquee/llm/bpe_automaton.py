@@ -33,9 +33,9 @@ from marquee.llm.bytelevel import byte_symbols
 
 # Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. An entry counts
 # its characters and ENTRY_BYTES for the objects around them.
-ARC_BYTES = 8 << 20
-WORD_BYTES = 16 << 20
-CHUNK_BYTES = 16 << 20
+ARC_BYTES = 24 << 20
+WORD_BYTES = 32 << 20
+CHUNK_BYTES = 32 << 20
 ENTRY_BYTES = 240
 # Documents that a worker encodes before it hands them on.
 BATCH = 1_000
