@@ -21,7 +21,6 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm import worker
 from marquee.llm.bytelevel import byte_symbols
 
 # Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. An entry counts
@@ -263,9 +263,9 @@ class Codec:
         return total, " ".join(ids), " ".join(labels)
 
 
-@lru_cache(maxsize=2)
 def codec(definition: str) -> Codec:
-    return Codec(definition)
+    """This worker's codec, until it works for another operator."""
+    return worker.keep(("bpe", definition), lambda: Codec(definition))
 
 
 def encode_documents(

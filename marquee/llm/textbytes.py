@@ -11,6 +11,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from marquee.llm import worker
+
 # Odd, so that powers can be inverted modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 19
@@ -18,7 +20,11 @@ BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of all texts end to end, and the offset of each text; null is empty."""
+    """UTF-8 bytes of all texts end to end, and the offset of each text; null is empty.
+
+    Tables that another operator left in this worker go first.
+    """
+    worker.release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     wide = column.type in (pa.large_string(), pa.large_binary())

@@ -12,7 +12,7 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marquee.llm import bpe_automaton, licenses, mixing, token_counts, toxicity
+from marquee.llm import bpe_automaton, licenses, mixing, token_counts, toxicity, worker
 from marquee.llm.textbytes import byte_table, column_bytes, join_words, words_of
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -177,6 +177,16 @@ def test_targets_are_met_without_sound_ids(spark, doc_id, distinct):
     assert again == {tuple(r) for r in account.groupBy("target").agg(F.sum("taken")).collect()}
 
 
+def test_a_worker_keeps_the_tables_of_one_operator():
+    made = []
+    first = worker.keep("a", lambda: made.append(1) or [1])
+    assert worker.keep("a", lambda: made.append(2) or [2]) is first and made == [1]
+    worker.keep("b", lambda: [3])
+    assert worker.keep("a", lambda: [4]) == [4]
+    column_bytes(pa.array(["x"]))
+    assert not worker._kept
+
+
 def test_recent_tables_are_bounded_by_bytes():
     table = bpe_automaton.Recent(100_000)
     for i in range(5_000):
