@@ -46,7 +46,7 @@ def test_entry(spark):
         ("als_item_recs", 2000),
         ("als_subset_recs", 60),
         ("item2vec_synonyms", None),
-        ("lsh_neighbors_all", 1000),
+        ("lsh_neighbors_all", 2500),
         ("user_rank_fm", 1500),
         ("split_random", 2),
         ("split_by_time_approx", 2),
