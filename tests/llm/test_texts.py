@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -52,12 +54,40 @@ def test_token_counts(spark, texts):
 
 
 def test_token_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 700)
     library = Tokenizer.from_file(BYTE)
     lengths = token_counts.Lengths({" the": 1}, library)
     for text in filter(None, odd_texts()):
         assert token_counts.count_one(text, lengths, ("<|endoftext|>",)) == len(library.encode(text).ids)
     assert len(lengths) <= 7
+    held = len(lengths)
+    assert lengths["y" * 5_000] == len(library.encode("y" * 5_000).ids) and len(lengths) == held
+
+
+def test_frequent_pieces_describe_all_documents(spark):
+    """Each tenth of the files has a word of its own; all are in the table, and counts are merged."""
+    rows = [(f"common w{i % 10} " * 30 + f"rare{i}x" + "z" * 300,) for i in range(400)]
+    df = spark.createDataFrame(rows, "text string").repartitionByRange(10, F.col("text"))
+    definition = Path(BYTE).read_text(encoding="utf-8")
+    library = Tokenizer.from_file(BYTE)
+    for fan in (2, 3, 16):
+        found = token_counts.frequent_pieces(df, definition, 64, fan)
+        assert {" common", " w", *"0123456789"} <= set(found) and len(found) <= 64
+        assert all(n == len(library.encode(p).ids) for p, n in found.items())
+        assert max(map(len, found)) <= token_counts.LONG
+    assert token_counts.unpack(token_counts.pack(found)) == found
+    assert token_counts.frequent_pieces(df.limit(0), definition) == {}
+    assert token_counts.unpack(token_counts.pack({})) == {}
+
+
+def test_thinned_counts_are_short_by_a_bounded_share():
+    rnd = random.Random(8)
+    words = [f"w{int(rnd.paretovariate(0.7))}" for _ in range(20_000)]
+    merged, exact = Counter(), Counter(words)
+    for i in range(0, len(words), 500):
+        merged = token_counts.thin(merged + token_counts.thin(Counter(words[i : i + 500]), 40), 40)
+    assert len(merged) <= 40
+    assert all(0 <= n - merged[w] <= len(words) / 40 for w, n in exact.items())
 
 
 def test_bpe(spark, texts):
