@@ -3,7 +3,8 @@
 A page is one record; of equal payloads of some length the one with the largest id is a response
 and the others revisit it. Records are written by Spark's text writer: a record's end is the line
 separator, so any file system that Spark writes to will do. Reading takes each file apart by the
-lengths in its headers, so payloads may hold anything.
+lengths in its headers, so payloads may hold anything. A file holds 64 MB of records, or a single longer
+one, however long or short pages are.
 
 The index is built from sorted runs, one per reading task. Runs are dealt out by ranges of (URL key,
 time, record) and each range merges its k runs by a tree of losers, so that ranges in order hold the
@@ -31,8 +32,15 @@ from marquee.plans.lineage import fresh_path, materialize
 
 # Payloads shorter than this are never revisits.
 REVISIT_BYTES = 1_000
-# Records in one archive file, which a reading task holds at a time.
-FILE_RECORDS = 1_000
+# Bytes of records in one archive file before compression, which a reading task holds at a time; a
+# longer record is a file of its own.
+FILE_BYTES = 64 << 20
+# Records are written by classes of length, each bound this many times the one before.
+SHORT, STEP, CLASSES = 1 << 16, 16, 5
+# Headers of a record without its address, at most.
+HEADERS = 1_024
+# Captures of the index that a range holds, about.
+RANGE_ROWS = 100_000
 # Time of the record numbered 0 for pages that come without times; one second per number.
 FIRST_CAPTURE = 1_704_067_200
 
@@ -113,15 +121,31 @@ def records(described: DataFrame) -> DataFrame:
     return described.select(F.concat(header, http, body).alias("value"))
 
 
-def write_archive(described: DataFrame, folder: str) -> None:
-    """Compressed archive files of at most FILE_RECORDS records below `folder`."""
-    (
-        records(described)
-        .write.option("lineSep", END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
-        .text(folder)
-    )
+def write_archive(described: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> None:
+    """Compressed archive files below `folder` of at most `file_bytes` before compression.
+
+    Spark rolls files by their number of records. Records of a class are no longer than its bound,
+    so each class, most tables have one or two, is written with as many records a file as fit.
+    """
+    body = F.when(F.col("original").isNull(), F.col("size")).otherwise(0)
+    # a blank or control character of an address becomes three characters
+    length = HEADERS + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + body
+    bounds = [SHORT * STEP**k for k in range(CLASSES)]
+    number = F.lit(CLASSES)
+    for k in reversed(range(CLASSES)):
+        number = F.when(length <= bounds[k], k).otherwise(number)
+    classed = described.withColumn("_class", number)
+    present = sorted(r["_class"] for r in classed.groupBy("_class").count().collect())
+    for k in present or [0]:
+        fit = max(1, file_bytes // bounds[k]) if k < CLASSES else 1
+        (
+            records(classed.where(F.col("_class") == k))
+            .write.mode("errorifexists" if k == (present or [0])[0] else "append")
+            .option("lineSep", END)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", fit)
+            .text(folder)
+        )
 
 
 def _fields(lines: bytes) -> dict[str, str]:
@@ -265,10 +289,11 @@ def merge_runs(runs: list[list]) -> Iterator:
 def build_index(runs: DataFrame) -> DataFrame:
     """Captures in order of (url_key, captured, record) over all partitions in turn.
 
-    `runs` is written first, as range bounds are drawn from it.
+    `runs` is written first, as range bounds are drawn from it. There are as many ranges as its
+    rows ask for, so that what a merging task holds does not grow with the archive.
     """
     stored = materialize(runs, "runs")
-    ranges = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-stored.count() // RANGE_ROWS))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple]] = {}

@@ -1,5 +1,6 @@
 """Archives written, read back and indexed."""
 
+import gzip
 import hashlib
 import random
 
@@ -57,6 +58,36 @@ def test_payloads_round_trip(spark, tmp_path):
     assert set(wanted) - set(read) == {*range(50, 56), 74}
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Long pages are rolled by their length, a page beyond the bound is a file of its own."""
+    rnd = random.Random(5)
+    sizes = [100] * 30 + [60_000] * 9 + [500_000] * 7 + [3_000_000] * 3
+    rows = [(i, f"http://h/{i}", chr(97 + rnd.randrange(26)) * n + str(i), 0) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, PAGES).coalesce(1)
+    described = warc.describe(df.withColumn("_row", df["page_id"]))
+    limit, folder = 2 << 20, tmp_path / "archive"
+    warc.write_archive(described, str(folder), limit)
+    seen = []
+    for path in folder.glob("*.gz"):
+        data = gzip.decompress(path.read_bytes())
+        held = [warc._number(f["warc-record-id"]) for _, f, _, _ in warc.parse_archive(data)]
+        assert len(data) <= limit or len(held) == 1
+        seen += held
+    assert sorted(seen) == list(range(len(rows)))
+    found = warc.read_runs(spark, str(folder)).collect()
+    assert {r["record"]: r["payload_bytes"] for r in found} == {i: len(h) for i, _, h, _ in rows}
+
+
+def test_index_in_many_ranges(spark, monkeypatch):
+    """The ranges in turn hold the captures in order, however few rows a range has."""
+    df = spark.createDataFrame(pages(), PAGES).repartition(5)
+    wanted = warc.archive_pages(df).drop("file", "at").collect()
+    monkeypatch.setattr(warc, "RANGE_ROWS", 7)
+    index = warc.archive_pages(df)
+    assert index.rdd.getNumPartitions() >= 7
+    assert index.drop("file", "at").collect() == wanted
+
+
 def test_repeated_ids_and_no_pages(spark):
     same = "<i>" + "x" * 1_200
     rows = [(1, "http://a.b/", same, 0), (1, "http://a.b/", same, 0), (None, "http://a.b/", same, 0)]
