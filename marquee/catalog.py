@@ -817,26 +817,47 @@ def item_distribution(t: Inputs) -> DataFrame:
     return _rounded(graph.item_distribution(t.edges), ["prob"], 6)
 
 
-def _draw_sql(step: str) -> str:
-    digits = f"substr(md5('7:' || walk || ':' || {step}), 1, {graph.DRAW_DIGITS})"
+def _draw_sql(step: str, part: int) -> str:
+    first = 1 + part * graph.DRAW_DIGITS
+    digits = f"substr(md5('7:' || walk || ':' || {step}), {first}, {graph.DRAW_DIGITS})"
     return f"CAST('0x' || {digits} AS BIGINT)"
 
 
+# Slots to draw from, of every node and, under the key -1, of all starts.
+_SLOTS = f"""e AS MATERIALIZED ({_EDGES}),
+weights AS (SELECT src AS k, dst AS item, cnt AS c FROM e
+ UNION ALL SELECT -1, src, CAST(sum(cnt) AS BIGINT) FROM e GROUP BY src),
+shares AS (SELECT *, count(*) OVER (PARTITION BY k) AS n,
+ CAST(sum(c) OVER (PARTITION BY k) AS BIGINT) AS total FROM weights),
+kinds AS (SELECT *, n * c > total AS rich, greatest(total - n * c, 0) AS lack,
+ greatest(n * c - total, 0) AS spare FROM shares),
+lines AS (SELECT *, row_number() OVER o - 1 AS slot, sum(CAST(rich AS INT)) OVER o AS upto,
+ CASE WHEN rich THEN sum(spare) OVER o ELSE sum(lack) OVER o - lack END AS pos
+ FROM kinds WINDOW o AS (PARTITION BY k ORDER BY item)),
+met AS (SELECT *, sum(lack) OVER m - lack AS filled,
+ CASE WHEN rich THEN upto ELSE sum(CAST(rich AS INT)) OVER m END AS wanted
+ FROM lines WINDOW m AS (PARTITION BY k ORDER BY pos, rich DESC, item)),
+slots AS MATERIALIZED (SELECT a.k, a.slot, a.item, b.item AS other,
+ CASE WHEN a.rich THEN a.total - (a.filled - a.pos) ELSE a.n * a.c END AS keep
+ FROM met a LEFT JOIN met b ON b.k = a.k AND b.rich AND b.upto - 1 = a.wanted),
+sizes AS MATERIALIZED (SELECT DISTINCT k, n, total FROM shares)"""
+
+
 @query(
     f"""SELECT walk, CAST(max(step) AS INT) AS length, arg_max(path, step) AS path FROM (
- WITH RECURSIVE laid AS MATERIALIZED (
-  SELECT src, dst, cnt, sum(cnt) OVER (ORDER BY src, dst) - cnt AS low FROM ({_EDGES}) e),
- runs AS MATERIALIZED (SELECT src, min(low) AS first, sum(cnt) AS out FROM laid GROUP BY src),
- starts AS (SELECT walk, {_draw_sql("0")} % (SELECT sum(cnt) FROM laid) AS pos
-  FROM range({graph.WALKS}) r(walk)),
+ WITH RECURSIVE {_SLOTS},
+ starts AS (SELECT walk, {_draw_sql("0", 0)} % n AS slot, {_draw_sql("0", 1)} % total AS coin
+  FROM range({graph.WALKS}) r(walk), sizes WHERE k = -1),
  paths AS (
-  SELECT walk, 1 AS step, src AS node, CAST(src AS VARCHAR) AS path
-  FROM starts JOIN laid ON pos >= low AND pos < low + cnt
+  SELECT walk, 1 AS step, node, CAST(node AS VARCHAR) AS path
+  FROM (SELECT walk, CASE WHEN coin < keep THEN item ELSE other END AS node
+   FROM starts JOIN slots ON k = -1 AND starts.slot = slots.slot) s
   UNION ALL
-  SELECT p.walk, p.step + 1, l.dst, p.path || ' ' || l.dst
-  FROM (SELECT paths.*, first + {_draw_sql("step")} % out AS pos
-   FROM paths JOIN runs ON runs.src = paths.node WHERE step < {graph.WALK_LENGTH}) p
-  JOIN laid l ON l.src = p.node AND p.pos >= l.low AND p.pos < l.low + l.cnt)
+  SELECT walk, step + 1, CASE WHEN coin < keep THEN item ELSE other END,
+   path || ' ' || CASE WHEN coin < keep THEN item ELSE other END
+  FROM (SELECT paths.*, {_draw_sql("step", 0)} % n AS draw, {_draw_sql("step", 1)} % total AS coin
+   FROM paths JOIN sizes ON sizes.k = paths.node WHERE step < {graph.WALK_LENGTH}) p
+  JOIN slots ON slots.k = p.node AND slots.slot = p.draw)
  SELECT * FROM paths) w GROUP BY walk""",
     "labelled",
 )
@@ -1334,29 +1355,26 @@ def numeric_features(t: Inputs) -> DataFrame:
 
 
 @query(
-    """SELECT userId, movieId, CAST(count(*) AS INT) AS slots, round(sum(w), 6) AS weight,
- round(sum(w * total), 6) AS pooledSum, round(sum(w * firstDim), 6) AS pooledFirst
-FROM (SELECT x.userId, x.movieId, list_sum(CAST(p.emb AS DOUBLE[])) AS total, CAST(p.emb[1] AS DOUBLE) AS firstDim,
+    """SELECT userId, movieId, CAST(max(cnt) AS INT) AS slots, round(max(weight), 6) AS weight,
+ string_agg(CAST(CAST(round(pooled * 1e6) AS BIGINT) AS VARCHAR), ' ' ORDER BY dim) AS pooled
+FROM (SELECT userId, movieId, dim, count(*) AS cnt, sum(w) AS weight, sum(w * v) AS pooled
+FROM (SELECT x.userId, x.movieId, unnest(CAST(p.emb AS DOUBLE[])) AS v, generate_subscripts(p.emb, 1) AS dim,
   1.0 / (1.0 + exp(-list_dot_product(CAST(p.emb AS DOUBLE[]), CAST(c.emb AS DOUBLE[])))) AS w
  FROM (SELECT userId, movieId, unnest([userRatedMovie0, userRatedMovie1, userRatedMovie2,
    userRatedMovie3, userRatedMovie4]) AS past FROM mixed) x
  JOIN item_embeddings p ON p.movieId=x.past JOIN item_embeddings c ON c.movieId=x.movieId) y
-GROUP BY userId, movieId""",
+GROUP BY userId, movieId, dim) z GROUP BY userId, movieId""",
     "mixed",
     "item_embeddings",
 )
 def history_attention_pool(t: Inputs) -> DataFrame:
+    """All dimensions of the pooled vectors, in millionths."""
     pooled = attention.history_attention_pool(t.samples, t.embeddings)
-    total = F.aggregate("pooled", F.lit(0.0), lambda s, x: s + x)
+    millionths = F.transform("pooled", lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
     out = pooled.select(
-        "userId",
-        "movieId",
-        "slots",
-        "weight",
-        total.alias("pooledSum"),
-        F.get("pooled", F.lit(0)).alias("pooledFirst"),
+        "userId", "movieId", "slots", "weight", F.array_join(millionths, " ").alias("pooled")
     )
-    return _rounded(out, ["weight", "pooledSum", "pooledFirst"], 6)
+    return _rounded(out, ["weight"], 6)
 
 
 # ---- splits and metrics -----------------------------------------------------------------
@@ -1413,6 +1431,25 @@ def split_by_time_approx(t: Inputs) -> DataFrame:
     return _split_report(*splits.split_by_time(t.stored_ratings))
 
 
+_SHARES, _RANK_ERROR = [i / 10 for i in range(1, 10)], 0.01
+
+
+@query(
+    f"""SELECT c AS "column", share, n AS "rows", true AS within
+FROM (SELECT count(*) AS n FROM ratings) t, (SELECT unnest(['userId', 'movieId', 'rating', 'timestamp']) AS c) x,
+ (SELECT CAST(unnest({_SHARES}) AS DOUBLE) AS share) y""",
+    "ratings",
+)
+def quantiles_approx(t: Inputs) -> DataFrame:
+    """Deciles of four columns from merged summaries, held against their exact ranks."""
+    columns = ["userId", "movieId", "rating", "timestamp"]
+    found = splits.approx_quantiles(t.stored_ratings, columns, _SHARES, _RANK_ERROR)
+    ranked = splits.rank_errors(t.stored_ratings, found)
+    return ranked.select(
+        "column", "share", "rows", (F.col("error") <= _RANK_ERROR).alias("within")
+    )
+
+
 @query(_QUANTILE, "ratings")
 def quantile_split_exact(t: Inputs) -> DataFrame:
     return splits.exact_quantile(t.stored_ratings, "timestamp")

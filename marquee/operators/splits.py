@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +44,59 @@ def approx_quantile(samples: DataFrame, column: str, share: Decimal = TRAIN) ->
     return samples.agg(F.percentile_approx(column, float(share), accuracy).alias("split"))
 
 
+def approx_quantiles(
+    rows: DataFrame, columns: Sequence[str], shares: Sequence[float], error: float
+) -> DataFrame:
+    """(column, share, value) for every column and share, in one pass over the rows.
+
+    Each task keeps a summary per column, and summaries are merged; a value's rank is off by at
+    most `error` of the rows that have one. Columns without values have null.
+    """
+    accuracy = math.ceil(1 / error)
+    wanted = F.array(*[F.lit(s) for s in shares])
+    found = rows.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), wanted, accuracy).alias(c) for c in columns]
+    )
+    each = [
+        F.struct(F.lit(c).alias("column"), F.lit(s).alias("share"), F.col(c)[i].alias("value"))
+        for c in columns
+        for i, s in enumerate(shares)
+    ]
+    return found.select(F.inline(F.array(*each)))
+
+
+def rank_errors(rows: DataFrame, quantiles: DataFrame) -> DataFrame:
+    """(column, share, value, rows, error): how far a value's ranks are from its share.
+
+    One pass for all values, which are as few as the columns and shares asked for. Equal values
+    cover a range of ranks; the error is 0 inside of it.
+    """
+    found = quantiles.collect()
+    counts = []
+    for i, q in enumerate(found):
+        of = F.col(q["column"])
+        counts += [
+            F.count_if(of < q["value"]).alias(f"below{i}"),
+            F.count_if(of <= q["value"]).alias(f"upto{i}"),
+            F.count(of).alias(f"n{i}"),
+        ]
+    each = []
+    for i, q in enumerate(found):
+        n, target = F.col(f"n{i}"), F.col(f"n{i}") * q["share"]
+        off = F.greatest(F.col(f"below{i}") - target, target - F.col(f"upto{i}"), F.lit(0.0))
+        value = F.lit(q["value"]).cast("double").alias("value")
+        each.append(
+            F.struct(
+                F.lit(q["column"]).alias("column"),
+                F.lit(q["share"]).alias("share"),
+                value,
+                n.alias("rows"),
+                F.try_divide(off, n).alias("error"),
+            )
+        )
+    return rows.agg(*counts).select(F.inline(F.array(*each)))
+
+
 def exact_quantile(samples: DataFrame, column: str, share: Decimal = TRAIN) -> DataFrame:
     """One row with the smallest value that has at least `share` of the rows up to it.
 

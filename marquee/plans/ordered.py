@@ -22,41 +22,57 @@ def _ranges(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     ranges: int | None = None,
 ) -> DataFrame:
-    """Add `name`: the sum of `value` over the rows before this one within `keys`.
+    """Add a column per entry of `values`: the sum over the rows before this one within `keys`.
 
     `order` must make rows unique inside a key. The offsets table has one row per key and range.
     """
     keys, order = list(keys), list(order)
+    summed = {name: f"_value{i}" for i, name in enumerate(values)}
     ranged = materialize(
-        df.withColumn("_value", value)
+        df.withColumns({summed[name]: value for name, value in values.items()})
         .repartitionByRange(ranges or _ranges(df), *keys, *order)
         .withColumn(RANGE, F.spark_partition_id()),
         "ranges",
     )
-    totals = ranged.groupBy(*keys, RANGE).agg(F.sum("_value").alias("_total"))
-    earlier = F.sum("_total").over(
-        W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
-    )
-    offsets = totals.select(*keys, RANGE, F.coalesce(earlier, F.lit(0)).alias("_offset"))
-    inside = F.sum("_value").over(
-        W.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, RANGE).agg(*[F.sum(c).alias(c) for c in summed.values()])
+    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys,
+        RANGE,
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_offset") for c in summed.values()],
     )
+    inside = W.partitionBy(*keys, RANGE).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        ranged.withColumn("_inside", F.coalesce(inside, F.lit(0)))
+        ranged.withColumns(
+            {f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in summed.values()}
+        )
         .join(offsets, [*keys, RANGE])
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_value", "_inside", "_offset", RANGE)
+        .withColumns(
+            {name: F.col(f"{c}_inside") + F.col(f"{c}_offset") for name, c in summed.items()}
+        )
+        .drop(RANGE, *[c + end for c in summed.values() for end in ("", "_inside", "_offset")])
     )
 
 
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: Column,
+    name: str,
+    ranges: int | None = None,
+) -> DataFrame:
+    """Add `name`: the sum of `value` over the rows before this one within `keys`."""
+    return running_totals(df, keys, order, {name: value}, ranges)
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],

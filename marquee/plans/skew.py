@@ -14,27 +14,22 @@ from marquee.plans.ordered import number_rows
 
 # A sequence longer than this is split over several tasks.
 LONG_SEQUENCE = 2_000_000
-# At most this many keys are treated as heavy, which bounds the broadcast list. A key outside
-# the list holds at most 1/HEAVY_KEYS of the rows.
-HEAVY_KEYS = 100_000
 
 
-def heavy_keys(df: DataFrame, key: str, limit: int = LONG_SEQUENCE) -> list:
-    """(key, rows) of the keys with more than `limit` rows, largest first.
+def heavy_keys(df: DataFrame, key: str, limit: int = LONG_SEQUENCE) -> tuple[DataFrame | None, int]:
+    """Keys with more than `limit` rows, as a written table, and the rows that they hold.
 
-    One aggregation over the key column alone.
+    One aggregation over the key column alone; None without such keys.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    top = counts.orderBy(F.desc("n"), key).limit(HEAVY_KEYS)
-    return [(r[0], r[1]) for r in top.collect()]
+    rows = counts.agg(F.sum("n")).first()[0]
+    return (materialize(counts, "heavy"), rows) if rows else (None, 0)
 
 
-def _split(df: DataFrame, key: str, heavy: list) -> tuple[DataFrame, DataFrame, int]:
-    rows = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], df.select(key).schema)
-    listed = F.broadcast(rows)  # at most HEAVY_KEYS rows
-    light = df.join(listed, key, "left_anti")
-    long = df.join(listed, key, "left_semi")
-    return light, long, sum(n for _, n in heavy)
+def _split(df: DataFrame, key: str, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of other keys, and rows of heavy keys. Spark broadcasts the keys only if they are few."""
+    listed = heavy.select(key)
+    return df.join(listed, key, "left_anti"), df.join(listed, key, "left_semi")
 
 
 def join_lookup(facts: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -74,10 +69,10 @@ def add_over_sequences(
             rows = rows.withColumns(stage(window))
         return rows
 
-    heavy = heavy_keys(df if counted is None else counted, key, limit)
-    if not heavy:
+    heavy, rows = heavy_keys(df if counted is None else counted, key, limit)
+    if heavy is None:
         return apply(df, W.partitionBy(key).orderBy(*order))
-    light, long, rows = _split(df, key, heavy)
+    light, long = _split(df, key, heavy)
     size = max(limit, lookback)
     numbered = number_rows(long, [key], order, "_pos", _ranges(rows, limit))
     block = F.floor(F.col("_pos") / size)
@@ -101,9 +96,9 @@ def number_sequences(
         at = F.row_number().over(W.partitionBy(key).orderBy(*order))
         return rows.withColumn(name, (at - 1).cast("bigint"))
 
-    heavy = heavy_keys(df, key, limit)
-    if not heavy:
+    heavy, rows = heavy_keys(df, key, limit)
+    if heavy is None:
         return plain(df)
-    light, long, rows = _split(df, key, heavy)
+    light, long = _split(df, key, heavy)
     numbered = number_rows(long, [key], order, name, _ranges(rows, limit))
     return plain(light).unionByName(numbered)

@@ -1,4 +1,5 @@
 import collections
+import random
 
 from pyspark.sql import functions as F
 
@@ -48,6 +49,45 @@ def test_walks_follow_edges_and_stop(spark):
     assert first[4] == 0
 
 
+def test_alias_slots_hold_the_exact_weights(spark):
+    """Summed over a key's slots, every item has n times its weight; hot, tied and lone items too."""
+    rnd = random.Random(3)
+    weights = {k: [rnd.choice([1, 1, 2, 7, 400]) for _ in range(n)] for k, n in enumerate((1, 2, 3, 17, 300))}
+    weights[9] = [5] * 8
+    weights[10] = [10**15, 1, 1]
+    rows = [(k, i, w) for k, ws in weights.items() for i, w in enumerate(ws)]
+    df = spark.createDataFrame(rows, "k int, i int, w bigint")
+    held, slots = collections.Counter(), collections.defaultdict(set)
+    for r in graph.alias_table(df, "k", "i", "w").collect():
+        assert 0 < r.keep <= r.total == sum(weights[r.k]) and r.n == len(weights[r.k])
+        slots[r.k].add(r.slot)
+        held[r.k, r["item"]] += r.keep
+        if r.keep < r.total:
+            held[r.k, r.other] += r.total - r.keep
+    assert held == {(k, i): w * len(weights[k]) for k, i, w in rows}
+    assert all(slots[k] == set(range(len(ws))) for k, ws in weights.items())
+    # n times the total is beyond 64 bits
+    huge = spark.createDataFrame([(0, i, 2**60 + i % 2) for i in range(7)], "k int, i int, w bigint")
+    held.clear()
+    for r in graph.alias_table(huge, "k", "i", "w").collect():
+        held[r["item"]] += r.keep
+        held[r.other] += r.total - r.keep
+    assert all(held[i] == 7 * (2**60 + i % 2) for i in range(7))
+
+
+def test_long_walks_are_written_on_the_way(spark, monkeypatch):
+    arcs = [(0, 1, 2), (1, 2, 1), (2, 1, 3), (3, 3, 4)]
+    pairs = spark.createDataFrame(arcs, "userId int, src int, dst int")
+    whole = graph.random_walks(pairs, walks=50, length=7)
+    monkeypatch.setattr(graph, "PLAN_STEPS", 2)
+    cut = graph.random_walks(pairs, walks=50, length=7)
+    wanted = sorted((r.walk, tuple(r.nodes)) for r in whole.collect())
+    assert sorted((r.walk, tuple(r.nodes)) for r in cut.collect()) == wanted
+    # walks too many to be copied meet the slots by key
+    apart = graph.random_walks(pairs, walks=50, length=7, broadcast_bytes=0)
+    assert sorted((r.walk, tuple(r.nodes)) for r in apart.collect()) == wanted
+
+
 def test_walks_depend_on_the_seed_only(inputs):
     pairs = inputs.pairs
 
@@ -99,6 +139,23 @@ def test_click_models_learn(make_ratings, make_movies):
         assert found["rocAuc"] > 0.95, fit.__name__
 
 
+def test_quantiles_of_many_columns(spark):
+    rows = [(i * 7919 % 10_007, float(i % 3), None) for i in range(10_007)]
+    df = spark.createDataFrame(rows, "a int, b double, c int").repartition(9)
+    found = splits.approx_quantiles(df, ["a", "b", "c"], [0.1, 0.5, 0.99], 0.01)
+    ranked = {(r.column, r.share): r for r in splits.rank_errors(df, found).collect()}
+    assert len(ranked) == 9
+    for (column, share), r in ranked.items():
+        if column == "c":
+            assert (r.rows, r.value, r.error) == (0, None, None)
+        else:
+            assert r.rows == len(rows) and r.error <= 0.01
+    assert abs(ranked["a", 0.5].value - 5_003) <= 101
+    far = found.withColumn("value", F.col("value") + 600)
+    errors = {(r.column, r.share): r.error for r in splits.rank_errors(df, far).collect()}
+    assert errors["a", 0.5] > 0.05
+
+
 def test_splits_are_whole_and_disjoint(inputs):
     n = inputs.ratings.count()
     for train, test in (

@@ -32,9 +32,12 @@ def some_movies(make_movies):
 
 
 def test_heavy_keys(make_ratings):
-    found = skew.heavy_keys(skewed_ratings(make_ratings), "userId", 50)
-    assert found == [(1, 400)]
-    assert skew.heavy_keys(skewed_ratings(make_ratings), "userId", 400) == []
+    found, total = skew.heavy_keys(skewed_ratings(make_ratings), "userId", 50)
+    assert [tuple(r) for r in found.collect()] == [(1, 400)] and total == 400
+    assert skew.heavy_keys(skewed_ratings(make_ratings), "userId", 400) == (None, 0)
+    # any number of keys may be heavy
+    found, total = skew.heavy_keys(skewed_ratings(make_ratings), "userId", 0)
+    assert (found.count(), total) == (401, 1200)
 
 
 def test_number_rows_and_running_total(spark):

@@ -147,3 +147,11 @@ def test_attention_masks_missing_items(spark):
     assert out.slots == 2
     assert out.pooled == pytest.approx([2 * w, 0.5 + 2 * w])
     assert rows.select(F.col("movieId")).count() == 1
+    # vectors too large to be copied meet samples by id
+    apart = attention.history_attention_pool(rows, emb, broadcast_bytes=0).first()
+    assert (apart.slots, apart.weight, apart.pooled) == (out.slots, out.weight, out.pooled)
+    plan = attention.history_attention_pool(rows, emb)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    nobody = rows.withColumns({c: F.lit(None).cast("int") for c in samples.RATED_MOVIES})
+    assert attention.history_attention_pool(nobody, emb).count() == 0
+    assert attention.history_attention_pool(rows, emb.limit(0)).count() == 0
