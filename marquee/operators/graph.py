@@ -227,7 +227,9 @@ def random_walks(
         F.col("id").alias("walk"),
         F.array().cast("array<int>").alias("nodes"),
         F.struct(
-            F.lit(START).alias("node"), F.lit(nodes).cast("bigint").alias("n"), F.lit(total).cast("bigint").alias("total")
+            F.lit(START).alias("node"),
+            F.lit(nodes).cast("bigint").alias("n"),
+            F.lit(total).cast("bigint").alias("total"),
         ).alias("at"),
     )
     for step in range(length):
