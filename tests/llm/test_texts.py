@@ -1,7 +1,9 @@
 """Token counts, BPE, mixing, toxicity and licences."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -347,3 +349,49 @@ def test_license_prose_comes_from_all_rows(spark, monkeypatch):
     first = fitted[0]
     assert first == fitted[1] and len(first) <= licenses.PROSE_PARAGRAPHS
     assert sum(p.startswith("early") for p in first) > 100 < sum(p.startswith("late") for p in first)
+
+
+def plain_features(text):
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    pairs = {("pair", *p) for p in zip(words, words[1:])} | {("skip", *p) for p in zip(words, words[2:])}
+    return {*words, "constant"} | pairs
+
+
+def test_ftrl_equals_a_loop_over_coordinates():
+    """Weights by a plain loop over named features give the margins of the hashed model."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(25)]
+    rows = []
+    for i in range(240):
+        label = i % 3 == 0
+        text = [rnd.choice(words) for _ in range(rnd.randint(0, 12))] + ["Vile"] * (label and rnd.random() < 0.9)
+        rnd.shuffle(text)
+        rows.append((i, " ".join(text), int(label), rnd.random()))
+    table = pa.table(dict(zip(("doc_id", "text", "toxic", "draw"), map(list, zip(*rows)))))
+    fitted = toxicity._fit(table).to_pydict()
+    weights = dict(zip(fitted["slot"], fitted["weight"]))
+
+    z, n = Counter(), Counter()
+
+    def weight(f):
+        if abs(z[f]) <= toxicity.L1:
+            return 0.0
+        pulled = z[f] - math.copysign(toxicity.L1, z[f])
+        return -pulled / ((toxicity.BETA + math.sqrt(n[f])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for _, text, label, _ in sorted(rows, key=lambda r: r[3]):
+            named = plain_features(text)
+            held = {f: weight(f) for f in named}
+            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(held.values()))))) - label
+            for f, w in held.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / toxicity.ALPHA * w
+                n[f] += g * g
+    texts = [text for _, text, _, _ in rows]
+    margins = [weights.get(1 << toxicity.BITS, 0.0)] * len(texts)
+    for first, last, slots, owners in toxicity.features(pa.array(texts)):
+        for slot, owner in sorted(set(zip(slots.tolist(), owners.tolist()))):
+            margins[first + owner] += weights.get(slot, 0.0)
+    wanted = [sum(map(weight, plain_features(t))) for t in texts]
+    assert any(abs(w) > 1 for w in wanted) and len(weights) > 5
+    np.testing.assert_allclose(margins, wanted, rtol=1e-9, atol=1e-9)
