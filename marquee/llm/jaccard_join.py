@@ -301,11 +301,14 @@ def _remaining(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     become rows.
     """
     sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    chunked = sizes.select("key", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks"))
-    total = open_.count()
+    chunked = materialize(
+        sizes.withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")), "chunked"
+    )
+    # a member of a cut key comes once for each of its chunks
+    total = chunked.agg(F.sum(F.col("members") * F.col("chunks"))).first()[0] or 0
     parts = max(1, -(-total // TASK_ROWS))
     return (
-        open_.join(chunked, "key")
+        open_.join(chunked.select("key", "chunks"), "key")
         .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(
@@ -338,18 +341,21 @@ def _links(
     tested = spark.createDataFrame([], "a bigint, b bigint")
     pivots = members.groupBy("key").agg(F.max(F.struct("near", "rep")).alias("pivot"))
     for turn in range(ROUNDS + 1):
-        # keys whose members are not yet all in one component
-        known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        apart = known.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        open_ = materialize(
-            known.join(apart.where("low != high").select("key"), "key", "left_semi"), "open"
-        )
-        if turn and open_.isEmpty():
-            break
+        if not turn:
+            open_ = members.withColumn("component", F.col("rep"))
+        else:  # keys whose members are not yet all in one component; a closed key stays closed
+            known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+                "component", F.coalesce("component", "rep")
+            )
+            apart = known.groupBy("key").agg(
+                F.min("component").alias("low"), F.max("component").alias("high")
+            )
+            open_ = materialize(
+                known.join(apart.where("low != high").select("key"), "key", "left_semi"), "open"
+            )
+            if open_.isEmpty():
+                break
+            members = open_.drop("component")
         if turn < ROUNDS:
             if turn:  # the next member in order of nearness
                 below = pivots.withColumnRenamed("pivot", "last")
