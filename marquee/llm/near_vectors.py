@@ -153,7 +153,7 @@ def link_vectors(
         spread.groupBy("size", "table", "bucket")
         .agg(F.count(F.lit(1)).alias("members"))
         .where(F.col("members") > 1)
-        .select("size", "table", "bucket", F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")),
+        .withColumn("chunks", F.ceil(F.col("members") / CHUNK).cast("int")),
         "buckets",
     )
     # a member of a chunked bucket meets each chunk once, its own included
@@ -171,7 +171,9 @@ def link_vectors(
             F.greatest("chunk", "other").alias("high"),
         )
     )
-    parts = max(1, math.ceil(classes.count() * tables / TASK_ROWS))
+    # a member of a cut bucket comes once for each of its chunks
+    rows = crowded.agg(F.sum(F.col("members") * F.col("chunks"))).first()[0] or 0
+    parts = max(1, math.ceil(rows / TASK_ROWS))
     place = F.pmod(F.xxhash64("table", "bucket", "low", "high"), F.lit(parts))
     found = materialize(
         met.join(coded, "rep")
