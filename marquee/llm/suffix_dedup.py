@@ -20,7 +20,6 @@ keeps its text. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -362,14 +361,16 @@ def _result(docs: pa.Table, covered: pa.Table, window: int, texts: bool) -> pa.T
         heads = offsets[:-1][np.diff(offsets) > 0]
         begins[heads] = gone[heads]
     count = np.append(0, np.cumsum(begins))
-    left, ends = data[~gone].tobytes(), offsets - total[offsets]
-    digests = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
+    ends = offsets - total[offsets]
+    left = pa.Array.from_buffers(
+        pa.binary(), len(docs), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[~gone])]
+    )
     out = {
         "_doc": docs.column("_doc"),
         "n_bytes": pa.array(np.diff(offsets), pa.int64()),
         "n_removed": pa.array(removed, pa.int64()),
         "n_spans": pa.array(count[offsets[1:]] - count[offsets[:-1]], pa.int64()),
-        "kept_sha256": pa.array(digests, pa.string()),
+        "left": left,
     }
     if texts:
         left_text = _whole_characters(data, offsets, gone)
@@ -405,7 +406,7 @@ def remove_repeats(
     """(_doc, n_bytes, n_removed, n_spans, kept_sha256) per document, and with `texts` also kept.
 
     `_doc` is a struct of the columns that came, but for the text. n_removed counts bytes, n_spans
-    maximal runs of them, kept_sha256 is of the bytes left. `kept` is the text left, in whole
+    maximal runs of them, kept_sha256 is taken from the bytes left. `kept` is the text left, in whole
     characters, and null where the text was.
     """
     spark = documents.sparkSession
@@ -440,10 +441,18 @@ def remove_repeats(
         [
             docs.schema["_doc"],
             *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")),
-            T.StructField("kept_sha256", T.StringType()),
+            T.StructField("left", T.BinaryType()),
             *([T.StructField("kept", T.StringType())] if texts else []),
         ]
     )
-    return by_group.cogroup(covered.groupBy("grouped")).applyInArrow(
+    result = by_group.cogroup(covered.groupBy("grouped")).applyInArrow(
         lambda d, c: _result(d, c, window, texts), schema
     )
+    return result.select(
+        "_doc",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("left", 256).alias("kept_sha256"),
+        *(["kept"] if texts else []),
+    )
