@@ -16,7 +16,6 @@ equal rows get equal results.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from bisect import bisect_right
@@ -272,45 +271,41 @@ def encode_documents(
     documents: DataFrame, tokenizer_file: str, ids: bool = True, decoded: bool = True
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document, with `ids` also the token ids
-    as array<int>, and with `decoded` the decoded text.
+    as array<int>, and with `decoded` the decoded text. The digests are taken from these two.
 
     `tokenizer_file` is a definition for the tokenizers library whose words end in a suffix; it
     is read on the driver and broadcast.
     """
     definition = Path(tokenizer_file).read_text(encoding="utf-8")
     shared = documents.sparkSession.sparkContext.broadcast(definition)
-    schema = (
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        + (", ids array<int>" if ids else "")
-        + (", decoded string" if decoded else "")
-    )
+    schema = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(shared.value)
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            counts, id_digests, text_digests, spelled, texts = [], [], [], [], []
+            counts, spelled, texts = [], [], []
             for text in batch.column("text"):
                 n, numbers, labels = one.encode_decode(text.as_py() or "")
                 counts.append(n)
-                id_digests.append(hashlib.sha256(numbers.encode()).hexdigest())
-                text_digests.append(hashlib.sha256(labels.encode()).hexdigest())
-                if ids:
-                    spelled.append(np.fromstring(numbers, np.int32, sep=" "))
-                texts.append(labels if decoded else "")
+                spelled.append(np.fromstring(numbers, np.int32, sep=" "))
+                texts.append(labels)
+            offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
             columns = [
                 batch.column("doc_id"),
                 pa.array(counts, pa.int64()),
-                pa.array(id_digests, pa.string()),
-                pa.array(text_digests, pa.string()),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(spelled))),
+                pa.array(texts, pa.string()),
             ]
-            if ids:
-                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-                values = np.concatenate(spelled)
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
-            if decoded:
-                columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, schema)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.mapInArrow(run, schema).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if ids else []),
+        *(["decoded"] if decoded else []),
+    )

@@ -166,7 +166,8 @@ FROM rated
 @query
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(ENCODE_TOKENIZER)
-    return bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), path, ids=False, decoded=False)
+    encoded = bpe_automaton.encode_documents(read(spark, sf_dir, "documents"), path)
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query
