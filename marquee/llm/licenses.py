@@ -4,8 +4,9 @@ A paragraph is a line of a text. Its features are the distinct words, word pairs
 that also occur in a template; a multinomial logistic regression over them gives each licence family
 and "unknown" a probability. The model is fitted on variants of the templates (words dropped, prose
 around them) and on prose of the corpus with template words scattered in it; a temperature, fitted on
-variants that the weights have not seen, calibrates it. A predicted family counts if the paragraph
-and one of its templates contain enough of one another.
+variants that the weights have not seen, calibrates it. The classifier names the family first; the
+family is confirmed if the paragraph and one of its templates contain enough of one another. A
+paragraph with too few of the templates' n-grams for any of them is unknown.
 
 A line is classified as a whole and, where it has more words, in overlapping windows of each length
 in WINDOWS; the families of all of them are the line's. Any run of words up to three quarters of a
@@ -264,8 +265,9 @@ class Model:
         self.weights = weights / heat[int(np.argmin(loss))]
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """(paragraph, family, probability, similarity, template) of confirmed paragraphs; a
-        paragraph comes once for each confirmed window."""
+        """(paragraph, family, probability, similarity, template) of paragraphs that the classifier
+        names a family for; a paragraph comes once for each such window. The template is -1 where
+        none confirms the family."""
         for first, _, hashes, begins, ends, bounds in ngrams(data, offsets):
             at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
             hit = np.flatnonzero(self.grams[at] == hashes)
@@ -274,14 +276,16 @@ class Model:
             line = np.searchsorted(bounds, begins, side="right") - 1
             total = sum(np.maximum(size - n, 0) for n in range(NGRAMS))
             total = np.where(size >= LEAST_WORDS, total, np.iinfo(np.int64).max)
-            found = list(self._confirmed(gram, begins, ends, line, line, total))
+            found = list(self._predicted(gram, begins, ends, line, line, total))
             for width in WINDOWS:
                 each, lines, window = windows(begins, ends, bounds, width)
-                found += self._confirmed(gram[each], begins[each], ends[each], lines, window, None)
-            for paragraph, *one in _undisputed(found, self.words):
+                found += self._predicted(gram[each], begins[each], ends[each], lines, window, None)
+            confirmed = [f for f in found if f[4] >= 0]
+            unconfirmed = [f[:5] for f in found if f[4] < 0]
+            for paragraph, *one in [*_undisputed(confirmed, self.words), *unconfirmed]:
                 yield first + paragraph, *one
 
-    def _confirmed(
+    def _predicted(
         self,
         gram: np.ndarray,
         begins: np.ndarray,
@@ -309,28 +313,30 @@ class Model:
             end = min(max(end, begin + 1), len(count))
             own = gram[cuts[begin] : cuts[end]]
             starts = cuts[begin:end] - cuts[begin]
-            shared = np.add.reduceat(self.has.T[own], starts, axis=0, dtype=np.int32)
-            similarity = shared / self.size
-            if total is not None:
-                similarity = np.maximum(similarity, shared / total[lines[begin:end], None])
-            near = np.flatnonzero((similarity >= LEAST_SIMILARITY).any(axis=1))
-            for i in near:
-                x = self.weights[own[starts[i] :][: count[begin + i]]].sum(axis=0)
-                probability = _softmax((x + self.weights[-1])[None])[0]
-                family = int(probability.argmax())
-                if not family or probability[family] < LEAST_PROBABILITY:
+            scores = np.add.reduceat(self.weights[own], starts, axis=0) + self.weights[-1]
+            probability = _softmax(scores)
+            families = probability.argmax(axis=1)
+            sure = probability[np.arange(len(families)), families] >= LEAST_PROBABILITY
+            for i in np.flatnonzero((families > 0) & sure):
+                family = int(families[i])
+                here = slice(cuts[begin + i], cuts[begin + i + 1])
+                theirs = np.flatnonzero(self.family == family)
+                shared = self.has[np.ix_(theirs, gram[here])].sum(axis=1)
+                similarity = shared / self.size[theirs]
+                if total is not None:
+                    similarity = np.maximum(similarity, shared / total[lines[begin + i]])
+                best = int(similarity.argmax())
+                top, nearest = int(theirs[best]), min(1.0, float(similarity[best]))
+                if nearest < LEAST_SIMILARITY:
+                    yield lines[begin + i], family, probability[i, family], nearest, -1, 0, 0
                     continue
-                ours = np.where(self.family == family, similarity[i], -1.0)
-                top = int(ours.argmax())
-                if ours[top] >= LEAST_SIMILARITY:
-                    here = slice(cuts[begin + i], cuts[begin + i + 1])
-                    shares = where[here][self.has[top, gram[here]]]
-                    # single words may be far from the notice
-                    shares = shares[ends[shares] - begins[shares] > 1]
-                    yield (
-                        lines[begin + i], family, probability[family], min(1.0, ours[top]), top,
-                        begins[shares].min(), ends[shares].max(),
-                    )
+                shares = where[here][self.has[top, gram[here]]]
+                # single words may be far from the notice
+                shares = shares[ends[shares] - begins[shares] > 1]
+                yield (
+                    lines[begin + i], family, probability[i, family], nearest, top,
+                    begins[shares].min(), ends[shares].max(),
+                )
             begin = end
 
 
@@ -406,14 +412,15 @@ def _pieces(text: str) -> Iterator[list[str]]:
 
 SCHEMA = (
     "doc_id bigint, n_paragraphs bigint, licenses string, n_licensed bigint, "
-    "probability double, similarity double"
+    "probability double, similarity double, n_unconfirmed bigint"
 )
 
 
 def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: its lines, the licence families confirmed in them (sorted, joined by
-    commas, null if none), lines with a licence, and the best of their probabilities and
-    similarities (null if none)."""
+    commas, null if none), lines with a licence, the best of their probabilities and
+    similarities (null if none), and lines for which the classifier names families of which no
+    template confirms any."""
     shared = documents.sparkSession.sparkContext.broadcast(model or fit(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,9 +428,12 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
             data, offsets = column_bytes(batch.column("text"))
             lines = line_offsets(data, offsets)
             found: dict[int, list] = {}
-            for line, family, probability, similarity, _ in shared.value.scan(data, lines):
+            named: dict[int, set] = {}
+            for line, family, probability, similarity, top in shared.value.scan(data, lines):
                 doc = int(np.searchsorted(offsets, lines[line], side="right")) - 1
-                found.setdefault(doc, []).append((FAMILIES[family], probability, similarity, line))
+                named.setdefault(doc, set()).add(line)
+                if top >= 0:
+                    found.setdefault(doc, []).append((FAMILIES[family], probability, similarity, line))
             n = np.searchsorted(lines, offsets[1:]) - np.searchsorted(lines, offsets[:-1])
             each = [found.get(i) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
@@ -434,6 +444,10 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
                     pa.array([len({f[3] for f in e}) if e else 0 for e in each], pa.int64()),
                     pa.array([float(max(f[1] for f in e)) if e else None for e in each], pa.float64()),
                     pa.array([float(max(f[2] for f in e)) if e else None for e in each], pa.float64()),
+                    pa.array(
+                        [len(named.get(i, set()) - {f[3] for f in e or ()}) for i, e in enumerate(each)],
+                        pa.int64(),
+                    ),
                 ],
                 names=[c.split()[0] for c in SCHEMA.split(", ")],
             )

@@ -339,6 +339,109 @@ def test_notices_inside_long_lines(spark):
     assert all(r["n_licensed"] == 1 for r in found)
 
 
+def plain_licenses(model, text):
+    """(families, licensed lines, unconfirmed lines, best probability, best similarity), by sets of
+    named n-grams, unit by unit."""
+    number = {}
+
+    def hash_of(gram):
+        known = [licenses._grams_of([" ".join(g)])[0] for g in (gram, gram[:-1], gram[1:])]
+        return (set(known[0].tolist()) - set(known[1].tolist()) - set(known[2].tolist())).pop()
+
+    def spelled(line):
+        return re.findall(r"[0-9a-z\x80-\U0010ffff]+", line.lower())
+
+    place = {h: i for i, h in enumerate(model.grams.tolist())}
+    own = []
+    for _, template in model.templates:
+        words = spelled(template)
+        own.append({tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)})
+        for gram in own[-1]:
+            number.setdefault(gram, place[hash_of(gram)])
+    families, licensed, named, probabilities, similarities = set(), set(), set(), [], []
+    for at, line in enumerate((text or "").split("\n")):
+        words = spelled(line)
+        hits = [
+            (i, i + n, tuple(words[i : i + n]))
+            for n in (1, 2, 3)
+            for i in range(len(words) - n + 1)
+            if tuple(words[i : i + n]) in number
+        ]
+        units = [(0, len(words), True)]
+        for width in licenses.WINDOWS:
+            step = width // 4
+            if len(words) > width:
+                last = -(-(len(words) - width) // step)
+                units += [(k * step, k * step + width, False) for k in range(last + 1)]
+        found = []
+        for low, high, whole in units:
+            first = {}
+            for a, b, gram in hits:
+                if low <= a and b <= high:
+                    first.setdefault(gram, (a, b))
+            if len(first) < model.least:
+                continue
+            scores = model.weights[-1] + sum(model.weights[number[g]] for g in first)
+            share = np.exp(scores - scores.max())
+            share /= share.sum()
+            family = int(share.argmax())
+            if not family or share[family] < licenses.LEAST_PROBABILITY:
+                continue
+            named.add(at)
+            best = (-1.0, 0)
+            for t, (name, _) in enumerate(model.templates):
+                if name == licenses.FAMILIES[family]:
+                    both = len(own[t] & set(first))
+                    near = both / len(own[t])
+                    if whole and len(words) >= licenses.LEAST_WORDS:
+                        near = max(near, both / sum(max(len(words) - n, 0) for n in range(3)))
+                    best = max(best, (min(1.0, near), -t))
+            if best[0] >= licenses.LEAST_SIMILARITY:
+                spans = [first[g] for g in own[-best[1]] & set(first) if len(g) > 1]
+                span = min(a for a, _ in spans), max(b for _, b in spans)
+                found.append((family, share[family], best[0], -best[1], *span))
+        for f, p, s, _, a, b in found:
+            if not any(
+                g != f and z > s and d - c <= model.words[t]
+                and min(b, d) - max(a, c) >= licenses.LEAST_SIMILARITY * (b - a)
+                for g, _, z, t, c, d in found
+            ):
+                families.add(licenses.FAMILIES[f])
+                licensed.add(at)
+                probabilities.append(p)
+                similarities.append(s)
+    return (
+        ",".join(sorted(families)) or None, len(licensed), len(named - licensed),
+        max(probabilities, default=None), max(similarities, default=None),
+    )
+
+
+def test_licenses_against_plain_sets(spark):
+    rnd = random.Random(8)
+    prose = "some plain words about rivers and the work of a license for public use in version".split()
+    rows = [(0, None), (1, ""), (2, "license license license"), (3, "a\n\nb")]
+    for _, templates in licenses.TEMPLATES.items():
+        for template in templates:
+            for lost in (0.0, 0.25, 0.5):
+                words = [w for w in template.split() if rnd.random() >= lost]
+                around = [rnd.choice(prose) for _ in range(rnd.choice([0, 4, 90]))]
+                cut = rnd.randint(0, len(around))
+                line = " ".join([*around[:cut], *words, *around[cut:]])
+                rows.append((len(rows), f"{' '.join(prose)}\n{line}" + "\n" * rnd.randint(0, 1)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = licenses.Model([" ".join(rnd.choice(prose) for _ in range(12)) for _ in range(60)])
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(docs, model).collect()}
+    unconfirmed = 0
+    for i, text in rows:
+        names, licensed, left, probability, similarity = plain_licenses(model, text)
+        got = found[i]
+        assert (got["licenses"], got["n_licensed"], got["n_unconfirmed"]) == (names, licensed, left)
+        assert got["probability"] == pytest.approx(probability)
+        assert got["similarity"] == pytest.approx(similarity)
+        unconfirmed += left
+    assert unconfirmed  # the classifier names families by itself
+
+
 def test_license_prose_comes_from_all_rows(spark, monkeypatch):
     fitted = []
     monkeypatch.setattr(licenses, "Model", lambda prose: fitted.append(prose))
