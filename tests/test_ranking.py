@@ -142,6 +142,32 @@ def test_pool_beyond_a_block(spark, monkeypatch, normalized):
     assert lists() == whole
 
 
+@pytest.mark.parametrize("normalized", [True, False])
+def test_chunks_of_seeds_and_pool(spark, monkeypatch, normalized):
+    """Chunks give a block's lists and the driver gets no vectors; copies, ties, odd vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=4).round(1).tolist()) for i in range(700)]
+    rows += [(700 + i, rows[i % 3][1]) for i in range(60)]
+    rows += [(800, None), (801, [1.0]), (802, [0.0] * 4), (803, [float("inf"), 1.0, 0.0, 0.0])]
+    rows += [(804, [float("nan")] * 4), (805, [1e20, 0.0, 0.0, 1.0]), (5, rows[9][1])]
+    pool = spark.createDataFrame(rows, "movieId int, emb array<double>").cache()
+    seeds = pool.withColumnRenamed("movieId", "seed").where("seed % 3 = 0 or seed > 795")
+
+    def lists():
+        out = scoring.top_by_product(seeds, "seed", pool, 6, drop_self=True, normalized=normalized)
+        return sorted((r.seed, r.position, r.movieId, repr(r.score)) for r in out.collect())
+
+    whole = lists()
+
+    def collected(self):
+        raise AssertionError("a large pool went through the driver")
+
+    for name, value in {"POOL_BLOCK": 7, "SEED_CHUNK": 90, "POOL_CHUNK": 300, "SCREENED": 64}.items():
+        monkeypatch.setattr(scoring, name, value)
+    monkeypatch.setattr(type(pool), "toPandas", collected)
+    assert lists() == whole
+
+
 def test_click_model_by_parts(spark, ratings, movies):
     """Blocks of users and pool give the model's own probability for every pair."""
     rows = samples.mixed_samples(ratings, movies)
