@@ -168,6 +168,24 @@ def test_chunks_of_seeds_and_pool(spark, monkeypatch, normalized):
     assert lists() == whole
 
 
+def test_recommendations_are_those_of_als(spark, inputs, monkeypatch):
+    """Every user's and every movie's list, found by screening."""
+    model = models.als(inputs.ratings).fit(inputs.ratings)
+    monkeypatch.setattr(scoring, "POOL_CHUNK", 70)
+
+    def told(rows, key):
+        return {(r[key], r.position): r.score for r in rows.collect()}
+
+    theirs = {
+        "userId": models.flat_recommendations(model.recommendForAllUsers(10), "userId", "movieId"),
+        "movieId": models.flat_recommendations(model.recommendForAllItems(10), "movieId", "userId"),
+    }
+    for key, other in (("userId", "movieId"), ("movieId", "userId")):
+        ours = models.recommendations(model, key, other)
+        assert ours.dtypes == theirs[key].dtypes
+        assert told(ours, key) == pytest.approx(told(theirs[key], key), rel=1e-6)
+
+
 def test_click_model_by_parts(spark, ratings, movies):
     """Blocks of users and pool give the model's own probability for every pair."""
     rows = samples.mixed_samples(ratings, movies)
