@@ -38,6 +38,12 @@ def test_unknown_and_null_values_have_a_position_of_their_own(spark):
     assert {r["x"]: r["v"] for r in hot} == {"b": [0, 1, 0], "?": [0, 0, 1], None: [0, 0, 1]}
 
 
+def test_blocks_of_factors_are_few(spark):
+    """Every block that needs a row of factors is sent it in each iteration."""
+    assert models.als(spark.range(1000)).getNumUserBlocks() == 10
+    assert models.als(spark.range(216_000_000)).getNumItemBlocks() == 18
+
+
 @pytest.fixture(scope="module")
 def clicks(make_ratings, make_movies):
     """Users of even number like movies of even number; genres tell nothing."""
