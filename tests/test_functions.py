@@ -38,6 +38,18 @@ def test_by_frequency_breaks_ties_by_first_appearance(spark):
     assert out == [["Thriller", "Action", "Adventure", "Sci-Fi", "Crime", "Horror"], []]
 
 
+def test_by_frequency_of_batches(spark):
+    """Only the most frequent, over rows of a batch, with long lists and missing ones."""
+    long = [f"g{i % 5000}" for i in range(20_000)] + ["g7", "g3", "g7"]
+    rows = [(["b", "a", "a", "c"],), (None,), (long,), ([],), (["c"],)]
+    out = column(spark, rows, "g array<string>", frequency.by_frequency(F.col("g"), 2))
+    assert out == [["a", "b"], None, ["g7", "g3"], [], ["c"]]
+    joined = spark.createDataFrame([(i,) for i in range(30)], "i int").select(
+        frequency.by_frequency(F.array(F.lit("x"), F.col("i").cast("string"), F.lit("x"))).alias("g"), "i"
+    )
+    assert {r.i: r.g for r in joined.collect()} == {i: ["x", str(i)] for i in range(30)}
+
+
 def test_cosine(spark):
     rows = [
         ([1.0, 0.0], [1.0, 0.0]),
