@@ -20,6 +20,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -30,12 +31,15 @@ from pyspark.sql import functions as F
 from marquee.llm import worker
 from marquee.llm.bytelevel import byte_symbols
 
-# Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. An entry counts
+# Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. Words of a-z are
+# chunks too and are kept there only. An entry counts
 # its characters and ENTRY_BYTES for the objects around them.
 ARC_BYTES = 24 << 20
-WORD_BYTES = 32 << 20
-CHUNK_BYTES = 32 << 20
+WORD_BYTES = 12 << 20
+CHUNK_BYTES = 52 << 20
 ENTRY_BYTES = 240
+# Symbols by which the lengths of tokens are looked up.
+HEAD = 4
 # Documents that a worker encodes before it hands them on.
 BATCH = 1_000
 # The blanks of Unicode's White_Space property.
@@ -44,6 +48,7 @@ _blank = re.compile(f"[{BLANKS}]+")
 _odd = re.compile("[\x1c-\x1f]")
 # A word of Latin letters, perhaps with punctuation behind it: the commonest chunk by far.
 _plain = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
+_simple = re.compile("[a-z]+").fullmatch
 
 
 class Recent:
@@ -95,11 +100,18 @@ class Automaton:
         for rank, pair in enumerate(merges):
             u, v = pair if not isinstance(pair, str) else pair.split(" ")
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        # the longest token that begins with a pair of symbols
-        self.longest: dict[str, int] = {}
+        # per first HEAD symbols: how long the tokens are that begin so, longest first; shorter
+        # tokens may follow anywhere
+        lengths: dict[str, set[int]] = {}
         for label in vocabulary:
-            head = label[:2]
-            self.longest[head] = max(self.longest.get(head, 1), len(label))
+            if len(label) >= HEAD:
+                lengths.setdefault(label[:HEAD], set()).add(len(label))
+        self.short = tuple(range(HEAD - 1, 0, -1))
+        every: dict[tuple, tuple] = {}  # most heads share theirs
+        self.lengths = {
+            head: every.setdefault(key := (*sorted(found, reverse=True), *self.short), key)
+            for head, found in lengths.items()
+        }
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         """Merge (u, v) -> w: a copy without the v arc moves behind u, w leads where v led."""
@@ -147,32 +159,39 @@ class Automaton:
         Takes the longest arc that leaves the state reached and goes back where none does. Every
         prefix has one path, so a position that failed once is never tried again.
         """
-        n, ids, behind, born = len(word), self.ids, self.behind, self.born
+        n, ids, behind, born = len(word), self.ids.get, self.behind, self.born
+        lengths, short = self.lengths.get, self.short
+        arcs, size = self.table.young.get, self.size
+        whole = word + self.suffix
+        last = len(whole)
         path: list[int] = []
         ends: list[int] = [0]
         failed: set[int] = set()
-        state = 0
-        while ends[-1] < n:
-            start = ends[-1]
-            reach = start + self.longest.get(word[start : start + 2], 1)
-            for end in range(min(n, reach), start, -1):
+        state = start = 0
+        while start < n:
+            for length in lengths(whole[start : start + HEAD], short):
+                end = start + length
+                if end >= n:  # the word's last token has the whole suffix
+                    if end != last:
+                        continue
+                    end = n
                 if end in failed:
                     continue
-                token = ids.get(word[start:end] + self.suffix if end == n else word[start:end])
-                if (
-                    token is not None
-                    and (end - start == 1 or born[token] >= 0)
-                    and self.has_arc(state, token)
-                ):
+                token = ids(whole[start : start + length])
+                if token is None or (born[token] < 0 and end - start > 1):
+                    continue
+                arc = arcs(state * size + token)
+                if self.has_arc(state, token) if arc is None else arc:
                     path.append(token)
                     ends.append(end)
-                    state = behind[token][-1]
+                    state, start = behind[token][-1], end
                     break
             else:
                 if not path:
                     raise ValueError(f"no token path for {word!r}")
                 failed.add(ends.pop())
                 path.pop()
+                start = ends[-1]
                 state = behind[path[-1]][-1] if path else 0
         return path
 
@@ -210,13 +229,15 @@ class Codec:
         return [word for word, _ in self.splitter.pre_tokenize_str(text)]
 
     def word(self, word: str) -> tuple[int, str, str]:
-        """(tokens, ids joined by blanks, labels joined by blanks) of one word."""
-        known = self.known.get(word)
+        """(tokens, ids, labels) of one word, a blank behind each id and label."""
+        # a plain word is spelled as the chunk that it is alone
+        table = self.joined if self.latin and _simple(word) else self.known
+        known = table.young.get(word) or table.get(word)
         if known is None:
             tokens = self.automaton.encode(word)
             ids, labels = map(str, tokens), self.automaton.decode(tokens)
-            known = (len(tokens), " ".join(ids), " ".join(labels))
-            self.known.put(word, known)
+            known = (len(tokens), " ".join([*ids, ""]), " ".join([*labels, ""]))
+            table.put(word, known)
         return known
 
     def chunk(self, chunk: str) -> list[tuple[int, str, str]]:
@@ -229,37 +250,40 @@ class Codec:
         out: list[tuple[int, str, str]] = []
         for part in self._special.split(chunk) if self.specials else [chunk]:
             if part in self.specials:
-                out.append((1, str(self.specials[part]), part))
+                out.append((1, f"{self.specials[part]} ", f"{part} "))
             elif part:
                 out += map(self.word, self.words(part))
         return out
 
+    def spelled(self, chunk: str) -> tuple[int, str, str]:
+        """(tokens, ids, labels) of a chunk, kept for the next time."""
+        words = self.chunk(chunk)
+        if len(words) == 1 and self.latin and _simple(chunk):
+            return words[0]  # kept as a word
+        known = words[0] if len(words) == 1 else (
+            sum(w[0] for w in words),
+            "".join([w[1] for w in words]),
+            "".join([w[2] for w in words]),
+        )
+        self.joined.put(chunk, known)
+        return known
+
     def encode_decode(self, text: str) -> tuple[int, str, str]:
         """(number of tokens, ids, decoded text) of a whole text.
 
         Words never hold a blank and no rule looks across one, so blanks cut a text into chunks
         that are encoded apart.
         """
-        total, ids, labels, joined = 0, [], [], self.joined
-        for chunk in _blank.split(text) if _odd.search(text) else text.split():
-            known = joined.young.get(chunk) or joined.get(chunk)
-            if known is None:
-                words = self.chunk(chunk)
-                known = (
-                    words[0]
-                    if len(words) == 1
-                    else (
-                        sum(w[0] for w in words),
-                        " ".join([w[1] for w in words]),
-                        " ".join([w[2] for w in words]),
-                    )
-                )
-                joined.put(chunk, known)
-            if known[0]:
-                total += known[0]
-                ids.append(known[1])
-                labels.append(known[2])
-        return total, " ".join(ids), " ".join(labels)
+        chunks = _blank.split(text) if _odd.search(text) else text.split()
+        # one pass over the table for all chunks; what it lacks is looked at one by one
+        found = list(map(self.joined.young.get, chunks))
+        if None in found:
+            for i, known in enumerate(found):
+                if known is None:
+                    found[i] = self.joined.get(chunks[i]) or self.spelled(chunks[i])
+        total = sum(map(itemgetter(0), found))
+        ids, labels = ("".join(map(itemgetter(at), found))[:-1] for at in (1, 2))
+        return total, ids, labels
 
 
 def codec(definition: str) -> Codec:

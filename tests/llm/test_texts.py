@@ -145,6 +145,19 @@ def test_automaton_on_random_merges():
             assert machine.decode(machine.encode(word)) == plain_bpe(word, ranks, "$")
 
 
+def test_a_plain_word_is_kept_once():
+    """Tables that hold a word twice forget it sooner, and spelling it again is the costly part."""
+    definition = Path(WORD).read_text(encoding="utf-8")
+    codec, library = bpe_automaton.Codec(definition), Tokenizer.from_file(WORD)
+    for text in ("word the. Word, WORD! naïve x</w>y the", "", " \x1c ", "日本 the</w> é?!"):
+        n, ids, labels = codec.encode_decode(text)
+        wanted = library.encode(text, add_special_tokens=False).ids
+        assert (n, [int(i) for i in ids.split()]) == (len(wanted), wanted)
+        assert labels == library.decode(wanted, skip_special_tokens=False)
+    assert "word" in codec.joined.young and "word" not in codec.known.young
+    assert "Word," in codec.joined.young and "naïve" in codec.joined.young
+
+
 def test_mix_repeats_documents(spark):
     rows = [(i, " ".join(["w"] * (i % 7)), "abc"[i % 3] if i % 10 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
