@@ -18,9 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -33,11 +33,11 @@ from marquee.llm.bytelevel import byte_symbols
 
 # Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. Words of a-z are
 # chunks too and are kept there only. An entry counts
-# its characters and ENTRY_BYTES for the objects around them.
+# its characters, its tokens and ENTRY_BYTES for the objects around them.
 ARC_BYTES = 24 << 20
 WORD_BYTES = 12 << 20
 CHUNK_BYTES = 52 << 20
-ENTRY_BYTES = 240
+ENTRY_BYTES = 170
 # Symbols by which the lengths of tokens are looked up.
 HEAD = 4
 # Documents that a worker encodes before it hands them on.
@@ -69,7 +69,7 @@ class Recent:
     def put(self, key, value) -> None:
         weight = ENTRY_BYTES
         if type(key) is str:
-            weight += len(key) + len(value[1]) + len(value[2])
+            weight += len(key) + len(value)
             if weight > self.size // 100:
                 return
         self.held += weight
@@ -215,6 +215,8 @@ class Codec:
             model["vocab"], model["merges"], model["end_of_word_suffix"] or ""
         )
         self.specials = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        labels = dict(enumerate(self.automaton.labels)) | {i: t for t, i in self.specials.items()}
+        self.pieces = [labels.get(i, "") + " " for i in range(max(labels) + 1)]
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.joined, self.known = Recent(CHUNK_BYTES), Recent(WORD_BYTES)
         # the short way knows words that the rules lower-case and keep whole
@@ -228,48 +230,43 @@ class Codec:
         text = self.normalizer.normalize_str(part) if self.normalizer else part
         return [word for word, _ in self.splitter.pre_tokenize_str(text)]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """(tokens, ids, labels) of one word, a blank behind each id and label."""
+    def word(self, word: str) -> bytes:
+        """Tokens of one word, four bytes each."""
         # a plain word is spelled as the chunk that it is alone
         table = self.joined if self.latin and _simple(word) else self.known
-        known = table.young.get(word) or table.get(word)
+        known = table.get(word)
         if known is None:
-            tokens = self.automaton.encode(word)
-            ids, labels = map(str, tokens), self.automaton.decode(tokens)
-            known = (len(tokens), " ".join([*ids, ""]), " ".join([*labels, ""]))
+            known = array("i", self.automaton.encode(word)).tobytes()
             table.put(word, known)
         return known
 
-    def chunk(self, chunk: str) -> list[tuple[int, str, str]]:
-        """The words of a chunk without blanks; a special string is one token."""
+    def chunk(self, chunk: str) -> bytes:
+        """Tokens of a chunk without blanks; a special string is one token."""
         if self.latin:
             plain = _plain.fullmatch(chunk.lower())
             if plain:
-                words = [plain[1], plain[2]] if plain[2] else [plain[1]]
-                return [self.word(w if w.isascii() else byte_symbols(w)) for w in words]
-        out: list[tuple[int, str, str]] = []
+                word, marks = plain.groups()
+                tokens = self.word(word if word.isascii() else byte_symbols(word))
+                return tokens + self.word(marks) if marks else tokens
+        out = []
         for part in self._special.split(chunk) if self.specials else [chunk]:
             if part in self.specials:
-                out.append((1, f"{self.specials[part]} ", f"{part} "))
+                out.append(array("i", [self.specials[part]]).tobytes())
             elif part:
                 out += map(self.word, self.words(part))
-        return out
-
-    def spelled(self, chunk: str) -> tuple[int, str, str]:
-        """(tokens, ids, labels) of a chunk, kept for the next time."""
-        words = self.chunk(chunk)
-        if len(words) == 1 and self.latin and _simple(chunk):
-            return words[0]  # kept as a word
-        known = words[0] if len(words) == 1 else (
-            sum(w[0] for w in words),
-            "".join([w[1] for w in words]),
-            "".join([w[2] for w in words]),
-        )
-        self.joined.put(chunk, known)
+        return b"".join(out)
+
+    def spelled(self, chunk: str) -> bytes:
+        """Tokens of a chunk that the table lacks, kept for the next time."""
+        known = self.joined.get(chunk)
+        if known is None:
+            known = self.chunk(chunk)
+            if not (self.latin and _simple(chunk)):  # else kept as a word
+                self.joined.put(chunk, known)
         return known
 
-    def encode_decode(self, text: str) -> tuple[int, str, str]:
-        """(number of tokens, ids, decoded text) of a whole text.
+    def encode(self, text: str) -> np.ndarray:
+        """Tokens of a whole text.
 
         Words never hold a blank and no rule looks across one, so blanks cut a text into chunks
         that are encoded apart.
@@ -280,10 +277,13 @@ class Codec:
         if None in found:
             for i, known in enumerate(found):
                 if known is None:
-                    found[i] = self.joined.get(chunks[i]) or self.spelled(chunks[i])
-        total = sum(map(itemgetter(0), found))
-        ids, labels = ("".join(map(itemgetter(at), found))[:-1] for at in (1, 2))
-        return total, ids, labels
+                    found[i] = self.spelled(chunks[i])
+        return np.frombuffer(b"".join(found), np.int32)
+
+    def decode(self, tokens: np.ndarray) -> str:
+        """Labels of a text's tokens, joined by blanks."""
+        pieces = self.pieces
+        return "".join([pieces[t] for t in tokens.tolist()])[:-1]
 
 
 def codec(definition: str) -> Codec:
@@ -308,12 +308,9 @@ def encode_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(shared.value)
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            counts, spelled, texts = [], [], []
-            for text in batch.column("text"):
-                n, numbers, labels = one.encode_decode(text.as_py() or "")
-                counts.append(n)
-                spelled.append(np.fromstring(numbers, np.int32, sep=" "))
-                texts.append(labels)
+            spelled = [one.encode(text.as_py() or "") for text in batch.column("text")]
+            texts = list(map(one.decode, spelled))
+            counts = list(map(len, spelled))
             offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
             columns = [
                 batch.column("doc_id"),
