@@ -1,6 +1,7 @@
 """Index spaces, vectors as inputs, factorisation by parts, and neighbours of all items."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -160,6 +161,26 @@ def test_neighbours_of_clusters_and_copies(spark, chunk):
         assert near == sorted(near) and len({j for _, j in near} | {i}) == len(near) + 1
 
 
+def test_a_block_compares_few_pairs_exactly():
+    """Only pairs that can reach a list are subtracted; ties after rounding are among them."""
+    rnd = np.random.default_rng(4)
+    points = rnd.standard_normal((600, 16))
+    points[400:500] = points[0] + rnd.standard_normal((100, 16)) * 1e-8  # equal after rounding
+    points[500] = 1e-160
+    other = ~np.eye(600, dtype=bool)
+    row, column = neighbours._near(points[100:400], points, other[100:400], 5)
+    assert len(row) <= 2 * 5 * 300
+    rows = [(int(i), p.tolist()) for i, p in enumerate(points)]
+    for scale in (1.0, 1e3, 1e160):  # the last has squares that are too long
+        ids = np.tile(np.arange(600), 2)
+        block = pd.DataFrame({"movieId": ids, "emb": [*(points * scale)] * 2, "asks": np.arange(1200) >= 600})
+        with np.errstate(over="ignore"):
+            found = neighbours._compared(5)(block)
+            wanted = exact_lists([(i, np.array(p) * scale) for i, p in rows], 5)
+        lists = {i: list(zip(g["distance"], g["neighbour"])) for i, g in found.groupby("movieId", sort=False)}
+        assert lists == {i: near for i, w in wanted.items() if (near := [x for x in w if np.isfinite(x[0])])}
+
+
 def test_cells_and_probes():
     places = np.array([[0.1, 5.8], [-0.5, 2.5]])
     own, looked = neighbours._cells(places, 2)
