@@ -322,7 +322,7 @@ def encode_documents(
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.mapInArrow(run, schema).select(
+    return rows.mapInArrow(worker.trimming(run), schema).select(
         "doc_id",
         "n_tokens",
         F.sha2(joined, 256).alias("ids_sha256"),

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm import worker
 from marquee.llm.components import components
 from marquee.llm.ids import ROW, name_rows, with_rows
 from marquee.llm.textbytes import byte_table, column_bytes, join_words, mix, word_sequences
@@ -178,7 +179,7 @@ def _profiles(documents: DataFrame, shingle: int, percent: int, limit: int | Non
                 names=[ROW, "n", "digest", "screen", "keys"],
             )
 
-    return documents.select(ROW, "text").mapInArrow(run, f"{ROW} bigint, {_PROFILE}")
+    return documents.select(ROW, "text").mapInArrow(worker.trimming(run), f"{ROW} bigint, {_PROFILE}")
 
 
 def _mark(documents: DataFrame, named: DataFrame) -> DataFrame:
@@ -225,7 +226,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
                     keep.append(100 * both >= percent * (len(u) + len(v) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    met = pairs.join(left, "a").join(right, "b")
+    return met.mapInArrow(worker.trimming(run), "a bigint, b bigint")
 
 
 def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
@@ -261,7 +263,8 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return ordered.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    met = ordered.join(left, "a").join(right, "b")
+    return met.mapInArrow(worker.trimming(run), "a bigint, b bigint")
 
 
 def _screen_blocks(rows: pa.Table, percent: int) -> pa.Table:
@@ -322,7 +325,9 @@ def _remaining(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parts)))
         .join(classes, "rep")
         .groupBy("part")
-        .applyInArrow(lambda t: _screen_blocks(t, percent), "a bigint, b bigint")
+        .applyInArrow(
+            lambda t: worker.trimmed(_screen_blocks(t, percent)), "a bigint, b bigint"
+        )
         .distinct()
     )
 

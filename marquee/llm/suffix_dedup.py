@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marquee.llm import worker
 from marquee.llm.ids import ROW, with_rows
 from marquee.llm.textbytes import CHUNK, column_bytes, mix, window_hash
 
@@ -426,15 +427,17 @@ def remove_repeats(
     )
     by_group = docs.groupBy("_group")
     repeated = (
-        by_group.applyInArrow(lambda t: _list_names(t, owners, window, gram), _LISTS)
+        by_group.applyInArrow(lambda t: worker.trimmed(_list_names(t, owners, window, gram)), _LISTS)
         .groupBy("owner")
-        .applyInArrow(lambda t: _repeated_names(t, crowd), _LISTS)
+        .applyInArrow(lambda t: worker.trimmed(_repeated_names(t, crowd)), _LISTS)
     )
     covered = (
         by_group.cogroup(repeated.groupBy("grouped"))
-        .applyInArrow(lambda d, t: _cut_segments(d, t, groups, window, gram), _MOVED)
+        .applyInArrow(
+            lambda d, t: worker.trimmed(_cut_segments(d, t, groups, window, gram)), _MOVED
+        )
         .groupBy("place")
-        .applyInArrow(lambda t: _settle(t, window), _COVERED)
+        .applyInArrow(lambda t: worker.trimmed(_settle(t, window)), _COVERED)
         .withColumn("grouped", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int"))
     )
     schema = T.StructType(
@@ -446,7 +449,7 @@ def remove_repeats(
         ]
     )
     result = by_group.cogroup(covered.groupBy("grouped")).applyInArrow(
-        lambda d, c: _result(d, c, window, texts), schema
+        lambda d, c: worker.trimmed(_result(d, c, window, texts)), schema
     )
     return result.select(
         "_doc",

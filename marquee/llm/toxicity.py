@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marquee.llm import worker
 from marquee.llm.textbytes import byte_table, column_bytes, join_words, word_sequences
 from marquee.plans.lineage import materialize
 
@@ -121,7 +122,9 @@ def fit(
     short = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= text_bytes)
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     texts = short.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return texts.groupBy(F.lit(0).alias("sample")).applyInArrow(_fit, "slot bigint, weight double")
+    return texts.groupBy(F.lit(0).alias("sample")).applyInArrow(
+        lambda t: worker.trimmed(_fit(t)), "slot bigint, weight double"
+    )
 
 
 def _scorer(documents: DataFrame, model: DataFrame):
@@ -159,7 +162,7 @@ def score(documents: DataFrame, model: DataFrame) -> DataFrame:
             )
 
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id bigint, score double"
+        worker.trimming(run), "doc_id bigint, score double"
     )
 
 
@@ -172,7 +175,7 @@ def keep(documents: DataFrame, model: DataFrame, reject: float = REJECT) -> Data
         for batch in batches:
             yield batch.filter(pa.array(scores(batch.column(at)) < reject))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(worker.trimming(run), documents.schema)
 
 
 def held_out(doc_id: Column) -> Column:

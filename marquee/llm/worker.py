@@ -2,17 +2,20 @@
 
 Spark hands workers on from task to task and from operator to operator. A table made for one
 operator would stay in memory under all that follow, so another operator's first batch drops it.
+What a task has freed stays with the allocators of its worker, which may wait through whole stages
+without Python, so an operator hands it back at the end of its batches or of a group.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable, Hashable
-from typing import Any
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any, TypeVar
 
 import pyarrow as pa
 
+T = TypeVar("T")
 _kept: dict[Hashable, Any] = {}
 
 
@@ -30,7 +33,30 @@ def release() -> None:
         return
     _kept.clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hand free memory back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-    if trim is not None:
-        trim(0)
+    hand_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if hand_back is not None:
+        hand_back(0)
+
+
+def trimmed(made: T) -> T:
+    """What a function made of a group, after its memory went back."""
+    trim()
+    return made
+
+
+def trimming(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, whose memory goes back after a task's last batch."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return tidy

@@ -2,8 +2,10 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -16,7 +18,15 @@ from conftest import SF_DIR
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marquee.llm import bpe_automaton, licenses, mixing, token_counts, toxicity, worker
+from marquee.llm import (
+    bpe_automaton,
+    jaccard_join,
+    licenses,
+    mixing,
+    token_counts,
+    toxicity,
+    worker,
+)
 from marquee.llm.textbytes import byte_table, column_bytes, join_words, words_of
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
@@ -232,6 +242,54 @@ def test_a_worker_keeps_the_tables_of_one_operator():
     assert not worker._kept
 
 
+def test_a_worker_hands_its_memory_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 2**20
+
+    def run(batches):
+        for batch in batches:
+            blocks = [bytearray(b"x" * 100_000) for _ in range(1_000)]
+            ends.append(blocks[-1])  # what stays at the end of the heap keeps the rest in memory
+            del blocks
+            yield batch
+
+    batch, ends = pa.record_batch({"x": [1]}), []
+    worker.trim()
+    low = resident()
+    assert list(run(iter([batch]))) == [batch]
+    assert resident() > low + 60
+    assert list(worker.trimming(run)(iter([batch, batch]))) == [batch, batch]
+    assert resident() < low + 30
+    list(run(iter([batch])))
+    assert worker.trimmed(batch) is batch and resident() < low + 30
+
+
+def test_operators_of_the_pipeline_hand_memory_back(spark, tmp_path, monkeypatch):
+    def handed_back():
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+
+    def tidied(run):
+        def tidy(batches):
+            yield from run(batches)
+            handed_back()
+
+        return tidy
+
+    monkeypatch.setattr(worker, "trimming", tidied)
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(8)], "doc_id bigint, text string")
+    model = spark.createDataFrame([(1, 0.5)], "slot bigint, weight double")
+    for make in (
+        lambda: toxicity.keep(docs, model),
+        lambda: toxicity.score(docs, model),
+        lambda: jaccard_join.link_documents(docs),
+        lambda: bpe_automaton.encode_documents(docs, WORD),
+    ):
+        before = len(list(tmp_path.iterdir()))
+        make().collect()
+        assert len(list(tmp_path.iterdir())) > before
+
+
 def test_recent_tables_are_bounded_by_bytes():
     table = bpe_automaton.Recent(100_000)
     for i in range(5_000):
