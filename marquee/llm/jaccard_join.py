@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.llm import worker
@@ -386,6 +387,16 @@ def _links(
     return labels.select(F.col("node").alias("rep"), "component")
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows (key, rep) of keys that come more than once.
+
+    Nearly all keys come once, so a count per key would hold as many groups as there are rows, and
+    joining it would move all rows a second time; sorted by key, they move once.
+    """
+    times = F.count(F.lit(1)).over(W.partitionBy("key"))
+    return keyed.withColumn("_times", times).where("_times > 1").select("key", "rep")
+
+
 def _link_rows(
     numbered: DataFrame, shingle: int, percent: int, segments: int | None
 ) -> DataFrame:
@@ -396,9 +407,7 @@ def _link_rows(
         profiles.where("n > 0").groupBy("digest").agg(F.min(ROW).alias("rep")), "classes"
     )
     own = profiles.join(classes.select(F.col("rep").alias(ROW)), ROW).withColumnRenamed(ROW, "rep")
-    keyed = own.select("rep", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = materialize(keyed.join(shared.select("key"), "key"), "met")
+    met = materialize(_met(own.select("rep", F.explode("keys").alias("key"))), "met")
     screens = own.select("rep", "n", "screen")
     labels = _links(met, screens, documents, shingle, percent)
     of_class = classes.join(labels, "rep", "left").select(

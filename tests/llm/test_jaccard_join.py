@@ -126,3 +126,14 @@ def test_long_pair_that_differs_in_the_first_segments(spark):
     docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id bigint, text string")
     found = op.link_documents(docs).collect()
     assert {r["component_id"] for r in found} == {1}
+
+
+def test_keys_move_once(spark):
+    rows = [(1, 7), (2, 7), (3, 8), (4, None), (5, 9), (5, 9), *((i, 10) for i in range(5_000))]
+    keyed = spark.createDataFrame(rows, "rep bigint, key bigint")
+    found = op._met(keyed)
+    assert found.columns == ["key", "rep"]
+    wanted = [(k, r) for r, k in rows if k in (7, 9, 10)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
