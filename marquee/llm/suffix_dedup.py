@@ -112,28 +112,82 @@ def previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     """
     n = len(position)
     best = np.zeros(n, common.dtype)
-    for step in (-1, 1):
-        at = np.arange(n) + step
-        # common prefix with the suffix jumped to
-        shared = common.copy() if step == -1 else np.append(common[1:], 0).astype(common.dtype)
-        todo = np.flatnonzero((at >= 0) & (at < n))
-        todo = todo[position[at[todo]] > position[todo]]
-        while len(todo):
-            via = at[todo]
-            at[todo], shared[todo] = at[via], np.minimum(shared[todo], shared[via])
-            todo = todo[(at[todo] >= 0) & (at[todo] < n)]
-            todo = todo[position[at[todo]] > position[todo]]
-        found = (at >= 0) & (at < n)
-        best[found] = np.maximum(best[found], shared[found])
+    if n < 2:
+        return best
+    rises = position[1:] > position[:-1]  # the neighbour before starts earlier
+    best[1:][rises] = common[1:][rises]
+    _jump(position, common, best, np.flatnonzero(~rises) + 1)
+    # Next smaller ones, from the other end. One that starts later than its neighbour before is next
+    # smaller to none, and one that shares the most there is needs no other.
+    kept = np.append(True, ~rises) | (best < common.max())
+    kept = np.flatnonzero(kept)[::-1]
+    between = np.minimum.reduceat(common, kept[:0:-1] + 1)[::-1] if len(kept) > 1 else common[:0]
+    position, common, found = position[kept], np.append(common[:1], between), best[kept]
+    rises = position[1:] > position[:-1]
+    found[1:][rises] = np.maximum(found[1:], common[1:])[rises]
+    _jump(position, common, found, np.flatnonzero(~rises) + 1)
+    best[kept] = found
     return best
 
 
+def _jump(position: np.ndarray, common: np.ndarray, best: np.ndarray, todo: np.ndarray) -> None:
+    """Raise `best` of the suffixes `todo`, whose neighbours before start later, to what they share
+    with their previous smaller ones."""
+    at = np.arange(-1, len(position) - 1)
+    # common prefix with the suffix jumped to
+    shared = common.copy()
+    every = todo
+    while len(todo):
+        via = at[todo]
+        at[todo], shared[todo] = at[via], np.minimum(shared[todo], shared[via])
+        todo = todo[at[todo] >= 0]
+        todo = todo[position[at[todo]] > position[todo]]
+    found = every[at[every] >= 0]
+    best[found] = np.maximum(best[found], shared[found])
+
+
 def _words(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from every position on, as numbers; byte-swapped they sort like the bytes."""
     padded = np.append(data, np.zeros(8, np.uint8))
     return np.ndarray((len(data),), "<u8", padded, strides=(1,))
 
 
+def _stable_order(values: np.ndarray) -> np.ndarray:
+    """Positions of 64-bit numbers in stable order of the numbers.
+
+    Upper bits and position are sorted as one number each; if that parts equal upper bits wrongly,
+    the numbers are sorted in full.
+    """
+    bits = np.uint64(max(1, (len(values) - 1).bit_length()))
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    packed = np.sort((values & ~place) | np.arange(len(values), dtype=np.uint64))
+    order = (packed & place).astype(np.int64)
+    packed &= ~place
+    ordered = values[order]
+    if ((packed[1:] == packed[:-1]) & (ordered[1:] != ordered[:-1])).any():
+        return np.argsort(values, kind="stable")
+    return order
+
+
+def _text_order(words: np.ndarray, first: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Order of the texts from `first` on by their words at `steps`; only ties look further."""
+    keys = words[first + steps[0]].byteswap()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    tied, run = np.arange(len(first)), np.zeros(len(first), np.int64)
+    for s in steps[1:]:
+        # runs that agree so far
+        new = np.append(True, (keys[1:] != keys[:-1]) | (run[1:] != run[:-1]))
+        again = ~(new & np.append(new[1:], True))
+        tied, run = tied[again], np.cumsum(new)[again]
+        if not len(tied):
+            break
+        keys = words[first[order[tied]] + s].byteswap()
+        within = np.lexsort((keys, run))
+        order[tied], keys = order[tied][within], keys[within]
+    return order
+
+
 def repeated_starts(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
     """Which `starts`, in text order, begin a window that also begins at an earlier one.
 
@@ -149,28 +203,30 @@ def repeated_starts(data: np.ndarray, starts: np.ndarray, window: int) -> np.nda
         if a < b:
             hashes = window_hash(data[begin : begin + CHUNK + window - 1], window)
             prints[a:b] = hashes[starts[a:b] - begin]
-    order = np.argsort(prints, kind="stable")
-    same = prints[order[1:]] == prints[order[:-1]]
+    order = _stable_order(prints)
+    ordered = prints[order]
+    same = ordered[1:] == ordered[:-1]
     shared = np.append(False, same) | np.append(same, False)
-    order = order[shared]
+    order, ordered = order[shared], ordered[shared]
     if not len(order):
         return flags
-    heads = np.flatnonzero(np.append(True, prints[order[1:]] != prints[order[:-1]]))
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     words = _words(data)
     steps = [*range(0, window - 7, 8), max(0, window - 8)]
-    first = starts[order[heads]]
-    by_text = np.lexsort([words[first + s].byteswap() for s in steps[::-1]])
+    by_text = _text_order(words, starts[order[heads]], steps)
     # suffix order: classes by their bytes, equal windows by position
     sizes = np.diff(np.append(heads, len(order)))
     spans = np.repeat(heads[by_text] - np.append(0, np.cumsum(sizes[by_text])[:-1]), sizes[by_text])
     order = order[np.arange(len(order)) + spans]
     suffix = starts[order]
-    common = np.zeros(len(suffix), np.int32)
     alike = np.ones(len(suffix) - 1, bool)
+    depth = np.zeros(len(suffix), np.int32)  # whole words in common so far
     for s in steps:
-        alike &= words[suffix[1:] + s] == words[suffix[:-1] + s]
-        # whole words in common so far; the last step ends at the window
-        common[1:][alike] = window if s == steps[-1] else s + 8
+        word = words[suffix + s]
+        alike &= word[1:] == word[:-1]
+        depth[1:] += alike
+    # the last step ends at the window
+    common = np.array([0, *[s + 8 for s in steps[:-1]], window], np.int32)[depth]
     flags[order] = previous_factors(order, common) >= window
     return flags
 

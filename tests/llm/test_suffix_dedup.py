@@ -108,3 +108,22 @@ def test_columns_with_the_names_of_helpers_come_back(spark):
     for r in found:
         assert [r["_doc"][n] for n in names] == [r["_doc"]["doc_id"] * 100 + j for j in range(len(names))]
     assert next(r for r in found if not r["n_removed"])["_doc"]["doc_id"] == 1
+
+
+def test_order_of_numbers_whose_upper_bits_are_equal():
+    rnd = np.random.default_rng(1)
+    values = rnd.integers(0, 1 << 63, 500).astype(np.uint64)
+    values[200:300] = values[:100]
+    assert op._stable_order(values).tolist() == np.argsort(values, kind="stable").tolist()
+    values[400] = values[0] ^ np.uint64(1)  # differs in a bit that gives way to the position
+    values[0], values[400] = max(values[0], values[400]), min(values[0], values[400])
+    assert op._stable_order(values).tolist() == np.argsort(values, kind="stable").tolist()
+
+
+def test_order_of_texts_looks_further_at_ties_only():
+    rnd = random.Random(2)
+    texts_ = [bytes(rnd.choices(b"ab", k=6)) + bytes(rnd.choices(b"xy", k=14)) for _ in range(300)]
+    texts_ = sorted(set(texts_), key=lambda t: t[::-1])
+    data = np.frombuffer(b"".join(texts_), np.uint8)
+    order = op._text_order(op._words(data), np.arange(len(texts_)) * 20, [0, 8, 12])
+    assert [texts_[i] for i in order] == sorted(texts_)
