@@ -33,10 +33,11 @@ from marquee.llm.bytelevel import byte_symbols
 
 # Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. Words of a-z are
 # chunks too and are kept there only. An entry counts
-# its characters, its tokens and ENTRY_BYTES for the objects around them.
-ARC_BYTES = 24 << 20
-WORD_BYTES = 12 << 20
-CHUNK_BYTES = 52 << 20
+# its characters, its tokens and ENTRY_BYTES for the objects around them. Tables of twice that size
+# save a seventh of the time, but two workers and a heap at its limit then need all of an executor.
+ARC_BYTES = 12 << 20
+WORD_BYTES = 6 << 20
+CHUNK_BYTES = 30 << 20
 ENTRY_BYTES = 170
 # Symbols by which the lengths of tokens are looked up.
 HEAD = 4
@@ -287,8 +288,8 @@ class Codec:
 
 
 def codec(definition: str) -> Codec:
-    """This worker's codec, until it works for another operator."""
-    return worker.keep(("bpe", definition), lambda: Codec(definition))
+    """This worker's codec, until it works for another operator. What building it took goes back."""
+    return worker.keep(("bpe", definition), lambda: worker.trimmed(Codec(definition)))
 
 
 def encode_documents(
@@ -319,6 +320,7 @@ def encode_documents(
                 pa.array(texts, pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            worker.trim()
 
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")

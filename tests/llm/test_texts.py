@@ -569,3 +569,15 @@ def test_ftrl_equals_a_loop_over_coordinates():
     wanted = [sum(map(weight, plain_features(t))) for t in texts]
     assert any(abs(w) > 1 for w in wanted) and len(weights) > 5
     np.testing.assert_allclose(margins, wanted, rtol=1e-9, atol=1e-9)
+
+
+def test_codec_hands_back_what_building_it_took(monkeypatch):
+    calls = []
+    monkeypatch.setattr(worker, "trim", lambda: calls.append(1))
+    worker._kept.clear()
+    definition = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+    bpe_automaton.codec(definition)
+    assert calls
+    worker._kept.clear()
+    tables = bpe_automaton.ARC_BYTES + bpe_automaton.WORD_BYTES + bpe_automaton.CHUNK_BYTES
+    assert 2 * tables <= 100 << 20
