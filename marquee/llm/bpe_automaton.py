@@ -34,7 +34,7 @@ from marquee.llm.bytelevel import byte_symbols
 # Bytes of a worker's tables of arcs, words and chunks in a generation; two are kept. Words of a-z are
 # chunks too and are kept there only. An entry counts
 # its characters, its tokens and ENTRY_BYTES for the objects around them. Tables of twice that size
-# save a seventh of the time, but two workers and a heap at its limit then need all of an executor.
+# save a quarter of the time, but two workers and a heap at its limit then need all of an executor.
 ARC_BYTES = 12 << 20
 WORD_BYTES = 6 << 20
 CHUNK_BYTES = 30 << 20
