@@ -1,5 +1,7 @@
 """Index spaces, vectors as inputs, factorisation by parts, and neighbours of all items."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -209,3 +211,40 @@ def test_vector_store_replaces_as_a_whole(spark, tmp_path):
     # a version that was never pointed at isn't seen
     one.selectExpr("'i2vEmb:9' AS key", "'1.0' AS value").write.parquet(str(tmp_path / "store/i2vEmb/half"))
     assert [r.movieId for r in store.read("i2vEmb").collect()] == [2]
+
+
+# ---- files of finished work ----
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum("shuffle_" in str(f) for f in str(blocks.getAllFiles().mkString("\n")).split("\n"))
+
+
+def settled(spark, most):
+    """Files left, once Spark's cleaner, which works beside, has come down to `most` or 10 s are over."""
+    for _ in range(20):
+        left = shuffle_files(spark)
+        if left <= most:
+            break
+        time.sleep(0.5)
+    return left
+
+
+def test_stored_factors_are_those_of_the_fit(clicks):
+    ratings, _ = clicks
+    model = models.fit_als(ratings, ratings)
+    wanted = models.als(ratings).fit(ratings)
+    assert sorted(map(tuple, models.factors(model).collect())) == sorted(
+        map(tuple, models.factors(wanted).collect())
+    )
+    # nothing of the fit is needed any more
+    assert model.userFactors.inputFiles() and not wanted.userFactors.inputFiles()
+    assert model.transform(ratings).count() == ratings.count()
+
+
+def test_folds_leave_no_files(spark, clicks):
+    """Ten blocks are shuffled in each iteration of each fold; the folds' files don't add up."""
+    ratings, _ = clicks
+    before = shuffle_files(spark)
+    fitted = models.cross_validate(ratings, folds=4)
+    assert settled(spark, before + 400) <= before + 400  # 918 when all are kept
+    assert fitted.avgMetrics[0] > 0
