@@ -5,10 +5,12 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import FMClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from marquee.operators import models, neighbours, ranking, recall, samples, splits
+from marquee.operators import factorisation, models, neighbours, ranking, recall, samples, splits
 from marquee.operators.evaluation import classification_metrics
 from marquee.operators.indexing import CategoryIndex
 from marquee.sources.tables import parse_movies
@@ -248,3 +250,37 @@ def test_folds_leave_no_files(spark, clicks):
     fitted = models.cross_validate(ratings, folds=4)
     assert settled(spark, before + 400) <= before + 400  # 918 when all are kept
     assert fitted.avgMetrics[0] > 0
+
+
+# ---- factorisation machine in blocks ----
+def test_random_start_is_that_of_java(spark):
+    rnd = spark.sparkContext._jvm.java.util.Random(7)
+    wanted = [rnd.nextGaussian() for _ in range(300)]
+    before = factorisation._accepted(spark, 7, 150)
+    assert factorisation._gaussians(7, before, 0, 300) == pytest.approx(wanted, rel=1e-13)
+    assert factorisation._gaussians(7, before, 31, 150) == pytest.approx(wanted[31:150], rel=1e-13)
+    pairs = factorisation._pairs(7, 0, 4000)
+    assert factorisation._pairs(7, 1000, 3000) == pytest.approx(pairs[len(pairs) - len(factorisation._pairs(7, 1000, 3000)) :])
+
+
+@pytest.mark.parametrize("cell", [factorisation.CELL, 40])
+def test_same_model_as_spark_fits(spark, clicks, cell, monkeypatch):
+    """Many blocks and dealt cells give the probabilities of a fit with all coefficients at hand."""
+    monkeypatch.setattr(factorisation, "CELL", cell)
+    ratings, movies = clicks
+    train, test = splits.hash_split(samples.mixed_samples(ratings, movies))
+    rows = models._inputs(train).cache()
+    index = CategoryIndex.fit(rows, [*models.FM_MOVIE, *models.FM_USER])
+    fit = FMClassifier(factorSize=10, maxIter=12, stepSize=0.05, regParam=0.001, seed=7)
+    wanted = Pipeline(stages=[*index.stages("features"), fit]).fit(index.add(rows))
+    model = factorisation.fit(index.add(rows), index, "movieId", "userId", 10, 12, 0.05, 0.001, 7)
+    asked = models._inputs(test).withColumn(
+        "userId", F.when(F.col("movieId") == "3", "stranger").otherwise(F.col("userId"))
+    )
+    columns = ["movieId", "userId", vector_to_array("probability")[1].alias("p"), "prediction"]
+    one = sorted(map(tuple, wanted.transform(index.add(asked)).select(*columns).collect()))
+    two = sorted(map(tuple, model.transform(asked).select(*columns).collect()))
+    assert [r[:2] for r in one] == [r[:2] for r in two]
+    assert np.array([r[2:] for r in two]) == pytest.approx(np.array([r[2:] for r in one]), abs=1e-9)
+    for name in ("linear", "factors"):
+        assert not hasattr(model, name)  # nothing as long as the index is on the driver
