@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import FMClassifier
+from pyspark.ml.classification import FMClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from marquee.operators import factorisation, models, neighbours, ranking, recall, samples, splits
+from marquee.operators import factorisation, models, neighbours, perceptron, ranking, recall, samples, splits
 from marquee.operators.evaluation import classification_metrics
 from marquee.operators.indexing import CategoryIndex
 from marquee.sources.tables import parse_movies
@@ -284,3 +285,27 @@ def test_same_model_as_spark_fits(spark, clicks, cell, monkeypatch):
     assert np.array([r[2:] for r in two]) == pytest.approx(np.array([r[2:] for r in one]), abs=1e-9)
     for name in ("linear", "factors"):
         assert not hasattr(model, name)  # nothing as long as the index is on the driver
+
+
+# ---- perceptron ----
+def test_same_perceptron_as_spark_trains(spark):
+    rnd = np.random.default_rng(5)
+    x = np.column_stack([rnd.standard_normal((1000, 3)), rnd.integers(0, 3, (1000, 2))])
+    rows = [(Vectors.dense(r), float(r[0] * r[1] + r[3] > 1)) for r in x]
+    df = spark.createDataFrame(rows, ["features", "label"]).repartition(3).cache()
+    network = MultilayerPerceptronClassifier(layers=[5, 6, 4, 2], seed=7, maxIter=20)
+    start = network.copy({network.maxIter: 0}).fit(df).weights.toArray()
+    wanted = network.fit(df).weights.toArray()
+    assert perceptron.train(df, [5, 6, 4, 2], start, 0) == pytest.approx(start)
+    assert perceptron.train(df, [5, 6, 4, 2], start, 20) == pytest.approx(wanted, rel=1e-5, abs=1e-6)
+    # columns that single numbers hold are packed as such
+    kinds = perceptron.pack(df).select("kinds").distinct().collect()
+    assert [r[0] for r in kinds] == ["f8,f8,f8,i1,i1"]
+
+
+def test_packed_samples_lose_nothing():
+    rows = np.array([[1.0, 0.1, 1e300, np.nan], [-3.0, 0.5, 2.0, 1.0]])
+    packed = perceptron._packed(np.array([1.0, 0.0]), rows)
+    labels, found = perceptron._unpacked(**packed)
+    assert labels.tolist() == [1, 0] and np.array_equal(found, rows, equal_nan=True)
+    assert packed["kinds"] == "i1,f8,f8,f4"
