@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -259,3 +260,43 @@ def test_best_of_scored_pairs(spark):
     )
     out = recall.rank_scored_pairs(pairs, 2).orderBy("userId", "position").collect()
     assert [(r.userId, r.movieId) for r in out] == [(1, 6), (1, 4), (2, 1)]
+
+
+@pytest.mark.parametrize("unequal", [False, True])
+def test_runs_out_of_reach_change_nothing(monkeypatch, unequal):
+    """Lists of a chunk are the exact ones, with runs of members that are passed over."""
+    monkeypatch.setattr(scoring, "SCREENED", 64)
+    rnd = np.random.default_rng(8)
+    centres = rnd.standard_normal((40, 6))
+    members = centres[rnd.integers(0, 40, 4000)] + 0.05 * rnd.standard_normal((4000, 6))
+    if unequal:
+        members *= rnd.lognormal(0, 1, (4000, 1))
+    seeds = members[:300]
+
+    def table(rows, **columns):
+        ends = np.arange(len(rows) + 1, dtype=np.int32) * 6
+        return pa.table({**columns, "emb": pa.ListArray.from_arrays(pa.array(ends), rows.ravel())})
+
+    numbers = pa.array(np.arange(300)), pa.array(np.arange(300), pa.int32())
+    met = []
+    monkeypatch.setattr(scoring, "_pair_scores", lambda *a, f=scoring._pair_scores: met.append(len(a[0])) or f(*a))
+    found = scoring._chunk_scorer(5, True, not unequal, False, 6)(
+        table(seeds, _row=numbers[0], _key=numbers[1]),
+        table(members, movieId=pa.array(np.arange(4000), pa.int32())),
+    )
+    scaled = (lambda v: v) if unequal else scoring._unit
+    scores = np.round(scaled(seeds) @ scaled(members).T, 6)
+    scores[np.arange(300), np.arange(300)] = -np.inf
+    wanted = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    lists = dict(zip(found["_row"].to_pylist(), found["ids"].to_pylist()))
+    assert [lists[i] for i in range(300)] == wanted.tolist()
+    # the first run met lies near the seeds, so few pairs are looked at in full
+    assert sum(met) < 300 * 4000 / 10
+
+
+def test_neighbours_lie_together():
+    rnd = np.random.default_rng(9)
+    points = rnd.random((10_000, 2))
+    order = scoring._neighbouring(points)
+    assert sorted(order) == list(range(10_000))
+    assert np.mean(scoring._balls(points[order])[1]) < 0.6 * np.mean(scoring._balls(points)[1])

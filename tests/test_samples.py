@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +157,15 @@ def test_attention_masks_missing_items(spark):
     nobody = rows.withColumns({c: F.lit(None).cast("int") for c in samples.RATED_MOVIES})
     assert attention.history_attention_pool(nobody, emb).count() == 0
     assert attention.history_attention_pool(rows, emb.limit(0)).count() == 0
+
+
+def test_stored_samples_go_when_both_files_are_written(spark):
+    from conftest import SF_DIR
+
+    from marquee.catalog import Inputs
+
+    inputs = Inputs(spark, SF_DIR)
+    files = inputs.stored_samples.inputFiles()
+    assert files and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    inputs.drop_samples()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
